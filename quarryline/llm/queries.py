@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, warc
+from . import chat, mixing, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op2_warc_derivatives": warc.op2_warc_derivatives,
+        "op3_simhash_near_duplicates": simhash.op3_simhash_near_duplicates,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op10_chat_perspectives": chat.op10_chat_perspectives,
     }
