@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, simhash, warc
+from . import chat, mixing, quality, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op2_warc_derivatives": warc.op2_warc_derivatives,
         "op3_simhash_near_duplicates": simhash.op3_simhash_near_duplicates,
+        "op6_quality_rules": quality.op6_quality_rules,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op10_chat_perspectives": chat.op10_chat_perspectives,
     }

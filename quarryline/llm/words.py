@@ -70,3 +70,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+    """Parts of a batch of at most ``most`` bytes of text each, or one text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        stop = max(at + 1, stop)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def owners(offsets: np.ndarray) -> np.ndarray:
+    """Which text each word belongs to."""
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+def window_starts(offsets: np.ndarray, width: int) -> np.ndarray:
+    """Positions at which ``width`` words of one text follow."""
+    n = int(offsets[-1])
+    if n < width:
+        return np.zeros(0, np.int64)
+    of = owners(offsets)
+    return np.flatnonzero(of[: n - width + 1] == of[width - 1 :])
+
+
+def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Mask of the n positions that some window beginning at ``starts`` covers."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, starts, 1)
+    np.add.at(step, np.minimum(starts + width, n), -1)
+    return np.cumsum(step[:n]) > 0
