@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality, simhash, warc
+from . import chat, html_main, mixing, quality, simhash, topk, warc
 
 
 def queries() -> dict:
     return {
         "op2_warc_derivatives": warc.op2_warc_derivatives,
         "op3_simhash_near_duplicates": simhash.op3_simhash_near_duplicates,
+        "op4_exact_top_k": topk.op4_exact_top_k,
+        "op5_html_main_text": html_main.op5_html_main_text,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op10_chat_perspectives": chat.op10_chat_perspectives,
@@ -18,6 +20,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_derivatives": warc.WARC_SQL,
+        "op4_exact_top_k": topk.TOPK_SQL,
         "op7_mix_sources": mixing.MIX_SQL,
         "op10_chat_perspectives": chat.CHAT_SQL,
     }
