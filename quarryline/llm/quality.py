@@ -27,6 +27,7 @@ from .trees import Forest, fit
 from .words import covered, mixed, owners, rolling, slices, split_words, window_starts
 
 SAMPLE = 20_000
+SPREAD = 1 << 40
 FEATURES = ("log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share", "distinct_share", "line_words")
 MONOTONE = {2: -1, 3: -1, 4: -1}
 KEEP_MARGIN = 0.0
@@ -100,7 +101,11 @@ def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Forest:
     """The trees, from at most ``sample`` labelled rows brought to the driver."""
     named = labels.select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)")
     rows = stats.select("doc_id", "features").join(named, F.col("doc_id") == F.col("labelled"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample).select("features", "quality").toPandas()
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))
+    n = named.count()
+    if n > sample:  # leave tasks with about as many rows as are wanted, not that many each
+        rows = rows.where(spread < F.lit(int(1.2 * SPREAD * sample / n)))
+    rows = rows.orderBy(spread, "doc_id", "quality").limit(sample).select("features", "quality").toPandas()
     x = np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, rows["quality"].to_numpy(float), MONOTONE)
 
