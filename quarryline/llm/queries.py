@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_main, mixing, quality, simhash, topk, warc
+from . import chat, html_main, mixing, quality, simhash, substring, topk, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_html_main_text": html_main.op5_html_main_text,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_mix_sources": mixing.op7_mix_sources,
+        "op8_substring_dedup": substring.op8_substring_dedup,
         "op10_chat_perspectives": chat.op10_chat_perspectives,
     }
 
