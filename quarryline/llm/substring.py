@@ -34,11 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled
-from .words import owners, rolling, split_words, window_starts
+from .words import owners, rolling, slices, split_words, window_starts
 
 WIDTH = 13
 STORED = 7  # bytes of a hash that travel; its bucket tells more
-HASH_AT_ONCE = 24 << 20
+BATCH_BYTES = 8 << 20
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -82,7 +82,7 @@ def _edges(docs: DataFrame, width: int, bits: int, seed: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", BATCH_BYTES)):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             offsets, codes, dictionary = split_words(batch.column("text"))
             at = window_starts(offsets, width)
@@ -90,7 +90,7 @@ def _edges(docs: DataFrame, width: int, bits: int, seed: int) -> DataFrame:
                 continue
             of = xxhash.xxh64_intdigest
             named = np.fromiter((of(w.as_buffer(), seed) for w in dictionary), np.uint64, len(dictionary))
-            h = np.concatenate([rolling(named[codes[a : a + HASH_AT_ONCE + width - 1]], width) for a in range(0, len(codes), HASH_AT_ONCE)])[at]
+            h = rolling(named[codes], width)[at]
             row = owners(offsets)[at]
             pos = (at - offsets[row]).astype(np.int32)
             doc = ids[row].astype(np.int64)
