@@ -48,7 +48,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SHARE, LEAST, ROUNDS = 0.03, 6000, 3
 BATCH_BYTES = 16 << 20
 SMOOTH = 0.1
-MIX = 0.3
+MIX = 0.2
 LN10 = float(np.log(10))
 _BATCH = "batch long, bucket int, words binary, counts binary, pack binary, subs binary, n_train long"
 
