@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, html_main, mixing, quality, simhash, substring, topk, warc
+from . import chat, html_main, lm, mixing, pieces, quality, simhash, substring, topk, warc
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": pieces.op1_sentencepiece,
         "op2_warc_derivatives": warc.op2_warc_derivatives,
         "op3_simhash_near_duplicates": simhash.op3_simhash_near_duplicates,
         "op4_exact_top_k": topk.op4_exact_top_k,
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op8_substring_dedup": substring.op8_substring_dedup,
+        "op9_lm_scores": lm.op9_lm_scores,
         "op10_chat_perspectives": chat.op10_chat_perspectives,
     }
 
