@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import catalogue, scalars
+
 FLAGSHIP = "enriched_feed"
+MODULES = (scalars, catalogue)
 
 
 def queries() -> dict:
-    return {}
+    return {name: run for m in MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
