@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import catalogue, scalars
+from .plans import catalogue, relational, scalars, search
 
 FLAGSHIP = "enriched_feed"
-MODULES = (scalars, catalogue)
+MODULES = (scalars, catalogue, search, relational)
 
 
 def queries() -> dict:
