@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # What counts as an absent value, matched whole and in any case.
 SENTINELS = [
@@ -62,7 +63,7 @@ def without_leading(c: Column, part: Column) -> Column:
 
 def segments(c: Column) -> Column:
     """Parts between spaced dashes."""
-    return F.filter(F.transform(F.split(c, " +[-–] +"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, " +[-–] +"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def truncated(c: Column, limit: int) -> Column:
@@ -91,7 +92,7 @@ def round_half_up(x: Column, n: int) -> Column:
     return F.floor(x * F.lit(float(10**n)) + F.lit(0.5)) / F.lit(float(10**n))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repaired(texts: pd.Series) -> pd.Series:
     """Mojibake undone and characters composed (NFC), where a text isn't plain ASCII.
 
@@ -114,7 +115,7 @@ def repaired(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two names as sets of words, 0 to 100; 100 if one holds the other."""
 
