@@ -89,12 +89,13 @@ def infer_brands(rows: DataFrame, brand: DataFrame) -> DataFrame:
 
 def attributes(rows: DataFrame) -> DataFrame:
     """Attributes read from each description, in template order, blanks kept: one row each."""
-    m = measures(F.col("Part_Desc"))
+    rows = rows.select("row_index", "Part_Desc", measures(F.col("Part_Desc")).alias("_m"), chain(F.col("Part_Desc")).alias("_d"))
+    rows = rows.select("row_index", "Part_Desc", "_d", *[F.get(F.filter("_m", lambda x, u=u: x["unit"] == u), F.lit(0))["value"].alias(f"_{u}") for u in ("in", "V")])
+    dims = F.col("_d")
 
     def first(u: str) -> Column:
-        return F.get(F.filter(m, lambda x: x["unit"] == u), F.lit(0))["value"]
+        return F.col(f"_{u}")
 
-    dims = chain(F.col("Part_Desc"))
     material = F.when(F.col("Part_Desc").rlike(r"(^|[^A-Za-z0-9])(SS|SST|Stainless Steel)([^A-Za-z0-9]|$)"), "Stainless Steel").when(F.col("Part_Desc").rlike(r"(?i)(^|[^A-Za-z0-9])steel([^A-Za-z0-9]|$)"), "Steel")
     slots = [
         ("Size", F.coalesce(to_fraction(first("in").try_cast("double")), first("in")), "in", "uom", 0.80),

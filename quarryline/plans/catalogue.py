@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import enrich, profile, resolve
 from ..operators.feed import FIELDS, feed
-from .sqltext import FEED_SQL, ROWS, placeholder, quoted, round_half_up, trimmed
+from ..functions.measures import CHAIN, MEASURE
+from .scalars import fraction_sql
+from .sqltext import FEED_SQL, ROWS, UNIT_MAP, placeholder, quoted, round_half_up, trimmed
 
 _CELLS = f"{FEED_SQL}, cells AS (" + " UNION ALL ".join(f"SELECT row_index, '{c}' AS \"column\", coalesce({c}, '') AS value FROM feed" for c in FIELDS) + ")"
 
@@ -226,9 +228,74 @@ pr AS (SELECT prefix, min(brand) AS brand, count(*) AS support, min(mpn) AS firs
        GROUP BY 1 HAVING count(DISTINCT brand) = 1 AND count(*) >= 2)"""
 _PREFIX = _PREFIX.replace("regexp_extract(r.Mfg_Part_Num, '^([A-Za-z]{' || n || '})', 1)", "CASE WHEN regexp_matches(substr(r.Mfg_Part_Num, 1, CAST(n AS INTEGER)), '^[A-Za-z]+$') AND length(r.Mfg_Part_Num) >= CAST(n AS INTEGER) THEN substr(r.Mfg_Part_Num, 1, CAST(n AS INTEGER)) ELSE '' END")
 
+_ATTR = f"""{_CLASS},
+an AS (SELECT row_index, Part_Desc AS t, list_filter(list_transform(list_zip(regexp_extract_all(Part_Desc, {quoted(MEASURE)}, 1), regexp_extract_all(Part_Desc, {quoted(MEASURE)}, 2)),
+              lambda x: struct_pack(v := x[1], u := {UNIT_MAP}[lower(x[2])])), lambda x: x.u IS NOT NULL) AS ms,
+              list_filter([regexp_extract(Part_Desc, '{CHAIN}', 1), regexp_extract(Part_Desc, '{CHAIN}', 2), regexp_extract(Part_Desc, '{CHAIN}', 3)], lambda x: x <> '') AS ds FROM rws),
+av AS (SELECT row_index, list_filter(ms, lambda x: x.u = 'in')[1].v AS inch, list_filter(ms, lambda x: x.u = 'V')[1].v AS volt, ds[1] AS d1, ds[2] AS d2,
+              CASE WHEN regexp_matches(t, '(^|[^A-Za-z0-9])(SS|SST|Stainless Steel)([^A-Za-z0-9]|$)') THEN 'Stainless Steel'
+                   WHEN regexp_matches(t, '(?i)(^|[^A-Za-z0-9])steel([^A-Za-z0-9]|$)') THEN 'Steel' END AS mat FROM an),
+slot AS (SELECT row_index, 1 AS pos, 'Size' AS label, coalesce({fraction_sql('CAST(inch AS DOUBLE)')}, inch) AS value, 'in' AS u, 'uom' AS m, 0.80e0 AS c FROM av
+       UNION ALL SELECT row_index, 2, 'Voltage Rating', volt, 'V', 'uom', 0.80e0 FROM av
+       UNION ALL SELECT row_index, 3, 'Material', mat, NULL, 'lov', 0.96e0 FROM av
+       UNION ALL SELECT row_index, 4, 'Diameter', d1, NULL, 'chain', 0.82e0 FROM av
+       UNION ALL SELECT row_index, 5, 'Thickness', d2, NULL, 'chain', 0.82e0 FROM av),
+attr AS (SELECT row_index, CAST(pos AS INTEGER) AS pos, label, value, CASE WHEN value IS NOT NULL THEN u END AS uom, CASE WHEN value IS NOT NULL THEN m END AS method,
+                CASE WHEN value IS NOT NULL THEN c ELSE 0e0 END AS confidence FROM slot)"""
+
+
+def _short(x: str) -> str:
+    out = f"lower({x})"
+    for phrase, brief in enrich.ABBREVIATIONS:
+        out = f"regexp_replace({out}, '{phrase}', '{brief}', 'g')"
+    return f"upper({out})"
+
+
+def _fold(start: str, parts: str, limit: int, sep: str, skip: bool) -> str:
+    """Greedy packing as a reduce over states: the first element is the start."""
+    longer = f"(CASE WHEN s.text <> '' THEN s.text || '{sep}' ELSE '' END || p.text)"
+    fits = f"(length({longer}) <= {limit} AND NOT s.gone)"
+    gone = "false" if skip else f"(s.gone OR NOT {fits})"
+    states = f"list_prepend(struct_pack(text := {start}, gone := false), list_transform({parts}, lambda q: struct_pack(text := q, gone := false)))"
+    return f"list_reduce({states}, lambda s, p: struct_pack(text := CASE WHEN {fits} THEN {longer} ELSE s.text END, gone := {gone})).text"
+
+
+_SAID = f"""{_ATTR},
+ls2 AS (SELECT row_index, list(value || CASE WHEN uom IS NOT NULL THEN ' ' || uom ELSE ' ' || label END ORDER BY pos) AS parts FROM attr WHERE value IS NOT NULL GROUP BY 1),
+ds0 AS (SELECT r.row_index, Mfg_Part_Num, Part_Desc, brand, leaf, split_part(classpath, '>', -1) AS name, coalesce(parts, CAST([] AS VARCHAR[])) AS parts
+        FROM rws r JOIN rb USING (row_index) JOIN lf USING (row_index) LEFT JOIN ls2 USING (row_index)),
+ds1 AS (SELECT *, concat_ws(' ', brand, name, Mfg_Part_Num) AS head, trim(regexp_extract(Part_Desc, '(?:^|[^A-Za-z0-9])w/ *(.+)$', 1)) AS wth FROM ds0),
+said AS (SELECT row_index, leaf, brand, {_fold('head', 'parts', 80, ', ', False)} AS mobile_desc,
+                {_fold(_short('substr(name, 1, 40)'), f"list_transform(parts, lambda x: {_short('x')})", 40, ' ', True)} AS invoice_desc,
+                array_to_string(list_prepend(head, parts), ', ') AS short_desc,
+                CASE WHEN length(wth) >= 3 THEN 'With ' || array_to_string(list_transform(string_split(wth, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') END AS with_clause,
+                array_to_string(list_filter(list_transform(regexp_split_to_array(Part_Desc, ' +[-–] +'), lambda x: trim(x)), lambda x: x <> '')[2:11], '|') AS features
+         FROM ds1),
+iss AS (SELECT row_index, 'BRAND_NAME' AS field, 'error' AS severity, 'required_field_missing' AS code FROM said WHERE coalesce(trim(brand), '') = ''
+        UNION ALL SELECT row_index, 'Classpath', 'error', 'required_field_missing' FROM said WHERE leaf = '{enrich.FALLBACK[0]}'
+        UNION ALL SELECT row_index, 'SHORT_DESC', 'error', 'char_limit_exceeded' FROM said WHERE length(short_desc) > 240
+        UNION ALL SELECT row_index, 'MOBILE_DESC', 'error', 'char_limit_exceeded' FROM said WHERE length(mobile_desc) > 80
+        UNION ALL SELECT row_index, 'SHORT_DESC', 'error', 'forbidden_text' FROM said WHERE regexp_matches(short_desc, '(?i)(unbranded|undefined|null)')
+        UNION ALL SELECT row_index, 'With', 'warning', 'unverified_clause' FROM said WHERE with_clause IS NULL AND contains(features, 'w/'))"""
+_SCORE = f"""{_SAID},
+fl AS (SELECT row_index, sum(CASE WHEN value IS NOT NULL THEN CAST(floor(confidence * 100e0 + 0.5e0) AS BIGINT) ELSE 0 END) AS points, count(value) AS n, count(*) AS slots FROM attr GROUP BY 1),
+er AS (SELECT row_index, count(*) AS n_errors FROM iss WHERE severity = 'error' GROUP BY 1),
+sc0 AS (SELECT lf.row_index, lf.confidence AS c, rs.confidence AS m, rb.confidence AS b, coalesce(n_errors, 0) AS n_errors,
+               CASE WHEN n > 0 THEN points / 100e0 / n * (0.45e0 + 0.55e0 * (n / CAST(slots AS DOUBLE))) ELSE 0e0 END AS a
+        FROM lf JOIN rs USING (row_index) JOIN rb USING (row_index) JOIN fl USING (row_index) LEFT JOIN er USING (row_index)),
+sc1 AS (SELECT *, 0.22e0 * m + 0.15e0 * b + 0.22e0 * c + 0.24e0 * a AS total FROM sc0),
+sc AS (SELECT row_index, n_errors, m, b, c, {round_half_up('greatest(0e0, least(1e0, CASE WHEN n_errors > 0 THEN least(total, 0.45e0) ELSE total END))', 4)} AS confidence FROM sc1),
+rv0 AS (SELECT *, concat_ws(',', CASE WHEN m < 0.6e0 THEN 'low_manufacturer' END, CASE WHEN b < 0.6e0 THEN 'low_brand' END, CASE WHEN c < 0.6e0 THEN 'low_classification' END,
+               CASE WHEN n_errors > 0 THEN 'validation_failed' END, CASE WHEN confidence < 0.62e0 THEN 'low_confidence' END) AS flags FROM sc),
+rv AS (SELECT row_index, confidence, n_errors, flags, CASE WHEN flags <> '' THEN 'NEEDS_REVIEW' ELSE 'SUCCESS' END AS status,
+              CASE WHEN confidence >= 0.85e0 THEN 'HIGH' WHEN confidence >= 0.65e0 THEN 'MEDIUM' WHEN confidence >= 0.35e0 THEN 'LOW' ELSE 'UNKNOWN' END AS band FROM rv0)"""
+_MOR = """mor AS (SELECT r.row_index, o.name AS owner, o.distributor AS od, mf.name AS own, mf.distributor AS d FROM rws r
+  LEFT JOIN (SELECT row_index, arg_min(brand_key, nth) AS bk FROM br GROUP BY 1) f USING (row_index)
+  LEFT JOIN (SELECT * FROM ow WHERE rank = 1) o ON o.brand_key = f.bk LEFT JOIN mf ON mf.supplier_key = r.supplier_key)"""
+
 _REAL = f"CASE WHEN NOT {placeholder(trimmed('value'))} THEN {trimmed('value')} END"
 QUERIES = {
-    "enriched_feed": (enriched_feed, None),
+    "enriched_feed": (enriched_feed, f"WITH {_SCORE} SELECT rv.*, leaf, rb.brand, rs.manufacturer FROM rv JOIN lf USING (row_index) JOIN rb USING (row_index) JOIN rs USING (row_index)"),
     "profile_columns": (
         profile_columns,
         f"WITH {_CELLS}, r AS (SELECT \"column\", value, {_REAL} AS real FROM cells) SELECT \"column\", count(*) FILTER (WHERE trim(value) <> '') AS non_empty, count(*) FILTER (WHERE trim(value) <> '' AND real IS NULL) AS placeholders, count(real) AS effective, {round_half_up('count(real) / CAST(count(*) AS DOUBLE)', 4)} AS fill_rate, count(DISTINCT real) AS n_unique, coalesce(max(length(real)), 0) AS max_length FROM r GROUP BY 1",
@@ -253,7 +320,7 @@ QUERIES = {
     "resolve_brand": (resolve_brand, f"WITH {ROWS} SELECT * FROM rb"),
     "manufacturer_of_record": (
         manufacturer_of_record,
-        f"WITH {ROWS}, j AS (SELECT r.row_index, o.name AS owner, o.distributor AS od, mf.name AS own, mf.distributor AS d FROM rws r LEFT JOIN bm ON false LEFT JOIN (SELECT * FROM ow WHERE rank = 1) o ON o.brand_key = (SELECT arg_min(brand_key, nth) FROM br WHERE br.row_index = r.row_index) LEFT JOIN mf ON mf.supplier_key = r.supplier_key) SELECT row_index, CASE WHEN owner IS NOT NULL AND NOT od THEN owner WHEN own IS NOT NULL AND NOT d THEN own END AS manufacturer, CASE WHEN owner IS NOT NULL AND NOT od THEN 'brand_owner' WHEN own IS NOT NULL AND NOT d THEN 'supplier_direct' WHEN own IS NOT NULL THEN 'distributor_only' ELSE 'unresolved' END AS method FROM j",
+        f"WITH {ROWS}, {_MOR} SELECT row_index, CASE WHEN owner IS NOT NULL AND NOT od THEN owner WHEN own IS NOT NULL AND NOT d THEN own END AS manufacturer, CASE WHEN owner IS NOT NULL AND NOT od THEN 'brand_owner' WHEN own IS NOT NULL AND NOT d THEN 'supplier_direct' WHEN own IS NOT NULL THEN 'distributor_only' ELSE 'unresolved' END AS method FROM mor",
     ),
     "fuzzy_names": (fuzzy_names, None),
     "orphans_anti": (orphans_anti, "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)"),
@@ -266,18 +333,18 @@ QUERIES = {
         prefix_infer,
         f"WITH {_PREFIX}, j AS (SELECT px.row_index, px.prefix, pr.brand, support, row_number() OVER (PARTITION BY px.row_index ORDER BY length(px.prefix) DESC) AS rank FROM px JOIN pr ON px.prefix = pr.prefix WHERE px.brand IS NULL) SELECT row_index, prefix, brand, {round_half_up('least(0.55e0, 0.30e0 + 0.06e0 * support + 0.03e0 * length(prefix))', 4)} AS confidence FROM j WHERE rank = 1",
     ),
-    "attr_extract": (attr_extract, None),
-    "attr_slots_pivot": (attr_slots, None),
-    "descriptions": (descriptions, None),
-    "validate_issues": (validate_issues, None),
-    "review_flags": (review_flags, None),
-    "status_counts": (status_counts, None),
-    "review_override": (review_override, None),
-    "products_page": (products_page, None),
+    "attr_extract": (attr_extract, f"WITH {_ATTR} SELECT * FROM attr"),
+    "attr_slots_pivot": (attr_slots, f"WITH {_ATTR} SELECT row_index, {', '.join(f'max(CASE WHEN pos = {i} THEN coalesce({p}, {chr(39)}{chr(39)}) END) AS ATTRIBUTE_{p.upper()}_{i}' for i in range(1, 6) for p in ('label', 'value', 'uom'))} FROM attr GROUP BY 1"),
+    "descriptions": (descriptions, f"WITH {_SAID} SELECT row_index, mobile_desc, invoice_desc, short_desc, with_clause, features FROM said"),
+    "validate_issues": (validate_issues, f"WITH {_SAID} SELECT * FROM iss"),
+    "review_flags": (review_flags, f"WITH {_SCORE} SELECT row_index, unnest(string_split(flags, ',')) AS flag FROM rv WHERE flags <> ''"),
+    "status_counts": (status_counts, f"WITH {_SCORE} SELECT status, band, count(*) AS n FROM rv GROUP BY 1, 2"),
+    "review_override": (review_override, f"WITH {_SCORE}, dc AS (SELECT user_id AS u, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS decision FROM events WHERE event_type IN ('signup', 'error') GROUP BY 1) SELECT row_index, CASE WHEN coalesce(decision = 'signup', false) AND n_errors = 0 THEN 'SUCCESS' ELSE status END AS status, decision FROM rv LEFT JOIN dc ON u = row_index"),
+    "products_page": (products_page, f"WITH {_SCORE} SELECT row_index, leaf, rb.brand, status FROM rv JOIN lf USING (row_index) JOIN rb USING (row_index) WHERE status = 'NEEDS_REVIEW' ORDER BY row_index LIMIT 20 OFFSET 20"),
     "dashboard_rollup": (
         dashboard_rollup,
         f"WITH {_CLASS}, p AS (SELECT split_part(classpath, '>', 1) AS dept, split_part(classpath, '>', 2) AS cls, split_part(classpath, '>', 3) AS fine FROM lf) SELECT dept, cls, fine, count(*) AS n, CAST(grouping(dept, cls, fine) AS BIGINT) AS level FROM p GROUP BY ROLLUP (dept, cls, fine)",
     ),
-    "scale_report": (scale_report, None),
-    "evidence_edges": (evidence_edges, None),
+    "scale_report": (scale_report, f"WITH {_SCORE}, q AS (SELECT *, CAST(floor(confidence * 10000e0 + 0.5e0) AS BIGINT) AS p FROM rv) SELECT count(*) AS n, CAST(sum(p) AS BIGINT) AS points, quantile_cont(p, 0.5) AS median_points, count(*) FILTER (WHERE status = 'SUCCESS') AS n_success FROM q"),
+    "evidence_edges": (evidence_edges, f"WITH {ROWS}, {_MOR} SELECT 'product:' || row_index AS src, 'manufacturer:' || CASE WHEN owner IS NOT NULL AND NOT od THEN owner ELSE own END AS dst, CASE WHEN owner IS NOT NULL AND NOT od THEN 'brand_owner' ELSE 'supplier_direct' END AS label FROM mor WHERE (owner IS NOT NULL AND NOT od) OR (own IS NOT NULL AND NOT d) UNION ALL SELECT 'product:' || row_index, 'brand:' || brand, method FROM rb WHERE brand IS NOT NULL"),
 }

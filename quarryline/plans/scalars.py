@@ -52,7 +52,7 @@ def fractions_ladder(spark, d):
 
 def fraction_roundtrip(spark, d):
     f = measures.to_fraction(F.col("p_size") / 16)
-    return _t(spark, d, "part").select("p_partkey", f.alias("fraction"), measures.from_fraction(f).alias("value"))
+    return _t(spark, d, "part").select("p_partkey", f.alias("fraction"), measures.fromfraction_sql(f).alias("value"))
 
 
 def uom_resolve(spark, d):
@@ -97,7 +97,7 @@ _T = "(^|[^A-Za-z0-9])w/ *(.+)$"
 _HOST = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1))"
 
 
-def _fraction(x: str) -> str:
+def fraction_sql(x: str) -> str:
     v, whole = f"abs({x})", f"floor(abs({x}))"
     out = f"CASE WHEN abs({v} - round({v})) <= 1e-6 THEN CAST(CAST(round({v}) AS BIGINT) AS VARCHAR)"
     for n in measures.DENOMINATORS:
@@ -142,8 +142,8 @@ QUERIES = {
         with_clauses,
         f"WITH {FEED_SQL}, s AS (SELECT row_index, trim(regexp_extract(Part_Desc, '{_T}', 2)) AS t FROM feed) SELECT row_index, 'With ' || array_to_string(list_transform(string_split(t, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS said FROM s WHERE length(t) >= 3",
     ),
-    "fractions_ladder": (fractions_ladder, f"SELECT p_partkey, {_fraction('p_size / 8.0e0')} AS fraction FROM part"),
-    "fraction_roundtrip": (fraction_roundtrip, f"SELECT p_partkey, {_fraction('p_size / 16.0e0')} AS fraction, p_size / 16.0e0 AS value FROM part"),
+    "fractions_ladder": (fractions_ladder, f"SELECT p_partkey, {fraction_sql('p_size / 8.0e0')} AS fraction FROM part"),
+    "fraction_roundtrip": (fraction_roundtrip, f"SELECT p_partkey, {fraction_sql('p_size / 16.0e0')} AS fraction, p_size / 16.0e0 AS value FROM part"),
     "uom_resolve": (
         uom_resolve,
         f"WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), u AS (SELECT word, {UNIT_MAP}[word] AS unit FROM w) SELECT word, unit FROM u WHERE unit IS NOT NULL",
