@@ -10,9 +10,9 @@ of all training words, whose own sum is ``base_score``.
 
 Everything learned comes from all training texts, which are those whose
 crc32(doc_id) mod 10 isn't 0: word and subword counts are exact and corpus-wide, and
-the attention weights are averaged over all batches of the corpus, each of which
-takes a share of its own windows per round (local SGD), so what is gathered grows
-with the corpus.
+the attention weights are averaged over all tasks, each of which trains on a share
+of the windows of every batch it holds per round (local SGD), so what is gathered
+grows with the corpus.
 
 A task keeps a batch's texts as codes into the batch's own words; words travel to
 their hash bucket once a batch, and their counts travel back.
@@ -42,11 +42,11 @@ from pyspark.sql import functions as F
 from . import attention
 from .common import settled
 from .substring import _planes, _unplaned
-from .words import slices, split_words
+from .words import release, slices, split_words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-SHARE, LEAST, ROUNDS = 0.03, 6000, 3
-BATCH_BYTES = 16 << 20
+SHARE, LEAST, ROUNDS = 0.03, 6000, 2
+BATCH_BYTES = 8 << 20
 SMOOTH = 0.1
 MIX = 0.2
 LN10 = float(np.log(10))
@@ -150,6 +150,8 @@ def _batches(docs: DataFrame, ranks: bytes, bits: int) -> DataFrame:
                 add(pack=packed, subs=_pack(at=seen, n=seen_n), n_train=int((~held).sum()))
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("words", "counts", "pack", "subs")), ("n_train", pa.int64())]))
 
+        release()
+
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _BATCH)
 
 
@@ -217,13 +219,14 @@ def _chunks(lengths: np.ndarray, most: int = 1 << 19):
 
 
 def _rounds(batches: DataFrame, ranks: bytes, share: float, least: int, rounds: int) -> np.ndarray:
-    """Weights after rounds of local training on every batch, averaged by windows used."""
+    """Weights after rounds of local training, a task going on from batch to batch, averaged
+    by windows used."""
     classes = subword_classes(ranks)
     weights = attention.initial()
     for nth in range(rounds):
 
         def run(parts: Iterator[pa.RecordBatch], start=weights, nth=nth) -> Iterator[pa.RecordBatch]:
-            total, used = np.zeros(attention.SIZE), 0
+            w, used = start, 0
             for part in parts:
                 for pack in part.column("pack").to_pylist():
                     _, flags, lengths, codes, n_subs, subs = _unbatch(pack)
@@ -231,10 +234,10 @@ def _rounds(batches: DataFrame, ranks: bytes, share: float, least: int, rounds:
                         learn = (flags[first:last] & 1) == 0
                         keep = np.repeat(learn, lengths[first:last])
                         ids, per = _places(codes[a:b][keep], lengths[first:last][learn].astype(np.int64), n_subs, subs, len(classes) - 1)
-                        w, n = attention.train(start, ids, classes[ids], per, share, least, seed=nth)
-                        total, used = total + n * w.astype(np.float64), used + n
+                        w, n = attention.train(w, ids, classes[ids], per, share, least - used, seed=nth)
+                        used += n
             if used:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(attention.SIZE, dtype=np.int32)), pa.array(total), pa.array(np.full(attention.SIZE, used))], names=["i", "total", "used"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(attention.SIZE, dtype=np.int32)), pa.array(used * w.astype(np.float64)), pa.array(np.full(attention.SIZE, used))], names=["i", "total", "used"])
 
         made = batches.select("pack").mapInArrow(run, "i int, total double, used long")
         rows = made.groupBy("i").agg((F.sum("total") / F.sum("used")).alias("w")).orderBy("i").collect()  # one row a weight

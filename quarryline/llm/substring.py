@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled
-from .words import owners, rolling, slices, split_words, window_starts
+from .words import owners, release, rolling, slices, split_words, window_starts
 
 WIDTH = 13
 STORED = 7  # bytes of a hash that travel; its bucket tells more
@@ -119,6 +119,8 @@ def _edges(docs: DataFrame, width: int, bits: int, seed: int) -> DataFrame:
                     add(b, _hashed(np.ascontiguousarray(h[k])), doc[k], pos[k])
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in list(out)[1:])]))
 
+        release()
+
     rows = docs.where(F.col("doc_id").isNotNull())
     return rows.mapInArrow(run, "bucket int, hashes binary, docs binary, places binary, sources binary, source_places binary")
 
@@ -153,6 +155,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((_unhashed(row["hashes"]), doc, pos))
     if held:
         yield from settle()
+    release()
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, seed: int = 0) -> DataFrame:

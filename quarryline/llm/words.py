@@ -103,3 +103,14 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     np.add.at(step, starts, 1)
     np.add.at(step, np.minimum(starts + width, n), -1)
     return np.cumsum(step[:n]) > 0
+
+
+def release() -> None:
+    """Give freed memory back to the system, so an idle worker keeps little."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
