@@ -26,7 +26,7 @@ def test_units(spark):
 
 
 def test_sentinels(spark):
-    absent = ["-- Unbranded --", "-- No Unilog Brand --", "-", "N/A", "", "   ", "COMMODITY - UNBRANDED", "TBD", "null", None]
+    absent = ["-- Unbranded --", "-- No DIB Brand --", "-", "N/A", "", "   ", "COMMODITY - UNBRANDED", "TBD", "null", None]
     assert all(applied(spark, absent, text.is_placeholder))
     assert not any(applied(spark, ["TREX", "Freud Inc (2435)", "Philips"], text.is_placeholder))
     once = applied(spark, [" a  b c ", "x"], text.clean)
