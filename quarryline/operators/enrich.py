@@ -89,26 +89,24 @@ def infer_brands(rows: DataFrame, brand: DataFrame) -> DataFrame:
 
 def attributes(rows: DataFrame) -> DataFrame:
     """Attributes read from each description, in template order, blanks kept: one row each."""
-    rows = rows.select("row_index", "Part_Desc", measures(F.col("Part_Desc")).alias("_m"), chain(F.col("Part_Desc")).alias("_d"))
-    rows = rows.select("row_index", "Part_Desc", "_d", *[F.get(F.filter("_m", lambda x, u=u: x["unit"] == u), F.lit(0))["value"].alias(f"_{u}") for u in ("in", "V")])
-    dims = F.col("_d")
-
-    def first(u: str) -> Column:
-        return F.col(f"_{u}")
-
+    found = rows.select("row_index", "Part_Desc", measures(F.col("Part_Desc")).alias("m"), chain(F.col("Part_Desc")).alias("d"))
+    first = lambda u: F.get(F.filter("m", lambda x: x["unit"] == u), F.lit(0))["value"]
     material = F.when(F.col("Part_Desc").rlike(r"(^|[^A-Za-z0-9])(SS|SST|Stainless Steel)([^A-Za-z0-9]|$)"), "Stainless Steel").when(F.col("Part_Desc").rlike(r"(?i)(^|[^A-Za-z0-9])steel([^A-Za-z0-9]|$)"), "Steel")
+    found = found.select("row_index", first("in").alias("inch"), first("V").alias("volt"), material.alias("material"), F.get("d", F.lit(0)).alias("d1"), F.get("d", F.lit(1)).alias("d2"))
+    found = found.withColumn("number", F.col("inch").try_cast("double"))
+    found = found.withColumn("size", F.coalesce(to_fraction(F.col("number")), F.col("inch")))
     slots = [
-        ("Size", F.coalesce(to_fraction(first("in").try_cast("double")), first("in")), "in", "uom", 0.80),
-        ("Voltage Rating", first("V"), "V", "uom", 0.80),
-        ("Material", material, None, "lov", 0.96),
-        ("Diameter", F.get(dims, F.lit(0)), None, "chain", 0.82),
-        ("Thickness", F.get(dims, F.lit(1)), None, "chain", 0.82),
+        ("Size", F.col("size"), "in", "uom", 0.80),
+        ("Voltage Rating", F.col("volt"), "V", "uom", 0.80),
+        ("Material", F.col("material"), None, "lov", 0.96),
+        ("Diameter", F.col("d1"), None, "chain", 0.82),
+        ("Thickness", F.col("d2"), None, "chain", 0.82),
     ]
     made = F.array(*[
         F.struct(F.lit(i).alias("pos"), F.lit(label).alias("label"), v.alias("value"), F.when(v.isNotNull(), F.lit(u)).alias("uom"), F.when(v.isNotNull(), F.lit(how)).alias("method"), F.when(v.isNotNull(), F.lit(c)).otherwise(0.0).alias("confidence"))
         for i, (label, v, u, how, c) in enumerate(slots, 1)
     ])
-    return rows.select("row_index", F.explode(made).alias("a")).select("row_index", "a.*")
+    return found.select("row_index", F.explode(made).alias("a")).select("row_index", "a.*")
 
 
 def attribute_slots(attrs: DataFrame) -> DataFrame:
