@@ -10,11 +10,11 @@ lattice, and one ``aggregate`` folds the lattice into the word's segmentation.
 Two folds share the lattice.  For unigram models it is Viterbi: the best sum of
 scores up to each place.  A BPE model's scores are merge ranks, and the best sum of
 them is not the model's encoding; there the fold takes the edges by rank and joins
-two neighbours where an edge spans just these.  One pass is exact unless a merge
-makes room for an edge whose turn has passed; the piece table tells which pieces
-could be such edges, and the fold watches for them in the words that have any.  The
-few words where it happens, and words of over 62 characters, are merged with a
-queue instead.
+two neighbours where an edge spans just these.  One pass is exact: until a piece's
+turn its span, if no merge crosses its ends, holds what the piece's own edges alone
+make of it, and a merge across its ends stays for good.  Only pieces that one pass
+over their own edges doesn't give can be due later; the few words that hold such a
+piece, and words of over 62 characters, are merged with a queue instead.
 
 Characters without a piece become bytes.  Decoding joins the bytes of the pieces.
 
@@ -40,14 +40,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled
 from .lm import _pack, _unpack
 from .substring import _planes, _unplaned
-from .words import slices
+from .words import release, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONGEST = 62  # characters of a word whose boundaries fit a long
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 12 << 20
 SPACE = "▁"
 
 
@@ -57,7 +56,7 @@ class Pieces:
 
     score: dict[str, float]
     ids: dict[str, int]
-    risky: frozenset[str]  # a part may appear after the piece's own turn
+    risky: frozenset[str]  # one pass over a piece's own edges doesn't give it
     byte_ids: tuple[int, ...]
     decoded: tuple[bytes, ...]
     unknown: int
@@ -83,12 +82,15 @@ def load(path: str) -> Pieces:
 def table(plain: list[tuple[str, int, float]], byte_pieces: dict[str, int], n: int, unknown: int, unigram: bool) -> Pieces:
     score = {p: s for p, _, s in plain}
 
-    def late(p: str) -> bool:
-        for i in range(1, len(p)):
-            sides = [x for x in (p[:i], p[i:]) if len(x) > 1]
-            if all(x in score for x in sides) and any(score[x] <= score[p] for x in sides):
-                return True
-        return False
+    def irregular(p: str) -> bool:
+        """Does one pass over the piece's own edges fail to give the piece?"""
+        edges = sorted((-score[p[a:b]], a, b) for a in range(len(p)) for b in range(a + 2, len(p) + 1) if p[a:b] in score)
+        marks = set(range(len(p) + 1))
+        for _, a, b in edges:
+            inner = marks.intersection(range(a + 1, b))
+            if a in marks and b in marks and len(inner) == 1:
+                marks -= inner
+        return len(marks) > 2
 
     decoded = [b""] * n
     for p, i, _ in plain:
@@ -97,7 +99,7 @@ def table(plain: list[tuple[str, int, float]], byte_pieces: dict[str, int], n: i
         if (i := byte_pieces.get(f"<0x{b:02X}>")) is not None:
             decoded[i] = bytes([b])
     byte_ids = tuple(byte_pieces.get(f"<0x{b:02X}>", unknown) for b in range(256))
-    return Pieces(score, {p: i for p, i, _ in plain}, frozenset(p for p in score if late(p)), byte_ids, tuple(decoded), unknown, unigram, max(map(len, score), default=1))
+    return Pieces(score, {p: i for p, i, _ in plain}, frozenset() if unigram else frozenset(p for p in score if len(p) > 1 and irregular(p)), byte_ids, tuple(decoded), unknown, unigram, max(map(len, score), default=1))
 
 
 def merged(word: str, score: dict[str, float]) -> list[str]:
@@ -180,18 +182,6 @@ def merge_fold(edges: Column, n: Column) -> Column:
     return F.aggregate(F.array_sort(edges), _bit(n + 1) - 1, lambda m, e: F.when(_fits(m, e), _joined(m, e)).otherwise(m))
 
 
-def watched_merge_fold(edges: Column, n: Column) -> Column:
-    """The same, or null where a merge opens the way for an edge whose turn has passed."""
-
-    def step(s: Column, e: Column) -> Column:
-        then = _joined(s["marks"], e)
-        passed = F.exists(edges, lambda p: (F.struct(p["cost"], p["a"], p["b"]) < F.struct(e["cost"], e["a"], e["b"])) & ((p["a"] == e["a"]) | (p["b"] == e["b"])) & _fits(then, p))
-        return F.when(_fits(s["marks"], e), F.struct(then.alias("marks"), (s["late"] | passed).alias("late"))).otherwise(s)
-
-    start = F.struct((_bit(n + 1) - 1).alias("marks"), F.lit(False).alias("late"))
-    return F.aggregate(F.array_sort(edges), start, step, lambda s: F.when(~s["late"], s["marks"]))
-
-
 def viterbi_fold(edges: Column, n: Column, unknown_cost: float) -> Column:
     """Boundaries of the path of least cost; a character of its own costs ``unknown_cost`` at most."""
     by_end = F.array_sort(F.transform(edges, lambda e: F.struct(e["b"].alias("b"), e["a"].alias("a"), e["cost"].alias("cost"))))
@@ -220,7 +210,7 @@ def segmented(words: DataFrame, p: Pieces, keys: list[str]) -> DataFrame:
     edges, n = F.col("edges"), F.col("n")
     if p.unigram:
         return found.select(*keys, viterbi_fold(edges, n, 10.0 - min(p.score.values(), default=0.0)).alias("marks"))
-    return found.select(*keys, F.when(F.col("risky"), watched_merge_fold(edges, n)).otherwise(merge_fold(edges, n)).alias("marks"))
+    return found.select(*keys, F.when(~F.col("risky"), merge_fold(edges, n)).alias("marks"))
 
 
 # --- texts as words and back ------------------------------------------------------
@@ -277,25 +267,37 @@ def _vocabularies(docs: DataFrame, bits: int) -> DataFrame:
                 [pa.array([name] * len(blobs), pa.int64()), pa.array(bucket[order[edges[:-1]]].astype(np.int32) if blobs else [], pa.int32()), pa.array(blobs, pa.binary())], names=["batch", "bucket", "words"]
             )
 
+        release()
+
     return docs.select("text").mapInArrow(run, "batch long, bucket int, words binary")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's distinct words, numbered, and each batch's words as such numbers."""
-    unzip = zstandard.ZstdDecompressor()
+    """A bucket's distinct words, one a row and all in one, and each batch's words as
+    numbers of them."""
+    zip_, unzip = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
     held: list[tuple[int, list[str]]] = []
     bucket = None
-    schema = pa.schema([("bucket", pa.int32()), ("wid", pa.int32()), ("word", pa.string()), ("batch", pa.int64()), ("refs", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("wid", pa.int32()), ("word", pa.string()), ("batch", pa.int64()), ("packed", pa.binary())])
+
+    def packed(batch: int | None, data: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"bucket": bucket, "wid": None, "word": None, "batch": batch, "packed": data}], schema=schema)
 
     def settle():
         code = pa.array([w for _, ws in held for w in ws], pa.string()).dictionary_encode()
-        at = code.indices.to_numpy(zero_copy_only=False).astype(np.uint32)
-        n, none = len(code.dictionary), pa.nulls
+        order = pc.sort_indices(code.dictionary).to_numpy()  # numbers that don't depend on the order of arrival
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order))
+        at = number[code.indices.to_numpy(zero_copy_only=False)]
+        words = code.dictionary.take(pa.array(order))
+        n = len(words)
         for lo in range(0, n, 1 << 16):
             hi = min(n, lo + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, bucket, np.int32)), pa.array(np.arange(lo, hi, dtype=np.int32)), code.dictionary.slice(lo, hi - lo), none(hi - lo, pa.int64()), none(hi - lo, pa.binary())], schema=schema)
+            columns = [pa.array(np.full(hi - lo, bucket, np.int32)), pa.array(np.arange(lo, hi, dtype=np.int32)), words.slice(lo, hi - lo), pa.nulls(hi - lo, pa.int64()), pa.nulls(hi - lo, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+        yield packed(None, zip_.compress(SPACE.join(words.to_pylist()).encode("utf-8", "surrogatepass")))
         for (name, _), refs in zip(held, np.split(at, np.cumsum([len(ws) for _, ws in held])[:-1]), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), none(1, pa.int32()), none(1, pa.string()), pa.array([name]), pa.array([_planes(refs)], pa.binary())], schema=schema)
+            yield packed(name, _planes(refs))
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -306,42 +308,49 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append((row["batch"], unzip.decompress(row["words"]).decode("utf-8", "surrogatepass").split(SPACE)))
     if held:
         yield from settle()
+    release()
+
+
+def _spelled(words: list[str], marks: list[int | None], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces per word and the ids of all, from words and their boundaries."""
+    out = []
+    for word, mark in zip(words, marks, strict=True):
+        whole = SPACE + word.replace(" ", SPACE)
+        if mark is not None:
+            ends = [i for i in range(1, len(whole) + 1) if mark >> i & 1]
+            parts = [whole[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        elif p.unigram:
+            parts = best_path(whole, p)
+        else:
+            parts = merged(whole, p.score)
+        out.append(_spell(parts, p))
+    sizes = np.fromiter(map(len, out), np.int64, len(out))
+    return sizes, np.fromiter((i for s in out for i in s), np.uint32, int(sizes.sum()))
 
 
 def _answers(p: Pieces):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Ids of each batch's words by bucket; a bucket's words come first, by number."""
-        bucket, spelled = None, []
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("bucket", "word", "marks", "batch", "refs")]
-            out: list[tuple] = []
-            for b, word, marks, name, refs in zip(*cols, strict=True):
-                if b != bucket:
-                    bucket, spelled = b, []
-                    sizes = flat = None
-                if refs is None:
-                    whole = SPACE + word.replace(" ", SPACE)
-                    n = len(whole)
-                    if marks is not None:
-                        ends = [i for i in range(1, n + 1) if marks >> i & 1]
-                        parts = [whole[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
-                    elif p.unigram and n > LONGEST:
-                        parts = best_path(whole, p)
-                    else:
-                        parts = merged(whole, p.score)
-                    spelled.append(_spell(parts, p))
-                    continue
-                if sizes is None or len(sizes) != len(spelled):
-                    sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
-                    flat = np.fromiter((i for s in spelled for i in s), np.uint32, int(sizes.sum()))
-                    starts = np.cumsum(sizes) - sizes
-                at = _unplaned(refs, np.uint32).astype(np.int64)
-                each = sizes[at]
-                take = np.repeat(starts[at] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-                out.append((name, b, _pack(sizes=each.astype(np.uint32), ids=flat[take])))
-            if out:
-                names, buckets, blobs = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["batch", "bucket", "ids"])
+    def run(marked: pa.Table, kept: pa.Table) -> pa.Table:
+        """Ids of each batch's words of a bucket."""
+        rows = kept.to_pylist()
+        blob = next(r["packed"] for r in rows if r["batch"] is None)
+        words = zstandard.ZstdDecompressor().decompress(blob).decode("utf-8", "surrogatepass").split(SPACE)
+        marks: list[int | None] = [None] * len(words)
+        for wid, mark in zip(marked.column("wid").to_pylist(), marked.column("marks").to_pylist(), strict=True):
+            marks[wid] = mark
+        sizes, flat = _spelled(words, marks, p)
+        starts = np.cumsum(sizes) - sizes
+        out: dict[str, list] = {"batch": [], "bucket": [], "ids": []}
+        for row in rows:
+            if row["batch"] is None:
+                continue
+            at = _unplaned(row["packed"], np.uint32).astype(np.int64)
+            each = sizes[at]
+            take = np.repeat(starts[at] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            out["batch"].append(row["batch"])
+            out["bucket"].append(row["of_bucket"])
+            out["ids"].append(_pack(sizes=each.astype(np.uint32), ids=flat[take]))
+        release()
+        return pa.table(out, schema=pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())]))
 
     return run
 
@@ -377,6 +386,8 @@ def _packs(docs: DataFrame, bits: int, others: list[str]) -> DataFrame:
                 [pa.array([name]), pa.array([_pack(buckets=bucket, lengths=lengths, codes=codes)], pa.binary()), pa.array([zip_.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["batch", "pack", "rows"]
             )
 
+        release()
+
     return docs.mapInArrow(run, "batch long, pack binary, rows binary")
 
 
@@ -408,19 +419,15 @@ def encode(docs: DataFrame, path: str = MODEL, others: tuple[str, ...] = ("doc_i
     p = load(path)
     spark: SparkSession = docs.sparkSession
     docs = docs.select(*others, F.col("text").cast("string").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(4, (parts - 1).bit_length())
     sent = _vocabularies(docs, bits).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    gathered = settled(sent.mapInArrow(_gathered, "bucket int, wid int, word string, batch long, refs binary"), "words")
+    gathered = sent.mapInArrow(_gathered, "bucket int, wid int, word string, batch long, packed binary")
     words = gathered.where("word IS NOT NULL").select("bucket", "wid", "word").repartition(parts, "bucket")
     marked = words.withColumn("word", F.concat(F.lit(SPACE), F.translate("word", " ", SPACE)))
     marks = segmented(marked, p, ["bucket", "wid"])
-    told = words.join(marks.select("bucket", "wid", "marks"), ["bucket", "wid"], "left")
-    both = told.selectExpr("bucket", "wid", "word", "marks", "CAST(NULL AS long) AS batch", "CAST(NULL AS binary) AS refs").unionByName(
-        gathered.where("refs IS NOT NULL").selectExpr("bucket", "CAST(NULL AS int) AS wid", "CAST(NULL AS string) AS word", "CAST(NULL AS long) AS marks", "batch", "refs")
-    )
-    both = both.repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("wid").asc_nulls_last())
-    answers = both.mapInArrow(_answers(p), "batch long, bucket int, ids binary")
+    kept = gathered.where("word IS NULL").select(F.col("bucket").alias("of_bucket"), "batch", "packed").repartition(parts, "of_bucket")
+    answers = marks.groupBy("bucket").cogroup(kept.groupBy("of_bucket")).applyInArrow(_answers(p), "batch long, bucket int, ids binary")
 
     kinds = dict(docs.dtypes)
 
@@ -461,6 +468,7 @@ def encode(docs: DataFrame, path: str = MODEL, others: tuple[str, ...] = ("doc_i
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         made = run(left, right)
+        release()
         return made if made is not None else empty
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in others) + ", n_pieces long, ids array<int>, decoded_sha256 string"
