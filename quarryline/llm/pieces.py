@@ -149,15 +149,15 @@ def _spell(parts: list[str], p: Pieces) -> list[int]:
 # --- the lattice ------------------------------------------------------------------
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, keys: list[str]) -> DataFrame:
+def lattice(words: DataFrame, pieces: DataFrame, shortest: int, longest: int, keys: list[str]) -> DataFrame:
     """``keys, n, edges, risky``: for each word the pieces found in it, as edges.
 
     ``words`` has ``keys`` and ``word``; ``pieces`` has ``piece, cost, risky`` and is
     at most a vocabulary large, so it is broadcast.
     """
-    w = words.select(*keys, "word", F.length("word").alias("n"))
-    at = w.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("a"))
-    spans = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("a")))).alias("size"))
+    w = words.select(*keys, "word", F.length("word").alias("n")).where(F.col("n") >= shortest)
+    at = w.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - shortest)).alias("a"))
+    spans = at.select("*", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), F.col("n") - F.col("a")))).alias("size"))
     spans = spans.select(*keys, "n", "a", (F.col("a") + F.col("size")).alias("b"), F.substring("word", F.col("a") + 1, F.col("size")).alias("piece"))
     met = spans.join(F.broadcast(pieces), "piece")
     return met.groupBy(*keys, "n").agg(F.collect_list(F.struct("cost", "a", "b")).alias("edges"), F.max("risky").alias("risky"))
@@ -206,7 +206,7 @@ def segmented(words: DataFrame, p: Pieces, keys: list[str]) -> DataFrame:
     least = 1 if p.unigram else 2
     rows = [(w, -s, w in p.risky and not p.unigram) for w, s in p.score.items() if len(w) >= least]
     dim = spark.createDataFrame(rows, "piece string, cost double, risky boolean")
-    found = lattice(words.where(F.length("word") <= LONGEST), dim, p.longest, keys)
+    found = lattice(words.where(F.length("word") <= LONGEST), dim, least, p.longest, keys)
     edges, n = F.col("edges"), F.col("n")
     if p.unigram:
         return found.select(*keys, viterbi_fold(edges, n, 10.0 - min(p.score.values(), default=0.0)).alias("marks"))
