@@ -1,5 +1,6 @@
 """The corpus pipeline, each stage against a plain version of it on its own input."""
 
+import random
 import re
 from collections import Counter
 
@@ -83,3 +84,27 @@ def test_awkward_documents(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).isEmpty()
+
+
+def test_near_dedup_finds_similar_texts(spark):
+    """Pairs planted at five-word similarities of 0.8 to 0.95 are found, those below 0.8 are not."""
+    rng = random.Random(7)
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    texts, wanted = {}, set()
+    for i in range(0, 600, 2):
+        w = [f"w{rng.randrange(50_000)}" for _ in range(rng.randrange(150, 400))]
+        v = list(w)
+        for k in rng.sample(range(len(v)), rng.randrange(1, max(2, len(v) // 30))):
+            v[k] = f"x{rng.randrange(50_000)}"
+        a, b = grams(w), grams(v)
+        alike = len(a & b) / len(a | b)
+        texts |= {i: " ".join(w), i + 1: " ".join(v)}
+        wanted |= {i} if alike >= 0.8 else {i, i + 1}
+    big = [f"b{k}" for k in range(300)]  # a group too large for all its pairs
+    for i in range(600, 700):
+        v = list(big)
+        v[(i * 7) % 300] = f"y{i}"
+        texts[i] = " ".join(v)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    assert 50 < len(wanted) - 300 < 250  # pairs of both kinds
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, SF).collect()} == wanted | {600}
