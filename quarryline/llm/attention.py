@@ -162,19 +162,21 @@ def gradient(w: np.ndarray, ids: np.ndarray, classes: np.ndarray, place: np.ndar
     dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
     dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
     d["q"][:], d["k"][:], d["v"][:] = outer(f["x"], dq), outer(f["x"], dk), outer(f["x"], dv)
-    np.add.at(d["by_id"], f["hashed"].ravel(), dx.reshape(-1, WIDTH))
-    np.add.at(d["by_class"], f["own"].ravel(), (dx * ~f["begins"][..., None]).reshape(-1, WIDTH))
+    for name, row, part in (("by_id", f["hashed"], dx), ("by_class", f["own"], dx * ~f["begins"][..., None])):
+        d[name][:] = np.bincount((row[..., None] * WIDTH + np.arange(WIDTH)).ravel(), part.ravel(), d[name].size).reshape(-1, WIDTH)
     return loss, g
 
 
-def train(w: np.ndarray, ids: np.ndarray, classes: np.ndarray, lengths: np.ndarray, share: float, least: int, rate: float = 0.01, batch: int = 64, seed: int = 0) -> tuple[np.ndarray, int]:
-    """One pass over a random ``share`` of the windows, ``least`` at least where there are
-    as many; the new weights and the number of windows used."""
+def train(w: np.ndarray, ids: np.ndarray, classes: np.ndarray, lengths: np.ndarray, share: float, least: int, rate: float = 0.01, batch: int = 64, seed: int = 0, nth: int = 0, of: int = 1) -> tuple[np.ndarray, int]:
+    """One pass over the ``nth`` of ``of`` random parts of the windows, or a ``share`` of it,
+    ``least`` at least where there are as many; the new weights and the number of windows
+    used.  The parts of one seed hold every window once."""
     place = windows(lengths)
     first = np.zeros(len(ids), bool)
     first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
     rng = np.random.default_rng(seed)
-    use = rng.permutation(len(place))[: max(min(max(least, 0), len(place)), int(share * len(place)))]
+    use = rng.permutation(len(place))[nth::of]
+    use = use[: max(min(max(least, 0), len(use)), int(share * len(use)))]
     m, v, w = np.zeros(SIZE), np.zeros(SIZE), w.copy()
     for t, lo in enumerate(range(0, len(use), batch), 1):
         _, g = gradient(w, ids, classes, place[use[lo : lo + batch]], first)

@@ -10,9 +10,9 @@ of all training words, whose own sum is ``base_score``.
 
 Everything learned comes from all training texts, which are those whose
 crc32(doc_id) mod 10 isn't 0: word and subword counts are exact and corpus-wide, and
-the attention weights are averaged over all tasks, each of which trains on a share
-of the windows of every batch it holds per round (local SGD), so what is gathered
-grows with the corpus.
+the attention weights are averaged over all tasks, each of which trains on the windows
+of every batch it holds (local SGD): a round takes one of ``ROUNDS`` random parts of
+them, so the rounds together take every window once, however the corpus is dealt out.
 
 A task keeps a batch's texts as codes into the batch's own words; words travel to
 their hash bucket once a batch, and their counts travel back.
@@ -45,7 +45,7 @@ from .substring import _planes, _unplaned
 from .words import release, slices, split_words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-SHARE, LEAST, ROUNDS = 0.03, 6000, 2
+SHARE, LEAST, ROUNDS = 1.0, 0, 3
 BATCH_BYTES = 8 << 20
 SMOOTH = 0.1
 MIX = 0.2
@@ -234,7 +234,7 @@ def _rounds(batches: DataFrame, ranks: bytes, share: float, least: int, rounds:
                         learn = (flags[first:last] & 1) == 0
                         keep = np.repeat(learn, lengths[first:last])
                         ids, per = _places(codes[a:b][keep], lengths[first:last][learn].astype(np.int64), n_subs, subs, len(classes) - 1)
-                        w, n = attention.train(w, ids, classes[ids], per, share, least - used, seed=nth)
+                        w, n = attention.train(w, ids, classes[ids], per, share, least - used, nth=nth, of=rounds)
                         used += n
             if used:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(attention.SIZE, dtype=np.int32)), pa.array(used * w.astype(np.float64)), pa.array(np.full(attention.SIZE, used))], names=["i", "total", "used"])

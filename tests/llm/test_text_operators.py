@@ -174,6 +174,16 @@ def test_attention_gradient_and_cover():
         assert abs(slope - g[i]) < 1e-6
 
 
+def test_rounds_train_on_every_window(monkeypatch):
+    rng = np.random.default_rng(0)
+    n = rng.integers(0, 400, 1500)
+    ids, seen = rng.integers(0, 500, n.sum()), []
+    monkeypatch.setattr(attention, "gradient", lambda w, ids, classes, place, first: (seen.append(place), (0.0, np.zeros(attention.SIZE)))[1])
+    used = [attention.train(attention.initial(), ids, ids % 32, n, lm.SHARE, lm.LEAST, nth=k, of=lm.ROUNDS)[1] for k in range(lm.ROUNDS)]
+    assert len(used) == 3 and max(used) - min(used) <= 1
+    assert sorted(map(tuple, np.concatenate(seen))) == sorted(map(tuple, attention.windows(n)))
+
+
 def test_lm_scores(spark, prose):
     df, texts = prose
     words = {i: WORD.findall(lower(t)) for i, t in texts.items()}
