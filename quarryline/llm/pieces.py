@@ -14,7 +14,7 @@ two neighbours where an edge spans just these.  One pass is exact: until a piece
 turn its span, if no merge crosses its ends, holds what the piece's own edges alone
 make of it, and a merge across its ends stays for good.  Only pieces that one pass
 over their own edges doesn't give can be due later; the few words that hold such a
-piece, and words of over 62 characters, are merged with a queue instead.
+piece, and words of over 61 characters, are merged with a queue instead.
 
 Characters without a piece become bytes.  Decoding joins the bytes of the pieces.
 
@@ -45,7 +45,7 @@ from .substring import _planes, _unplaned
 from .words import release, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONGEST = 62  # characters of a word whose boundaries fit a long
+LONGEST = 61  # characters of a word whose boundaries, and one bit more, fit a long
 BATCH_BYTES = 12 << 20
 SPACE = "▁"
 

@@ -44,6 +44,13 @@ def test_pieces_match_the_library(spark):
     assert pieces.encode(docs(spark, [])).isEmpty()
 
 
+def test_words_at_the_longest_the_fold_takes(spark):
+    s = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = [("thequickbrownfoxjumpsoverthelazydog" * 2)[:n] for n in range(59, 65)]
+    got = {r["doc_id"]: r["ids"] for r in pieces.encode(docs(spark, texts)).collect()}
+    assert [got[i] for i in sorted(got)] == [s.encode(t) for t in texts]
+
+
 def test_merge_queue_is_the_models_encoding():
     p = pieces.load(pieces.MODEL)
     s = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
