@@ -269,7 +269,7 @@ def _vocabularies(docs: DataFrame, bits: int) -> DataFrame:
 
         release()
 
-    return docs.select("text").mapInArrow(run, "batch long, bucket int, words binary")
+    return docs.mapInArrow(run, "batch long, bucket int, words binary")  # all columns, as in _packs: Arrow batches end by their bytes
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,6 +51,19 @@ def test_words_at_the_longest_the_fold_takes(spark):
     assert [got[i] for i in sorted(got)] == [s.encode(t) for t in texts]
 
 
+def test_batches_that_end_by_bytes(spark):
+    s = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    texts = [" ".join(f"w{(i * k) % 97}" for k in range(60 + i % 50)) for i in range(3000)]
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "40000")
+    try:
+        got = {r["doc_id"]: r["ids"] for r in pieces.encode(docs(spark, texts).coalesce(1), others=("doc_id", "source")).collect()}
+    finally:
+        spark.conf.set(limit, before)
+    assert [got[i] for i in sorted(got)] == [s.encode(t) for t in texts]
+
+
 def test_merge_queue_is_the_models_encoding():
     p = pieces.load(pieces.MODEL)
     s = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
