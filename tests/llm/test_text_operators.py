@@ -141,6 +141,17 @@ def test_substring_dedup(spark, prose):
     assert {r["n_removed"] for r in substring.remove_repeats(null).collect()} == {0}
 
 
+def test_substring_dedup_of_several_texts_under_one_id(spark, monkeypatch):
+    from itertools import islice
+
+    monkeypatch.setattr(substring, "count", lambda: islice(range(2), 2), raising=False)  # would never end
+    w = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    texts = [(1, w("s", 40)), (1, w("t", 40)), (2, w("a", 5) + " " + w("s", 40)), (2, w("b", 60)), (2, w("t", 40)), (3, w("b", 60)), (3, w("c", 70)), (3, w("b", 60)), (4, w("c", 70) + " end")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in substring.remove_repeats(df, keep_text=True).collect())
+    assert got == Counter([(1, w("s", 40)), (1, w("t", 40)), (2, w("a", 5)), (2, w("b", 60)), (2, ""), (3, ""), (3, w("c", 70)), (3, ""), (4, "end")])
+
+
 def test_quality(spark, prose):
     df, texts = prose
     labels = spark.createDataFrame([(i, int(i < 40)) for i in texts] + [(None, 1), (999, 0), (1, None)], "doc_id long, quality int")
