@@ -1,40 +1,81 @@
-"""A causal self-attention model in numpy: one layer, one head, trained by Adam.
-
-It predicts the class of the next subword from those before it: the inputs are the
-subwords shifted by one, each an embedding by hashed id plus one by class; scores
-get a learned bias by distance; the layer's output is added to its input and read
-out to the classes.  Within a class a subword's probability is its corpus share.
+"""A causal self-attention model of subwords in numpy: one layer, one head, trained by Adam.
+
+It predicts the next subword from those before it.  Every subword has a symbol: the
+``MEMBERS - 1`` most frequent ones of a cluster have one each, the rest of the cluster
+share one (``Symbols``).  The inputs are the symbols shifted by one; attention scores get
+a learned bias by distance; with one head of full width the key map is part of the
+query's, the output map of the value's; the layer's output is added to its input and read out twice,
+to the next cluster and, by that cluster's own weights, to the symbol within it; a
+subword that shares its symbol has its smoothed share of the symbol's training count.
+The three factors are a distribution over all subwords: they sum to 1 after any text.
+
+Subwords that begin a word differ from those that don't, and a text closes with an end
+subword, so a word's end is an event of its own: the next subword begins a word or is
+the end.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 WINDOW, CONTEXT = 32, 8  # a window scores its last WINDOW - CONTEXT places
 STEP = WINDOW - CONTEXT
-WIDTH, HASHED, CLASSES = 16, 256, 32
+WIDTH, CLUSTERS, MEMBERS = 16, 32, 64
+SYMBOLS = CLUSTERS * MEMBERS
+START = SYMBOLS  # stands before a text
 SHAPES = {
-    "by_id": (HASHED + 1, WIDTH),  # the last row stands before a text
-    "by_class": (CLASSES, WIDTH),
-    "q": (WIDTH, WIDTH),
-    "k": (WIDTH, WIDTH),
-    "v": (WIDTH, WIDTH),
-    "o": (WIDTH, WIDTH),
+    "embed": (SYMBOLS + 1, WIDTH),
+    "query": (WIDTH, WIDTH),
+    "value": (WIDTH, WIDTH),
     "near": (WINDOW,),
-    "read": (WIDTH, CLASSES),
-    "bias": (CLASSES,),
+    "cluster": (WIDTH, CLUSTERS),
+    "cluster_bias": (CLUSTERS,),
+    "member": (CLUSTERS, WIDTH, MEMBERS),
+    "member_bias": (CLUSTERS, MEMBERS),
 }
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-_BACK = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-_CAUSAL = np.where(_BACK >= 0, 0, -1e9).astype(np.float32)
-
-
-def initial(seed: int = 1) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0, 0.1, SIZE).astype(np.float32)
-    named = parts(w)
-    named["near"][:] = 0
-    named["bias"][:] = 0
+_BACK = np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)[None, :]  # how far each key lies behind a scored place
+_NEVER = -1e9
+_MOST = 60  # attention scores are cut here, so exp stays finite without a shift
+
+
+@dataclass
+class Symbols:
+    """Which symbol each subword id has, and log10 of its share of it."""
+
+    of: np.ndarray
+    share: np.ndarray
+
+    @classmethod
+    def from_counts(cls, cluster: np.ndarray, counts: np.ndarray, smooth: float = 0.1) -> Symbols:
+        """The most frequent ids of each cluster get symbols of their own, ties to smaller ids."""
+        order = np.lexsort((np.arange(len(counts)), -counts, cluster))
+        sizes = np.bincount(cluster, minlength=CLUSTERS)
+        nth = np.empty(len(counts), np.int64)
+        nth[order] = np.arange(len(counts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        of = cluster * MEMBERS + np.minimum(nth, MEMBERS - 1)
+        mass = counts + smooth
+        share = np.log10(mass / np.bincount(of, mass, SYMBOLS)[of])
+        return cls(of.astype(np.int16), share.astype(np.float32))
+
+    def there(self) -> np.ndarray:
+        """Log-weights that rule out symbols no subword has."""
+        return np.where(np.bincount(self.of, minlength=SYMBOLS) > 0, 0, _NEVER).astype(np.float32).reshape(CLUSTERS, MEMBERS)
+
+
+def initial(symbols: Symbols, counts: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Small random weights; the biases begin at the training shares."""
+    w = np.random.default_rng(seed).normal(0, 0.1, SIZE).astype(np.float32)
+    p = parts(w)
+    p["near"][:] = 0
+    mass = (np.bincount(symbols.of, counts, SYMBOLS) + 0.5).reshape(CLUSTERS, MEMBERS)
+    there = symbols.there()
+    mass = np.where(there == 0, mass, 0)
+    with np.errstate(divide="ignore"):
+        p["cluster_bias"][:] = np.maximum(np.log(mass.sum(axis=1) / mass.sum()), _NEVER)
+        p["member_bias"][:] = np.maximum(np.log(mass / np.maximum(mass.sum(axis=1), 1e-30)[:, None]), _NEVER)
     return w
 
 
@@ -49,7 +90,7 @@ def parts(w: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def windows(lengths: np.ndarray) -> np.ndarray:
-    """Places (m, WINDOW) in the texts laid end to end, -1 outside a text.
+    """First place of each window in the texts laid end to end, and its text's bounds.
 
     Each place of a text is among the last STEP of exactly one window, with up to
     CONTEXT places and more before it.
@@ -58,128 +99,145 @@ def windows(lengths: np.ndarray) -> np.ndarray:
     per = -(-lengths // STEP)
     text = np.repeat(np.arange(len(lengths)), per)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-    at = (nth * STEP - CONTEXT)[:, None] + np.arange(WINDOW)[None, :]
-    inside = (at >= 0) & (at < lengths[text][:, None])
-    return np.where(inside, at + starts[text][:, None], -1)
-
-
-def _forward(p: dict, ids: np.ndarray, classes: np.ndarray, place: np.ndarray, first: np.ndarray):
-    """``place``: windows; ids and classes of all texts; first: is a place a text's first."""
-    there = place >= 0
-    safe = np.where(there, place, 0)
-    begins = first[safe] | ~there
-    before = np.maximum(safe - 1, 0)
-    hashed = np.where(begins, HASHED, ids[before] % HASHED)
-    own = np.where(begins, 0, classes[before])
-    x = p["by_id"][hashed] + p["by_class"][own] * ~begins[..., None]
-    q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-    s = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(WIDTH**-0.5)
-    s += np.where(_BACK >= 0, p["near"][np.maximum(_BACK, 0)], 0) + _CAUSAL
-    s -= np.float32(1e9) * ~there[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    mixed = np.matmul(s, v)
-    h = x + mixed @ p["o"]
-    return {"there": there, "safe": safe, "hashed": hashed, "own": own, "begins": begins, "x": x, "q": q, "k": k, "v": v, "a": s, "mixed": mixed, "h": h}
-
-
-def class_log_probabilities(w: np.ndarray, ids: np.ndarray, classes: np.ndarray, lengths: np.ndarray, at_once: int = 256) -> np.ndarray:
-    """Natural log of each place's class given what stands before it in its text.
-
-    The same sums as in training, laid out for speed: masked places before a text
-    occur in its first window alone, and those after it are never attended to.
-    """
-    p = parts(w)
-    kind = (classes.astype(np.int64) * HASHED + ids % HASHED).astype(np.int64)
-    table = (p["by_class"][:, None, :] + p["by_id"][None, :HASHED, :]).reshape(-1, WIDTH)
-    table = np.concatenate([table, p["by_id"][HASHED:]])
-    before = np.empty_like(kind)
-    before[1:] = kind[:-1]
-    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = len(table) - 1
-    qk, scale = np.concatenate([p["q"] * w.dtype.type(WIDTH**-0.5), p["k"], p["v"]], axis=1), _CAUSAL.astype(w.dtype)
-    near = np.where(_BACK >= 0, p["near"][np.maximum(_BACK, 0)], 0).astype(w.dtype) + scale
-    out = np.zeros(len(ids))
-    place = windows(lengths)
-    opening = place[:, 0] < 0
-    for lo in range(0, len(place), at_once):
-        part = place[lo : lo + at_once]
-        x = table[before[np.maximum(part, 0)]]
-        qkv = x @ qk
-        s = np.matmul(qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1))
-        s += near
-        s[opening[lo : lo + at_once], :, :CONTEXT] = -1e9
-        s = s[:, CONTEXT:]
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
-        mixed = np.matmul(s, qkv[..., 2 * WIDTH :])
-        mixed /= s.sum(axis=2, keepdims=True)
-        scored = part[:, CONTEXT:]
-        there = scored >= 0
-        h = (x[:, CONTEXT:] + mixed @ p["o"])[there]
-        at = scored[there]
-        z = h @ p["read"] + p["bias"]
-        goal = z[np.arange(len(at)), classes[at]]
-        top = z.max(axis=1)
-        z -= top[:, None]
-        np.exp(z, out=z)
-        out[at] = goal - top - np.log(z.sum(axis=1))
+    return np.stack([starts[text] + nth * STEP - CONTEXT, starts[text], starts[text] + lengths[text]], axis=1)
+
+
+def shifted(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The symbol before each place of texts laid end to end."""
+    before = np.empty(len(symbols), np.int64)
+    before[1:] = symbols[:-1]
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
+    return before
+
+
+def _near(p: dict, kind: type) -> np.ndarray:
+    return np.where(_BACK >= 0, p["near"][np.maximum(_BACK, 0)], _NEVER).astype(kind)
+
+
+def _forward(p: dict, before: np.ndarray, window: np.ndarray) -> dict:
+    """Hidden states of the places that ``window`` rows score, in text order."""
+    place = window[:, :1] + np.arange(WINDOW)
+    outside = window[:, 0] < window[:, 1]  # the first window of a text: what it has before the text is masked
+    row = before[np.clip(place, 0, len(before) - 1)]
+    x = p["embed"][row]
+    own = x[:, CONTEXT:].reshape(-1, WIDTH)
+    q = (own @ p["query"]).reshape(len(x), STEP, WIDTH)
+    a = np.matmul(q, x.transpose(0, 2, 1))
+    a *= a.dtype.type(WIDTH**-0.5)
+    a += _near(p, a.dtype)
+    a[outside, :, :CONTEXT] = _NEVER
+    np.minimum(a, _MOST, out=a)
+    np.exp(a, out=a)
+    a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(-1, STEP, 1)
+    mixed = np.matmul(a, x)
+    scored = np.flatnonzero(place[:, CONTEXT:] < window[:, 2:])
+    h = (own + mixed.reshape(-1, WIDTH) @ p["value"])[scored]
+    return {"row": row, "x": x, "own": own, "q": q, "a": a, "mixed": mixed, "scored": scored, "h": h, "at": place[:, CONTEXT:].ravel()[scored]}
+
+
+def _softmax(z: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of each row's goal, and ``z`` turned into probabilities."""
+    np.minimum(z, _MOST, out=z)
+    hit = z.ravel()[np.arange(len(z)) * z.shape[1] + goal]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    z *= (1 / total)[:, None]
+    return hit - np.log(total), z
+
+
+def _groups(cluster: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    order = np.argsort(cluster.astype(np.uint8), kind="stable")
+    ends = np.cumsum(np.bincount(cluster, minlength=CLUSTERS)).tolist()
+    return order, [(c, lo, hi) for c, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if hi > lo]
+
+
+def _read_out(p: dict, h: np.ndarray, goal: np.ndarray) -> dict:
+    """Log-probabilities of the goals' clusters and members, and both distributions."""
+    cluster, member = goal // MEMBERS, goal % MEMBERS
+    log, y = _softmax(h @ p["cluster"] + p["cluster_bias"], cluster)
+    order, groups = _groups(cluster)
+    sorted_h = h[order]
+    z = np.empty((len(h), MEMBERS), h.dtype)
+    for c, lo, hi in groups:
+        np.matmul(sorted_h[lo:hi], p["member"][c], out=z[lo:hi])
+        z[lo:hi] += p["member_bias"][c]
+    log_member, y_member = _softmax(z, member[order])
+    log[order] += log_member
+    return {"log": log, "y": y, "order": order, "groups": groups, "sorted_h": sorted_h, "y_member": y_member, "cluster": cluster, "member": member}
+
+
+def log_probabilities(w: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, at_once: int = 384) -> np.ndarray:
+    """Natural log of each place's symbol given what stands before it in its text."""
+    p, before, window = parts(w), shifted(symbols, lengths), windows(lengths)
+    out = np.zeros(len(symbols))
+    for lo in range(0, len(window), at_once):
+        f = _forward(p, before, window[lo : lo + at_once])
+        out[f["at"]] = _read_out(p, f["h"], symbols[f["at"]])["log"]
     return out
 
 
-def gradient(w: np.ndarray, ids: np.ndarray, classes: np.ndarray, place: np.ndarray, first: np.ndarray) -> tuple[float, np.ndarray]:
+def gradient(w: np.ndarray, symbols: np.ndarray, before: np.ndarray, window: np.ndarray) -> tuple[float, np.ndarray]:
     """Mean loss over the places the windows score, and its gradient."""
     p = parts(w)
-    f = _forward(p, ids, classes, place, first)
-    z = f["h"] @ p["read"] + p["bias"]
-    z -= z.max(axis=2, keepdims=True)
-    e = np.exp(z)
-    y = e / e.sum(axis=2, keepdims=True)
-    goal = classes[f["safe"]]
-    scored = f["there"].copy()
-    scored[:, :CONTEXT] = False
-    n = max(1, int(scored.sum()))
-    rows, cols = np.nonzero(scored)
-    loss = float(-np.log(np.maximum(y[rows, cols, goal[rows, cols]], 1e-30)).mean()) if len(rows) else 0.0
-    dz = y * scored[..., None]
-    dz[rows, cols, goal[rows, cols]] -= 1
-    dz /= np.float32(n)
+    f = _forward(p, before, window)
+    r = _read_out(p, f["h"], symbols[f["at"]])
+    n = len(f["h"])
     g = np.zeros_like(w)
     d = parts(g)
-
-    def outer(a, b):
-        return a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
-
-    d["read"][:], d["bias"][:] = outer(f["h"], dz), dz.sum(axis=(0, 1))
-    dh = dz @ p["read"].T
-    d["o"][:] = outer(f["mixed"], dh)
-    dm = dh @ p["o"].T
-    da = np.matmul(dm, f["v"].transpose(0, 2, 1))
-    dv = np.matmul(f["a"].transpose(0, 2, 1), dm)
-    ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True))
-    d["near"][:] = np.bincount(np.maximum(_BACK, 0).ravel(), ds.sum(axis=0).ravel() * (_BACK.ravel() >= 0), WINDOW)
-    ds *= np.float32(WIDTH**-0.5)
-    dq, dk = np.matmul(ds, f["k"]), np.matmul(ds.transpose(0, 2, 1), f["q"])
-    dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    d["q"][:], d["k"][:], d["v"][:] = outer(f["x"], dq), outer(f["x"], dk), outer(f["x"], dv)
-    for name, row, part in (("by_id", f["hashed"], dx), ("by_class", f["own"], dx * ~f["begins"][..., None])):
-        d[name][:] = np.bincount((row[..., None] * WIDTH + np.arange(WIDTH)).ravel(), part.ravel(), d[name].size).reshape(-1, WIDTH)
-    return loss, g
-
-
-def train(w: np.ndarray, ids: np.ndarray, classes: np.ndarray, lengths: np.ndarray, share: float, least: int, rate: float = 0.01, batch: int = 64, seed: int = 0, nth: int = 0, of: int = 1) -> tuple[np.ndarray, int]:
-    """One pass over the ``nth`` of ``of`` random parts of the windows, or a ``share`` of it,
-    ``least`` at least where there are as many; the new weights and the number of windows
-    used.  The parts of one seed hold every window once."""
-    place = windows(lengths)
-    first = np.zeros(len(ids), bool)
-    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    rng = np.random.default_rng(seed)
-    use = rng.permutation(len(place))[nth::of]
-    use = use[: max(min(max(least, 0), len(use)), int(share * len(use)))]
-    m, v, w = np.zeros(SIZE), np.zeros(SIZE), w.copy()
-    for t, lo in enumerate(range(0, len(use), batch), 1):
-        _, g = gradient(w, ids, classes, place[use[lo : lo + batch]], first)
-        m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
-        w -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.98**t)) + 1e-8)).astype(np.float32)
-    return w, len(use)
+    dz, dm = r["y"], r["y_member"]
+    dz[np.arange(n), r["cluster"]] -= 1
+    dm[np.arange(n), r["member"][r["order"]]] -= 1
+    dz *= w.dtype.type(1 / n)
+    dm *= w.dtype.type(1 / n)
+    d["cluster"][:], d["cluster_bias"][:] = f["h"].T @ dz, dz.sum(axis=0)
+    dh = dz @ p["cluster"].T
+    below = np.empty_like(dh)
+    for c, lo, hi in r["groups"]:
+        d["member"][c] = r["sorted_h"][lo:hi].T @ dm[lo:hi]
+        d["member_bias"][c] = dm[lo:hi].sum(axis=0)
+        np.matmul(dm[lo:hi], p["member"][c].T, out=below[lo:hi])
+    dh[r["order"]] += below
+
+    x, q, a, mixed = f["x"], f["q"], f["a"], f["mixed"]
+    flat = np.zeros((len(window) * STEP, WIDTH), w.dtype)
+    flat[f["scored"]] = dh
+    d["value"][:] = mixed.reshape(-1, WIDTH).T @ flat
+    dmix = (flat @ p["value"].T).reshape(q.shape)
+    ds = np.matmul(dmix, x.transpose(0, 2, 1))
+    ds -= np.einsum("bij,bij->bi", dmix, mixed)[..., None]  # the same sum as over ds * a
+    ds *= a
+    d["near"][:] = np.bincount(np.maximum(_BACK, 0).ravel(), (ds.sum(axis=0) * (_BACK >= 0)).ravel(), WINDOW)
+    ds *= w.dtype.type(WIDTH**-0.5)
+    dq = np.matmul(ds, x).reshape(-1, WIDTH)
+    d["query"][:] = f["own"].T @ dq
+    flat += dq @ p["query"].T
+    dx = np.matmul(ds.transpose(0, 2, 1), q)
+    dx += np.matmul(a.transpose(0, 2, 1), dmix)
+    dx[:, CONTEXT:] += flat.reshape(q.shape)
+    at = f["row"].ravel()[:, None] * WIDTH + np.arange(WIDTH)
+    d["embed"][:] = np.bincount(at.ravel(), dx.ravel(), d["embed"].size).reshape(-1, WIDTH)
+    return -float(r["log"].mean()), g
+
+
+class Trainer:
+    """Adam over batch after batch of texts; ``used`` counts the windows learned from."""
+
+    def __init__(self, w: np.ndarray, rate: float):
+        self.w, self.rate, self.used, self.steps = w.copy(), rate, 0, 0
+        self.m, self.v = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
+
+    def learn(self, symbols: np.ndarray, lengths: np.ndarray, nth: int = 0, of: int = 1, batch: int = 192, seed: int = 0) -> None:
+        """One pass over the ``nth`` of ``of`` random parts of the windows; the parts of one
+        seed hold every window once."""
+        window, before = windows(lengths), shifted(symbols, lengths)
+        use = np.random.default_rng(seed).permutation(len(window))[nth::of]
+        for lo in range(0, len(use), batch):
+            self._step(gradient(self.w, symbols, before, window[use[lo : lo + batch]])[1])
+        self.used += len(use)
+
+    def _step(self, g: np.ndarray) -> None:
+        self.steps += 1
+        self.m += np.float32(0.1) * (g - self.m)
+        self.v += np.float32(0.02) * (g * g - self.v)
+        rate = self.rate * np.sqrt(1 - 0.98**self.steps) / (1 - 0.9**self.steps)
+        self.w -= np.float32(rate) * self.m / (np.sqrt(self.v) + np.float32(1e-8))

@@ -1,18 +1,18 @@
 """Language-model scores of whole texts by a causal self-attention model on subword ids.
 
 Texts are lower-cased (A-Z) and cut into words; each word is a run of subword ids of
-a public tokenizer, each text closes with one end id.  The model (``attention``)
-gives the class of the next subword from the subwords before it; within a class a
-subword has its share in the training texts, given the class before it in the word.
-Overlapping windows score every place once.  ``attention_score`` is this alone; for
-``score`` each word's probability, weighted ``MIX``, is mixed with its smoothed share
-of all training words, whose own sum is ``base_score``.
+a public tokenizer, each text closes with one end id.  The model (``attention``) gives
+every subword id a probability after those before it, which sum to 1 over all ids;
+overlapping windows score every place once, and ``score`` is the sum of log10 over a
+text's places, its end included.  ``base_score`` is the smoothed word unigram's.
 
 Everything learned comes from all training texts, which are those whose
 crc32(doc_id) mod 10 isn't 0: word and subword counts are exact and corpus-wide, and
 the attention weights are averaged over all tasks, each of which trains on the windows
 of every batch it holds (local SGD): a round takes one of ``ROUNDS`` random parts of
 them, so the rounds together take every window once, however the corpus is dealt out.
+The weights, and with them ``score``, depend on how the stored rows lie in tasks; the
+same files in the same session settings give the same scores.
 
 A task keeps a batch's texts as codes into the batch's own words; words travel to
 their hash bucket once a batch, and their counts travel back.
@@ -41,14 +41,14 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .common import settled
-from .substring import _planes, _unplaned
-from .words import release, slices, split_words
+from .words import pack, planes, release, roomy, slices, split_words, unpack, unplaned
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-SHARE, LEAST, ROUNDS = 1.0, 0, 3
+RATES = (0.02, 0.01, 0.005)
+"""Adam's rate in each round; there are as many rounds, and as many parts of the windows."""
 BATCH_BYTES = 8 << 20
 SMOOTH = 0.1
-MIX = 0.2
+CHUNKS, LANES = 8, 16  # weights travel in chunks; a chunk is summed in this many lanes
 LN10 = float(np.log(10))
 _BATCH = "batch long, bucket int, words binary, counts binary, pack binary, subs binary, n_train long"
 
@@ -62,35 +62,21 @@ def _tokenizer(ranks: bytes):
 
 
 @lru_cache(maxsize=2)
-def subword_classes(ranks: bytes) -> np.ndarray:
-    """Each id's class: does it begin a word, and its first letter; the end id is last."""
+def subword_clusters(ranks: bytes) -> np.ndarray:
+    """Each id's cluster: does it begin a word, and its first letter; the end id is last."""
     out = []
     for a in sorted((map(bytes.split, ranks.splitlines())), key=lambda x: int(x[1])):
         token = base64.b64decode(a[0])
         begins, letter = token[:1] == b" ", token.lstrip(b" ")[:1].lower()
-        group = (letter[0] - 97) // 2 if letter.isalpha() and letter < b"{" else 13 if letter.isdigit() else 14 if letter >= b"\x80" else 15
-        out.append(16 * begins + group)
-    return np.array([*out, 31], np.int64)
+        group = (letter[0] - 97) // 2 if letter.isalpha() and letter < b"{" else 13 if letter.isdigit() else 14
+        out.append(15 * begins + group)
+    return np.array([*out, 30], np.int64)
 
 
 def _held_out(ids: list[int | None]) -> np.ndarray:
     return np.array([i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i in ids], bool)
 
 
-def _pack(**arrays: np.ndarray) -> bytes:
-    parts = [_planes(a) for a in arrays.values()]
-    return b"".join([len(p).to_bytes(4, "little") + p for p in parts])
-
-
-def _unpack(data: bytes, kinds: list[type]) -> list[np.ndarray]:
-    out, at = [], 0
-    for kind in kinds:
-        n = int.from_bytes(data[at : at + 4], "little")
-        out.append(_unplaned(data[at + 4 : at + 4 + n], kind) if n else np.zeros(0, kind))
-        at += 4 + n
-    return out
-
-
 _PACKED = [np.int64, np.uint8, np.int32, np.int32, np.uint8, np.uint16]
 """doc ids, flags (1 held out, 2 null id), words per text, word codes, subwords per word, subword ids"""
 
@@ -99,8 +85,8 @@ def _batches(docs: DataFrame, ranks: bytes, bits: int) -> DataFrame:
     """Rows of three kinds for each batch: words by bucket, the coded texts, subword counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roomy()
         tokenizer, end = _tokenizer(ranks)
-        classes = subword_classes(ranks)
         zip_ = zstandard.ZstdCompressor(level=1)
         nth = 0
         for whole in batches:
@@ -124,12 +110,9 @@ def _batches(docs: DataFrame, ranks: bytes, bits: int) -> DataFrame:
                 flat = np.fromiter((i for s in subs for i in s), np.uint16, int(n_subs.sum()))
                 learn = np.repeat(~held, np.diff(offsets))
                 counts = np.bincount(codes[learn], minlength=len(words)).astype(np.int64)
-                lead = np.full(len(flat), attention.CLASSES, np.int64)  # before a word's first subword
-                lead[1:] = classes[flat[:-1]]
-                lead[(np.cumsum(n_subs) - n_subs)[n_subs > 0]] = attention.CLASSES
-                seen, of_seen = np.unique(lead * (end + 1) + flat, return_inverse=True)
-                seen_n = np.bincount(of_seen, np.repeat(counts, n_subs), len(seen)).astype(np.int64)
-                seen, seen_n = np.append(seen, attention.CLASSES * (end + 1) + end), np.append(seen_n, int((~held).sum()))
+                seen_n = np.bincount(flat, np.repeat(counts, n_subs), end + 1).astype(np.int64)
+                seen_n[end] = int((~held).sum())
+                seen = np.flatnonzero(seen_n)
                 rows = {c.split()[0]: [] for c in _BATCH.split(", ")}
 
                 def add(rows=rows, name=name, **row):
@@ -140,14 +123,14 @@ def _batches(docs: DataFrame, ranks: bytes, bits: int) -> DataFrame:
                 edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(0, np.int64)
                 for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     blob = zip_.compress("\n".join(words[lo:hi]).encode())
-                    add(bucket=int(bucket[lo]), words=blob, counts=_planes(counts[lo:hi]))
+                    add(bucket=int(bucket[lo]), words=blob, counts=planes(counts[lo:hi]))
                 flags = held.astype(np.uint8) + 2 * np.array([i is None for i in ids], np.uint8)
-                packed = _pack(
+                packed = pack(
                     ids=np.array([i or 0 for i in ids], np.int64), flags=flags, lengths=np.diff(offsets).astype(np.int32), codes=codes.astype(np.int32),
                     n_subs=np.where(long, 0, n_subs).astype(np.uint8), subs=flat,
                 )
-                packed += _pack(long=np.flatnonzero(long).astype(np.int64), sizes=n_subs[long].astype(np.int64))
-                add(pack=packed, subs=_pack(at=seen, n=seen_n), n_train=int((~held).sum()))
+                packed += pack(long=np.flatnonzero(long).astype(np.int64), sizes=n_subs[long].astype(np.int64))
+                add(pack=packed, subs=pack(at=seen, n=seen_n[seen]), n_train=int((~held).sum()))
                 yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("words", "counts", "pack", "subs")), ("n_train", pa.int64())]))
 
         release()
@@ -155,9 +138,9 @@ def _batches(docs: DataFrame, ranks: bytes, bits: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _BATCH)
 
 
-def _unbatch(pack: bytes) -> list[np.ndarray]:
+def _unbatch(packed: bytes) -> list[np.ndarray]:
     """ids, flags, words per text, word codes, subwords per word, subword ids of a batch."""
-    out = _unpack(pack, [*_PACKED, np.int64, np.int64])
+    out = unpack(packed, [*_PACKED, np.int64, np.int64])
     n_subs = out[4].astype(np.int64)
     n_subs[out[6]] = out[7]
     return [*out[:4], n_subs, out[5]]
@@ -174,7 +157,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = code.indices.to_numpy(zero_copy_only=False)
         total = np.bincount(at, np.concatenate([c for *_, c in held]), len(code.dictionary)).astype(np.int64)
         ends = np.cumsum([len(ws) for _, ws, _ in held])
-        blobs = [_planes(t) for t in np.split(total[at], ends[:-1])]
+        blobs = [planes(t) for t in np.split(total[at], ends[:-1])]
         first = [1] + [0] * (len(held) - 1)
         columns = [[b for b, *_ in held], [bucket] * len(held), blobs, [int(total.sum()) * f for f in first], [int((total > 0).sum()) * f for f in first]]
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
@@ -187,7 +170,7 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from settle()
                 held = []
             bucket = row["bucket"]
-            held.append((row["batch"], unzip.decompress(row["words"]).decode("utf-8", "surrogatepass").split("\n"), _unplaned(row["counts"], np.int64)))
+            held.append((row["batch"], unzip.decompress(row["words"]).decode("utf-8", "surrogatepass").split("\n"), unplaned(row["counts"], np.int64)))
     if held:
         yield from settle()
 
@@ -218,63 +201,76 @@ def _chunks(lengths: np.ndarray, most: int = 1 << 19):
         at = stop
 
 
-def _rounds(batches: DataFrame, ranks: bytes, share: float, least: int, rounds: int) -> np.ndarray:
-    """Weights after rounds of local training, a task going on from batch to batch, averaged
-    by windows used."""
-    classes = subword_classes(ranks)
-    weights = attention.initial()
-    for nth in range(rounds):
-
-        def run(parts: Iterator[pa.RecordBatch], start=weights, nth=nth) -> Iterator[pa.RecordBatch]:
-            w, used = start, 0
-            for part in parts:
-                for pack in part.column("pack").to_pylist():
-                    _, flags, lengths, codes, n_subs, subs = _unbatch(pack)
-                    for first, last, a, b in _chunks(lengths.astype(np.int64)):
-                        learn = (flags[first:last] & 1) == 0
-                        keep = np.repeat(learn, lengths[first:last])
-                        ids, per = _places(codes[a:b][keep], lengths[first:last][learn].astype(np.int64), n_subs, subs, len(classes) - 1)
-                        w, n = attention.train(w, ids, classes[ids], per, share, least - used, nth=nth, of=rounds)
-                        used += n
-            if used:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(attention.SIZE, dtype=np.int32)), pa.array(used * w.astype(np.float64)), pa.array(np.full(attention.SIZE, used))], names=["i", "total", "used"])
-
-        made = batches.select("pack").mapInArrow(run, "i int, total double, used long")
-        rows = made.groupBy("i").agg((F.sum("total") / F.sum("used")).alias("w")).orderBy("i").collect()  # one row a weight
-        if rows:
-            weights = np.array([r["w"] for r in rows], np.float32)
-    return weights
-
-
-def _shares(batches: DataFrame, ranks: bytes, pull: float = 10.0) -> np.ndarray:
-    """log10 of each subword's share of its class, by the class before it in the word
-    (one row more for a word's first): corpus counts, smoothed by the class's own shares.
-    """
-    classes = subword_classes(ranks)
-    shape = (attention.CLASSES + 1, len(classes))
+def _counted(batches: DataFrame, n_ids: int) -> np.ndarray:
+    """How often each subword id occurs in the training texts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape[0] * shape[1], np.int64)
+        total = np.zeros(n_ids, np.int64)
         for part in parts:
             for blob in part.column("subs").to_pylist():
-                at, n = _unpack(blob, [np.int64, np.int64])
+                at, n = unpack(blob, [np.int64, np.int64])
                 total[at] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["i", "n"])
 
-    found = batches.select("subs").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()  # at most a row a cell
-    counts = np.zeros(shape[0] * shape[1])
+    found = batches.select("subs").mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()  # at most a row an id
+    counts = np.zeros(n_ids, np.int64)
     counts[found["i"].to_numpy()] = found["n"].to_numpy()
-    counts = counts.reshape(shape)
-    flat = counts.sum(axis=0) + SMOOTH
-    flat = flat / np.bincount(classes, flat, attention.CLASSES)[classes]
-    by_class = np.stack([np.bincount(classes, row, attention.CLASSES)[classes] for row in counts])
-    return np.log10((counts + pull * flat) / (by_class + pull)).astype(np.float32)
+    return counts
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights of many tasks added up by lane, in the order of the tasks."""
+    totals: dict[int, tuple[int, np.ndarray]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            w, used = np.frombuffer(row["w"], np.float32).astype(np.float64) * row["used"], row["used"]
+            before = totals.get(row["lane"])
+            totals[row["lane"]] = (used, w) if before is None else (used + before[0], w + before[1])
+    lanes = list(totals)
+    columns = [pa.array(lanes, pa.int32()), pa.array([totals[k][0] for k in lanes], pa.int64()), pa.array([totals[k][1].tobytes() for k in lanes], pa.binary())]
+    yield pa.RecordBatch.from_arrays(columns, names=["lane", "used", "w"])
+
+
+def _rounds(batches: DataFrame, symbols: attention.Symbols, counts: np.ndarray, rates: tuple[float, ...] = RATES) -> np.ndarray:
+    """Weights after rounds of local training, a task going on from batch to batch, averaged
+    by windows used."""
+    weights, end, parts = attention.initial(symbols, counts), len(counts) - 1, int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for nth, rate in enumerate(rates):
+
+        def run(parts: Iterator[pa.RecordBatch], start=weights, nth=nth, rate=rate) -> Iterator[pa.RecordBatch]:
+            roomy()
+            trainer = attention.Trainer(start, rate)
+            for part in parts:
+                for packed in part.column("pack").to_pylist():
+                    _, flags, lengths, codes, n_subs, subs = _unbatch(packed)
+                    for first, last, a, b in _chunks(lengths.astype(np.int64)):
+                        learn = (flags[first:last] & 1) == 0
+                        keep = np.repeat(learn, lengths[first:last])
+                        ids, per = _places(codes[a:b][keep], lengths[first:last][learn].astype(np.int64), n_subs, subs, end)
+                        trainer.learn(symbols.of[ids].astype(np.int64), per, nth, len(rates))
+            if trainer.used:
+                task = TaskContext.get().partitionId()
+                made = [c.tobytes() for c in np.array_split(trainer.w, CHUNKS)]
+                lanes = [c * LANES + task % LANES for c in range(CHUNKS)]
+                columns = [pa.array(lanes, pa.int32()), pa.array([task] * CHUNKS, pa.int32()), pa.array([trainer.used] * CHUNKS, pa.int64()), pa.array(made, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lane", "task", "used", "w"])
+            release()
+
+        made = batches.select("pack").mapInArrow(run, "lane int, task int, used long, w binary")
+        lanes = made.repartition(min(parts, CHUNKS * LANES), "lane").sortWithinPartitions("lane", "task")
+        rows = lanes.mapInArrow(_summed, "lane int, used long, w binary").collect()  # at most CHUNKS * LANES rows
+        if rows:
+            chunks = []
+            for c in range(CHUNKS):
+                own = sorted((r for r in rows if r["lane"] // LANES == c), key=lambda r: r["lane"])
+                chunks.append(sum(np.frombuffer(r["w"], np.float64) for r in own) / sum(r["used"] for r in own))
+            weights = np.concatenate(chunks).astype(np.float32)
+    return weights
 
 
-def score(docs: DataFrame, vocabulary: str = VOCABULARY, share: float = SHARE, least: int = LEAST, rounds: int = ROUNDS) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
-    attention_score`` of every row."""
+def score(docs: DataFrame, vocabulary: str = VOCABULARY, rates: tuple[float, ...] = RATES) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
     spark: SparkSession = docs.sparkSession
     with open(vocabulary, "rb") as f:
         ranks = f.read()  # some hundred kB
@@ -286,38 +282,27 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, share: float = SHARE, l
     n_words, n_types = totals.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     ends = packs.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
     tokens, types = n_words + ends, n_types + (ends > 0)
-    within, classes = _shares(packs, ranks), subword_classes(ranks)
-    weights = _rounds(packs, ranks, share, least, rounds)
+    clusters = subword_clusters(ranks)
+    counts = _counted(packs, len(clusters))
+    symbols = attention.Symbols.from_counts(clusters, counts, SMOOTH)
+    weights = _rounds(packs, symbols, counts, rates)
     below = tokens + SMOOTH * (types + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        roomy()
         out = []
         counted = right.sort_by("bucket").column("total").to_pylist()
-        count = np.concatenate([_unplaned(b, np.int64) for b in counted]) if counted else np.zeros(0, np.int64)
+        count = np.concatenate([unplaned(b, np.int64) for b in counted]) if counted else np.zeros(0, np.int64)
         base, known = np.log10((count + SMOOTH) / below), (count > 0).astype(float)
-        for pack in left.column("pack").to_pylist():
-            ids, flags, lengths, codes, n_subs, subs = _unbatch(pack)
+        for packed in left.column("pack").to_pylist():
+            ids, flags, lengths, codes, n_subs, subs = _unbatch(packed)
             lengths = lengths.astype(np.int64)
             for first, last, a, b in _chunks(lengths):
                 n, code = lengths[first:last], codes[a:b]
                 text = np.repeat(np.arange(len(n)), n)
-                places, per = _places(code, n, n_subs, subs, len(classes) - 1)
-                logs = attention.class_log_probabilities(weights, places, classes[places], per) / np.log(10)
-                each = np.ones(len(code) + len(n), np.int64)  # words and ends, in order
-                closing = np.cumsum(n + 1) - 1
-                word = np.ones(len(each), bool)
-                word[closing] = False
-                each[word] = n_subs[code]
-                begins = np.cumsum(each) - each
-                lead = np.empty(len(places), np.int64)
-                lead[1:] = classes[places[:-1]]
-                lead[begins] = attention.CLASSES
-                logs += within[lead, places]
-                by_word = np.add.reduceat(logs, begins)
-                plain = np.full(len(each), np.log10((ends + SMOOTH) / below))
-                plain[word] = base[code]
-                mixed = np.logaddexp(by_word * LN10 + np.log(MIX), plain * LN10 + np.log(1 - MIX)) / LN10
-                owner = np.repeat(np.arange(len(n)), n + 1)
+                places, per = _places(code, n, n_subs, subs, len(clusters) - 1)
+                ids_of = symbols.of[places].astype(np.int64)
+                logs = attention.log_probabilities(weights, ids_of, per) / LN10 + symbols.share[places]
                 null = (flags[first:last] & 2) > 0
                 out.append(
                     pa.table(
@@ -328,16 +313,15 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, share: float = SHARE, l
                             "n_known": np.bincount(text, known[code], len(n)).astype(np.int64) + int(ends > 0),
                             "train_tokens": np.full(len(n), tokens, np.int64),
                             "base_score": np.bincount(text, base[code], len(n)) + np.log10((ends + SMOOTH) / below),
-                            "score": np.bincount(owner, mixed, len(n)),
-                            "attention_score": np.bincount(owner, by_word, len(n)),
+                            "score": np.add.reduceat(logs, np.cumsum(per) - per),
                         }
                     )
                 )
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("attention_score", pa.float64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
 
     met = packs.select("batch", "pack").groupBy("batch").cogroup(totals.select("batch", "bucket", "total").groupBy("batch"))
-    return met.applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, attention_score double")
+    return met.applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_lm_scores(spark, sf_dir):

@@ -37,12 +37,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lm import _pack, _unpack
-from .substring import _planes, _unplaned
-from .words import release, slices
+from .words import pack, planes, release, roomy, slices, unpack, unplaned
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONGEST = 61  # characters of a word whose boundaries, and one bit more, fit a long
@@ -74,11 +73,28 @@ def load(path: str) -> Pieces:
     proto = sentencepiece_model_pb2.ModelProto()
     with open(path, "rb") as f:
         proto.ParseFromString(f.read())
+    _check(proto)
     n = s.get_piece_size()
     plain = [i for i in range(n) if not (s.is_control(i) or s.is_unknown(i) or s.is_byte(i) or s.is_unused(i))]
     return table([(s.id_to_piece(i), i, s.get_score(i)) for i in plain], {s.id_to_piece(i): i for i in range(n) if s.is_byte(i)}, n, s.unk_id(), proto.trainer_spec.model_type == 1)
 
 
+def _check(proto) -> None:
+    """A model that would be read otherwise than its own library does is refused."""
+    rules, kinds = proto.normalizer_spec, proto.trainer_spec
+    odd = {
+        "a normaliser": bool(rules.precompiled_charsmap),
+        "no dummy prefix": not rules.add_dummy_prefix,
+        "white space removed": rules.remove_extra_whitespaces,
+        "white space unescaped": not rules.escape_whitespaces,
+        "white space as suffix": kinds.treat_whitespace_as_suffix,
+        "neither unigram nor BPE": kinds.model_type not in (1, 2),
+        "user-defined pieces": any(x.type == 4 for x in proto.pieces),
+    }
+    if any(odd.values()):
+        raise ValueError("the model has " + ", ".join(name for name, is_so in odd.items() if is_so))
+
+
 def table(plain: list[tuple[str, int, float]], byte_pieces: dict[str, int], n: int, unknown: int, unigram: bool) -> Pieces:
     score = {p: s for p, _, s in plain}
 
@@ -233,8 +249,12 @@ def _word_lists(texts: pa.Array) -> pa.LargeListArray:
     return pa.array(rows, pa.large_list(pa.large_string()))
 
 
-def _coded(batch: pa.RecordBatch, bits: int):
-    """Batch name, words by falling frequency, their buckets, words per text, codes."""
+def _coded(batch: pa.RecordBatch, bits: int, nth: int):
+    """Batch name, words by falling frequency, their buckets, words per text, codes.
+
+    The name tells the task, the batch's number in it and its contents: batches of equal
+    texts stay apart, and another read that deals the rows otherwise is found out.
+    """
     lists = _word_lists(batch.column("text"))
     flat = lists.flatten().dictionary_encode()
     codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -246,7 +266,8 @@ def _coded(batch: pa.RecordBatch, bits: int):
     of = xxhash.xxh64_intdigest
     bucket = (np.fromiter((of(w) for w in words), np.uint64, len(words)) >> np.uint64(64 - bits)).astype(np.uint32)
     lengths = np.diff(lists.offsets.to_numpy()).astype(np.uint32)
-    name = xxhash.xxh3_64(codes.tobytes())
+    name = xxhash.xxh3_64(f"{TaskContext.get().partitionId()} {nth}".encode())
+    name.update(codes.tobytes())
     name.update(lengths.tobytes())
     for w in words:
         name.update(w.encode("utf-8", "surrogatepass") + b"\0")
@@ -258,8 +279,8 @@ def _vocabularies(docs: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
-        for batch in (part for whole in batches for part in slices(whole, "text", BATCH_BYTES)):
-            name, words, bucket, *_ = _coded(batch, bits)
+        for nth, batch in enumerate(part for whole in batches for part in slices(whole, "text", BATCH_BYTES)):
+            name, words, bucket, *_ = _coded(batch, bits, nth)
             order = np.argsort(bucket, kind="stable")
             edges = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1, append=-1)) if len(order) else np.zeros(1, int)
             blobs = [zip_.compress(SPACE.join([words[i] for i in order[a:b].tolist()]).encode("utf-8", "surrogatepass")) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -297,7 +318,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
         yield packed(None, zip_.compress(SPACE.join(words.to_pylist()).encode("utf-8", "surrogatepass")))
         for (name, _), refs in zip(held, np.split(at, np.cumsum([len(ws) for _, ws in held])[:-1]), strict=True):
-            yield packed(name, _planes(refs))
+            yield packed(name, planes(refs))
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -343,12 +364,12 @@ def _answers(p: Pieces):
         for row in rows:
             if row["batch"] is None:
                 continue
-            at = _unplaned(row["packed"], np.uint32).astype(np.int64)
+            at = unplaned(row["packed"], np.uint32).astype(np.int64)
             each = sizes[at]
             take = np.repeat(starts[at] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
             out["batch"].append(row["batch"])
             out["bucket"].append(row["of_bucket"])
-            out["ids"].append(_pack(sizes=each.astype(np.uint32), ids=flat[take]))
+            out["ids"].append(pack(sizes=each.astype(np.uint32), ids=flat[take]))
         release()
         return pa.table(out, schema=pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary())]))
 
@@ -376,14 +397,14 @@ def _packs(docs: DataFrame, bits: int, others: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=3)
-        for batch in (part for whole in batches for part in slices(whole, "text", BATCH_BYTES)):
-            name, _, bucket, lengths, codes = _coded(batch, bits)
+        for nth, batch in enumerate(part for whole in batches for part in slices(whole, "text", BATCH_BYTES)):
+            name, _, bucket, lengths, codes = _coded(batch, bits, nth)
             rest = batch.select(others)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest.schema) as stream:
                 stream.write_batch(rest)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([_pack(buckets=bucket, lengths=lengths, codes=codes)], pa.binary()), pa.array([zip_.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["batch", "pack", "rows"]
+                [pa.array([name]), pa.array([pack(buckets=bucket, lengths=lengths, codes=codes)], pa.binary()), pa.array([zip_.compress(sink.getvalue().to_pybytes())], pa.binary())], names=["batch", "pack", "rows"]
             )
 
         release()
@@ -434,14 +455,14 @@ def encode(docs: DataFrame, path: str = MODEL, others: tuple[str, ...] = ("doc_i
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         blobs = right.sort_by("bucket").to_pylist()
-        got = {r["bucket"]: r["ids"] for r in blobs}  # equal batches have equal answers
+        got = {r["bucket"]: r["ids"] for r in blobs}
         for row in left.to_pylist():
-            buckets, lengths, codes = _unpack(row["pack"], [np.uint32, np.uint32, np.uint32])
+            buckets, lengths, codes = unpack(row["pack"], [np.uint32, np.uint32, np.uint32])
             sizes_of, ids_of = np.zeros(len(buckets), np.int64), []
             order = np.argsort(buckets, kind="stable")
             at = 0
             for b in sorted(got):
-                sizes, ids = _unpack(got[b], [np.uint32, np.uint32])
+                sizes, ids = unpack(got[b], [np.uint32, np.uint32])
                 sizes_of[order[at : at + len(sizes)]] = sizes
                 ids_of.append(ids)
                 at += len(sizes)

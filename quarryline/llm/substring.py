@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled
-from .words import owners, release, rolling, slices, split_words, window_starts
+from .words import owners, planes, release, rolling, slices, split_words, unplaned, window_starts
 
 WIDTH = 13
 STORED = 7  # bytes of a hash that travel; its bucket tells more
@@ -41,17 +41,6 @@ BATCH_BYTES = 8 << 20
 SEEDS = 8
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Compressed integers, byte planes apart."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
-
-
-def _unplaned(data: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
-
-
 def _hashed(h: np.ndarray) -> bytes:
     return h.view(np.uint8).reshape(len(h), 8)[:, :STORED].tobytes()
 
@@ -109,12 +98,12 @@ def _edges(docs: DataFrame, width: int, bits: int, seed: int) -> DataFrame:
             def add(bucket, hashes, doc, var, pos, source=None, of_source=None, q=None, out=out):
                 out["bucket"].append(int(bucket))
                 out["hashes"].append(hashes)
-                out["docs"].append(_planes(np.diff(doc, prepend=0)))
-                out["vars"].append(_planes(var) if var.any() else None)  # null: all 0
-                out["places"].append(_planes(pos))
-                out["sources"].append(None if source is None else _planes(np.diff(source, prepend=0)))
-                out["source_vars"].append(_planes(of_source) if of_source is not None and of_source.any() else None)
-                out["source_places"].append(None if q is None else _planes(q))
+                out["docs"].append(planes(np.diff(doc, prepend=0)))
+                out["vars"].append(planes(var) if var.any() else None)  # null: all 0
+                out["places"].append(planes(pos))
+                out["sources"].append(None if source is None else planes(np.diff(source, prepend=0)))
+                out["source_vars"].append(planes(of_source) if of_source is not None and of_source.any() else None)
+                out["source_places"].append(None if q is None else planes(q))
 
             if local.any():
                 add(of(np.int64(doc[0]).tobytes(), seed) & ((1 << bits) - 1), None, doc[local], var[local], pos[local], source[local], of_source[local], q[local])
@@ -143,7 +132,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)]) for c in columns], names=["doc", "var", "pos", "source", "source_var", "q"])
 
     def numbers(data: bytes | None, n: int) -> np.ndarray:
-        return np.zeros(n, np.int32) if data is None else _unplaned(data, np.int32)
+        return np.zeros(n, np.int32) if data is None else unplaned(data, np.int32)
 
     held: list[tuple] = []
     bucket = None
@@ -156,10 +145,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in batch.to_pylist():
-            doc, pos = np.cumsum(_unplaned(row["docs"], np.int64)), _unplaned(row["places"], np.int32)
+            doc, pos = np.cumsum(unplaned(row["docs"], np.int64)), unplaned(row["places"], np.int32)
             if row["hashes"] is None:
-                source, n = np.cumsum(_unplaned(row["sources"], np.int64)), len(doc)
-                yield from rows(doc, numbers(row["vars"], n), pos, source, numbers(row["source_vars"], n), _unplaned(row["source_places"], np.int32))
+                source, n = np.cumsum(unplaned(row["sources"], np.int64)), len(doc)
+                yield from rows(doc, numbers(row["vars"], n), pos, source, numbers(row["source_vars"], n), unplaned(row["source_places"], np.int32))
                 continue
             if bucket != row["bucket"] and held:
                 yield from settle()

@@ -14,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 WORD = r"[^\x20\x09-\x0D]+"
 """The word pattern, for Spark, Python and DuckDB alike."""
@@ -105,6 +106,46 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+def planes(a: np.ndarray) -> bytes:
+    """Compressed integers, byte planes apart."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+
+
+def pack(**arrays: np.ndarray) -> bytes:
+    """Integer arrays in one blob, in the order given."""
+    parts = [planes(a) for a in arrays.values()]
+    return b"".join([len(p).to_bytes(4, "little") + p for p in parts])
+
+
+def unpack(data: bytes, kinds: list[type]) -> list[np.ndarray]:
+    """The first arrays of a blob."""
+    out, at = [], 0
+    for kind in kinds:
+        n = int.from_bytes(data[at : at + 4], "little")
+        out.append(unplaned(data[at + 4 : at + 4 + n], kind) if n else np.zeros(0, kind))
+        at += 4 + n
+    return out
+
+
+def roomy() -> None:
+    """Keep freed blocks of up to 32 MB for the next array: work in many short-lived arrays
+    of some hundred kB spends half its time on fresh pages otherwise."""
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # from which size blocks are mapped apart
+        libc.mallopt(-1, 128 << 20)  # how much may stay free at the top
+    except AttributeError:  # not glibc
+        pass
+
+
 def release() -> None:
     """Give freed memory back to the system, so an idle worker keeps little."""
     import ctypes

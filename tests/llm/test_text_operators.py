@@ -185,53 +185,127 @@ def test_trees_learn_and_stay_monotone():
     assert (np.diff(f.margins(grid).reshape(20, 200), axis=0) <= 1e-9).all()
 
 
+def small_model(seed=0, n_ids=3000):
+    rng = np.random.default_rng(seed)
+    cluster, counts = rng.integers(0, 31, n_ids), rng.integers(0, 50, n_ids)
+    cluster[-1], counts[-1] = 30, 20
+    symbols = attention.Symbols.from_counts(cluster, counts)
+    w = attention.initial(symbols, counts)
+    w += np.where(w > -1e8, rng.normal(0, 0.3, len(w)), 0).astype(np.float32)
+    return w, symbols
+
+
+def plainly(w, symbols, ids):
+    """log10 of each id's probability after those before it, one place at a time."""
+    p, d = attention.parts(w.astype(float)), attention.WIDTH
+    own = symbols.of.astype(int)
+    seen = [attention.START, *own[list(ids[:-1])]] if len(ids) else []
+    out = []
+    for t, i in enumerate(ids):
+        first = max(0, t // attention.STEP * attention.STEP - attention.CONTEXT)
+        x = p["embed"][seen[first : t + 1]]
+        score = x @ (x[-1] @ p["query"]) / math.sqrt(d) + p["near"][np.arange(t - first, -1, -1)]
+        share = np.exp(score) / np.exp(score).sum()
+        h = x[-1] + (share @ x) @ p["value"]
+        c, m = divmod(own[i], attention.MEMBERS)
+        clusters = h @ p["cluster"] + p["cluster_bias"]
+        members = h @ p["member"][c] + p["member_bias"][c]
+        log = clusters[c] - np.log(np.exp(clusters).sum()) + members[m] - np.log(np.exp(members).sum())
+        out.append(log / math.log(10) + symbols.share[i])
+    return np.array(out)
+
+
 def test_attention_gradient_and_cover():
+    w, symbols = small_model()
     rng = np.random.default_rng(0)
     n = np.array([5, 40, 0, 1, 100])
-    ids, classes = rng.integers(0, 500, n.sum()), rng.integers(0, 32, n.sum())
-    place = attention.windows(n)
-    scored = place[:, attention.CONTEXT :]
-    assert sorted(scored[scored >= 0]) == list(range(n.sum()))
-    w = attention.initial().astype(float)
-    first = np.zeros(len(ids), bool)
-    first[(np.cumsum(n) - n)[n > 0]] = True
-    loss, g = attention.gradient(w, ids, classes, place, first)
-    assert math.isclose(loss, -attention.class_log_probabilities(w, ids, classes, n).mean(), rel_tol=1e-6)
-    for i in rng.integers(0, attention.SIZE, 12):
-        up, down = w.copy(), w.copy()
-        up[i] += 1e-5
-        down[i] -= 1e-5
-        slope = (attention.gradient(up, ids, classes, place, first)[0] - attention.gradient(down, ids, classes, place, first)[0]) / 2e-5
+    window = attention.windows(n)
+    scored = (window[:, :1] + np.arange(attention.WINDOW))[:, attention.CONTEXT :]
+    assert sorted(scored[scored < window[:, 2:]]) == list(range(n.sum()))
+    own = symbols.of[rng.integers(0, len(symbols.of), n.sum())].astype(int)
+    before, w = attention.shifted(own, n), w.astype(float)
+    loss, g = attention.gradient(w, own, before, window)
+    assert math.isclose(loss, -attention.log_probabilities(w, own, n).mean(), rel_tol=1e-9)
+    largest = [o + np.argsort(-np.abs(g[o : o + k]))[:3] for o, k in zip(np.cumsum([0, *map(math.prod, attention.SHAPES.values())]), map(math.prod, attention.SHAPES.values()), strict=False)]
+    for i in np.concatenate(largest):
+        step = np.zeros(len(w))
+        step[i] = 1e-5
+        slope = (attention.gradient(w + step, own, before, window)[0] - attention.gradient(w - step, own, before, window)[0]) / 2e-5
         assert abs(slope - g[i]) < 1e-6
 
 
+def test_next_subwords_sum_to_one():
+    w, symbols = small_model()
+    for text in ([], [5], [7, 9, 2999], list(range(40))):
+        each = [plainly(w, symbols, [*text, i])[-1] for i in range(0, len(symbols.of), 7)]
+        ids = np.arange(len(symbols.of))
+        lines = np.concatenate([[*symbols.of[text].astype(int), symbols.of[i]] for i in ids]) if text else symbols.of.astype(int)
+        logs = attention.log_probabilities(w.astype(float), lines, np.full(len(ids), len(text) + 1))[len(text) :: len(text) + 1] / math.log(10) + symbols.share
+        assert math.isclose((10.0**logs).sum(), 1, rel_tol=1e-4) and np.allclose(logs[::7], each, atol=1e-4)
+
+
 def test_rounds_train_on_every_window(monkeypatch):
+    w, symbols = small_model()
     rng = np.random.default_rng(0)
     n = rng.integers(0, 400, 1500)
-    ids, seen = rng.integers(0, 500, n.sum()), []
-    monkeypatch.setattr(attention, "gradient", lambda w, ids, classes, place, first: (seen.append(place), (0.0, np.zeros(attention.SIZE)))[1])
-    used = [attention.train(attention.initial(), ids, ids % 32, n, lm.SHARE, lm.LEAST, nth=k, of=lm.ROUNDS)[1] for k in range(lm.ROUNDS)]
+    own, seen = symbols.of[rng.integers(0, 3000, n.sum())].astype(int), []
+    monkeypatch.setattr(attention, "gradient", lambda w, own, before, window: (seen.append(window), (0.0, np.zeros(attention.SIZE, np.float32)))[1])
+    used = []
+    for k, rate in enumerate(lm.RATES):
+        trainer = attention.Trainer(w, rate)
+        trainer.learn(own, n, k, len(lm.RATES))
+        used.append(trainer.used)
     assert len(used) == 3 and max(used) - min(used) <= 1
     assert sorted(map(tuple, np.concatenate(seen))) == sorted(map(tuple, attention.windows(n)))
 
 
-def test_lm_scores(spark, prose):
+def test_lm_scores(spark, prose, monkeypatch):
     df, texts = prose
+    made, rounds = [], lm._rounds
+    monkeypatch.setattr(lm, "_rounds", lambda packs, symbols, *a: (made.append((rounds(packs, symbols, *a), symbols)), made[-1][0])[1])
     words = {i: WORD.findall(lower(t)) for i, t in texts.items()}
     learn = [i for i in texts if zlib.crc32(str(i).encode()) % 10]
     c, ends = Counter(w for i in learn for w in words[i]), len(learn)
     n, v = sum(c.values()) + ends, len(c) + 1
     log = lambda k: math.log10((k + 0.1) / (n + 0.1 * (v + 1)))
-    rows = {r["doc_id"]: r for r in lm.score(df, least=64).collect()}
+    rows = {r["doc_id"]: r for r in lm.score(df).collect()}
     assert len(rows) == len(texts)
+    with open(lm.VOCABULARY, "rb") as f:
+        tokenizer, end = lm._tokenizer(f.read())
     for i, w in words.items():
         r = rows[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i not in learn, len(w) + 1, sum(c[x] > 0 for x in w) + 1, n)
         assert math.isclose(r["base_score"], sum(log(c[x]) for x in w) + log(ends), rel_tol=1e-9)
-        assert r["score"] < 0 and r["attention_score"] < 0
+        ids = [*(k for x in w for k in tokenizer.encode_ordinary(" " + x)), end]
+        assert math.isclose(r["score"], plainly(*made[0], ids).sum(), rel_tol=1e-3)
+    start = attention.initial(made[0][1], np.ones(end + 1))
+    assert np.abs(made[0][0] - start)[start > -1e8].max() > 0.05  # it has learned
+    again = {r["doc_id"]: r["score"] for r in lm.score(df).collect()}
+    assert again == {i: r["score"] for i, r in rows.items()}
     assert lm.score(df.where("false")).isEmpty()
     null = spark.createDataFrame([(None, "a b"), (1, "a"), (1, "a")], "doc_id long, text string")
-    assert lm.score(null, least=8).count() == 3
+    assert lm.score(null).count() == 3
+
+
+def test_equal_batches_are_encoded_apart(spark):
+    """Rows of many equal texts in many tasks: each batch has a name of its own."""
+    df = docs(spark, [None] * 50 + ["a b"] * 50).repartition(8, "doc_id")
+    kept = spark.createDataFrame(df.collect(), df.schema)
+    names = [r["batch"] for r in pieces._packs(kept.select("doc_id", "text"), 4, ["doc_id"]).collect()]
+    assert len(names) == len(set(names)) > 1
+    assert pieces.encode(kept).count() == 100
+
+
+def test_models_read_otherwise_are_refused():
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(pieces.MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    pieces._check(proto)
+    proto.normalizer_spec.add_dummy_prefix = False
+    with pytest.raises(ValueError, match="dummy prefix"):
+        pieces._check(proto)
 
 
 def test_main_text(spark):
