@@ -1,12 +1,15 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Every source lies as a line of words, its documents in a shuffled order that
-depends on their ids alone, cut into blocks of ``block_words`` words.  Slot i of
-the schedule takes the i-th van der Corput point; its place among the cumulative
+depends on their ids and texts alone, cut into blocks of equal numbers of words.  Slot i
+of the schedule takes the i-th van der Corput point; its place among the cumulative
 targets names a source, and the slot's rank among that source's slots names the
-block, the line starting over when it ends.  The share of every source is near
-its target over any stretch of slots.  Slots the discrepancy leaves short are
-appended, the last one is cut, so that a source gives its target to the word.
+block, the line starting over when it ends.  What the mix takes is what the slots play:
+the share of every source is near its target over any stretch of slots, within a few
+blocks over all.  A slot of a source that has been played ``most`` times takes nothing.
+
+There are ``SLOTS`` slots at least, as far as blocks of 8 words allow; blocks of 1,024
+words are the longest.
 
 Ranks and offsets are prefix sums in two steps (sums of bounded buckets first),
 so a source with a third of all rows is never one group.
@@ -23,13 +26,19 @@ from pyspark.sql import functions as F
 
 from .common import n_words, settled
 
-BLOCK_WORDS = 1024
+BLOCKS = (1024, 512, 256, 128, 64, 32, 16, 8)
+SLOTS = 1 << 16
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SLOT_RUN = 1 << 16
 GRID = 4096
 
 
+def block_size(total: int) -> int:
+    """Words of a block: the most that give ``SLOTS`` slots, or the fewest there are."""
+    return next((b for b in BLOCKS if total >= SLOTS * b), BLOCKS[-1])
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """``source, source_size, target`` from one row per document with its size.
 
@@ -68,84 +77,69 @@ def van_der_corput(i: Column) -> Column:
     return F.conv(F.rpad(F.reverse(F.bin(i)), 48, "0"), 2, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def schedule(goal: DataFrame, total: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+def schedule(goal: DataFrame, total: int, block_words: int) -> DataFrame:
     """``place, rank, slot``: which source each slot takes and how often it came before.
 
-    ``goal`` has a row per source (``place, target``); ``total`` is the sum of targets.
+    ``goal`` has a row per source (``place, quota``); ``total`` is the sum of quotas.
     """
     spark = goal.sparkSession
     upto = Window.orderBy("place")
-    bounds = goal.select(
-        "place",
-        (F.coalesce(F.sum("target").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) / F.lit(float(max(total, 1)))).alias("lo"),
-        (F.sum("target").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.lit(float(max(total, 1)))).alias("hi"),
-    )
-    cells = bounds.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.floor(F.least(F.col("hi"), F.lit(1.0)) * GRID))))
-    slots = spark.range(-(-total // block_words)).withColumnRenamed("id", "slot").withColumn("point", van_der_corput(F.col("slot")))
-    slots = slots.withColumn("cell", F.floor(F.col("point") * GRID))
-    taken = slots.join(cells, "cell").where("point >= lo AND point < hi").select("slot", "place", F.floor(F.col("slot") / SLOT_RUN).alias("run"))
+    bounds = goal.select("place", (F.sum("quota").over(upto) - F.col("quota")).alias("lo"), F.sum("quota").over(upto).alias("hi"))
+    of = lambda c: F.floor(F.col(c) / F.lit(float(max(total, 1))) * GRID)
+    cells = bounds.where("hi > lo").withColumn("cell", F.explode(F.sequence(of("lo"), of("hi"))))
+    n = -(-total // block_words)
+    parts = max(spark.sparkContext.defaultParallelism, n >> 22)
+    slots = spark.range(0, n, 1, parts).select(F.col("id").alias("slot"), F.floor(van_der_corput(F.col("id")) * float(total)).alias("at"))
+    taken = slots.withColumn("cell", of("at")).join(cells, "cell").where("at >= lo AND at < hi").select("slot", "place", F.floor(F.col("slot") / SLOT_RUN).alias("run"))
     return _after(taken, ["place"], "run", F.lit(1), [F.col("slot")], "rank").select("place", "rank", "slot")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` (doc_id, source, text) as ``doc_id, size, source_size, target, taken``.
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int | None = None) -> DataFrame:
+    """``docs`` (doc_id, source, text) as ``doc_id, size, source_size, target, taken,
+    n_slots, first_slot, text_key``.
 
-    ``taken`` counts the words the mix takes of a document, repeats included.
+    ``taken`` counts the words the mix takes of a document, repeats included; ``n_slots``
+    are the slots that play some of it, ``first_slot`` the first one (null: none);
+    ``text_key`` is the text's XXH64, to find the row again.
     """
-    line = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    line = line.withColumn("shuffled", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("bucket", F.substring("shuffled", 1, 2))
-    line = settled(line, "sizes")
-    goal = targets(line, weights, most)
-    total = line.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long")).first()[0]
-    goal = settled(goal.withColumn("quota", F.floor("target").cast("long")), "goal")
-
-    nb = F.ceil(F.col("source_size") / block_words).cast("long")
-
-    def reach(r):
-        """Words that the slots of rank below r take, uncut."""
-        return F.floor(r / F.col("nb")) * F.col("source_size") + F.least((r % F.col("nb")) * block_words, F.col("source_size"))
-
-    dim = goal.where("source_size > 0").withColumn("nb", nb)
-    played = schedule(goal, total, block_words)
-    counts = played.groupBy(F.col("place").alias("p")).agg(F.count("*").alias("n"))
-    most_needed = (F.floor(F.col("quota") / F.col("source_size")) * F.col("nb") + F.ceil((F.col("quota") % F.col("source_size")) / block_words)).cast("long")
-    short = dim.join(counts, F.col("place") == F.col("p"), "left").withColumn("n", F.coalesce("n", F.lit(0))).where(most_needed > F.col("n"))
-    added = short.select("place", F.explode(F.sequence(F.col("n"), most_needed - 1)).alias("rank"))
-    slots = played.select("place", "rank").unionByName(added).join(dim.select("place", "source_size", "nb", "quota"), "place")
-    slots = slots.withColumn("give", F.least(reach(F.col("rank") + 1), F.col("quota")) - reach(F.col("rank"))).where("give > 0")
-    length = F.least(F.lit(block_words), F.col("source_size") - (F.col("rank") % F.col("nb")) * block_words)
-    blocks = slots.groupBy("place", (F.col("rank") % F.col("nb")).cast("long").alias("block")).agg(
-        F.count_if(F.col("give") >= length).alias("whole"), F.coalesce(F.max(F.when(F.col("give") < length, F.col("give"))), F.lit(0)).alias("cut")
-    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    line = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key"), F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))).alias("shuffled"))
+    line = settled(line.withColumn("bucket", F.substring("shuffled", 1, 4)), "sizes")
+    goal = settled(targets(line, weights, most).withColumn("quota", F.floor("target").cast("long")), "goal")
+    total = goal.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
+    block_words = block_words or block_size(total)
+
+    dim = goal.where("source_size > 0").select("place", F.ceil(F.col("source_size") / block_words).cast("long").alias("nb"))
+    played = schedule(goal, total, block_words).join(dim, "place").where(F.col("rank") < most * F.col("nb"))
+    blocks = played.groupBy("place", (F.col("rank") % F.col("nb")).cast("long").alias("block")).agg(F.count("*").alias("plays"), F.min("slot").alias("slot"))
 
     order = [F.col("shuffled"), F.col("doc_id").asc_nulls_first(), F.col("size")]
     placed = _after(line, ["source"], "bucket", F.col("size"), order, "start")
-    nth = F.row_number().over(Window.partitionBy("source", "bucket").orderBy(*order))
-    placed = placed.withColumn("nth", nth)
+    placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("source", "bucket").orderBy(*order)))
     named = goal.select(F.col("source").alias("s"), "place", "source_size", "target")
-    placed = placed.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
+    placed = placed.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source", "shuffled")
     end = F.col("start") + F.col("size")
-    over = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words)))
-    pieces = placed.select("*", F.explode_outer(over).alias("block"))
+    over = F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))
+    pieces = placed.where("size > 0").select("*", F.explode(over).alias("block"))
     met = pieces.join(blocks, ["place", "block"], "left")
-    lo = F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
-    hi = F.least(end - F.col("block") * block_words, F.lit(block_words))
-    got = F.coalesce(F.col("whole") * (hi - lo) + F.greatest(F.least(hi, F.col("cut")) - lo, F.lit(0)), F.lit(0))
-    return (
-        met.groupBy("place", "bucket", "nth", "doc_id", "size", "source_size", "target")
-        .agg(F.sum(got).cast("long").alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
-    )
+    words = F.least(end - F.col("block") * block_words, F.lit(block_words)) - F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
+    keys = ["place", "bucket", "nth", "doc_id", "size", "source_size", "target", "text_key"]
+    out = ["doc_id", "size", "source_size", "target", "taken", "n_slots", "first_slot", "text_key"]
+    plays = F.coalesce("plays", F.lit(0))
+    full = met.groupBy(*keys).agg(F.sum(plays * words).cast("long").alias("taken"), F.sum(plays).cast("long").alias("n_slots"), F.min("slot").alias("first_slot")).select(*out)
+    bare = placed.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "n_slots": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")}).select(*out)
+    return full.unionByName(bare)
 
 
 def op7_mix_sources(spark, sf_dir):
     """All documents mixed to the weights 1, 2, 3, none above three times its size."""
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")).drop("text_key")
 
 
+_BLOCK = "CASE " + " ".join(f"WHEN total >= {SLOTS * b} THEN {b}" for b in BLOCKS[:-1]) + f" ELSE {BLOCKS[-1]} END"
 MIX_SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffled FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS shuffled FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place, {MOST} * source_size AS most FROM s),
 v AS (SELECT *, (place - 1) % {len(WEIGHTS)} + 1 AS weight FROM w),
@@ -155,13 +149,20 @@ u AS (SELECT *, CAST((SELECT sum(source_size) FROM s) - coalesce(sum(most) OVER
                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS r,
              row_number() OVER (ORDER BY most / CAST(weight AS DOUBLE), place) AS nth FROM v),
 f AS (SELECT l, r FROM u WHERE l * weight / r <= most ORDER BY nth LIMIT 1),
-g AS (SELECT source, source_size, least(CAST(most AS DOUBLE), coalesce((SELECT l FROM f) * weight / (SELECT r FROM f), CAST(most AS DOUBLE))) AS target FROM v),
-p AS (SELECT d.doc_id, d.size, g.source_size, g.target,
-             CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffled, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start,
-             CAST(floor(g.target) AS BIGINT) AS quota
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+g AS (SELECT source, place, source_size, least(CAST(most AS DOUBLE), coalesce((SELECT l FROM f) * weight / (SELECT r FROM f), CAST(most AS DOUBLE))) AS target FROM v),
+q AS (SELECT *, CAST(floor(target) AS BIGINT) AS quota FROM g),
+t AS (SELECT total, {_BLOCK} AS bw FROM (SELECT CAST(coalesce(sum(quota), 0) AS BIGINT) AS total FROM q)),
+h AS (SELECT q.*, bw, CAST(sum(quota) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi, CAST(ceil(source_size / CAST(bw AS DOUBLE)) AS BIGINT) AS nb FROM q, t),
+i AS (SELECT slot, CAST(floor(list_sum(list_transform(range(0, 48), lambda k: CAST((slot >> k) & 1 AS DOUBLE) / pow(2e0, k + 1))) * CAST(total AS DOUBLE)) AS BIGINT) AS spot
+      FROM t, (SELECT unnest(range(0, CAST(ceil(total / CAST(bw AS DOUBLE)) AS BIGINT))) AS slot FROM t) x),
+j AS (SELECT place, nb, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM i JOIN h ON spot < hi AND spot >= hi - quota),
+k AS (SELECT place, rank % nb AS block, count(*) AS plays, min(slot) AS slot FROM j WHERE rank < {MOST} * nb GROUP BY 1, 2),
+p AS (SELECT d.doc_id, d.size, h.source_size, h.target, h.place, bw, row_number() OVER () AS id,
+             CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffled, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS start
+      FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+o AS (SELECT *, unnest(CASE WHEN size > 0 THEN range(start // bw, (start + size - 1) // bw + 1) ELSE [-1] END) AS block FROM p)
 SELECT doc_id, size, source_size, target,
-       CASE WHEN source_size = 0 THEN 0 ELSE quota // source_size * size
-            + greatest(0, least(start + size, quota % source_size) - start) END AS taken
-FROM p
+       CAST(sum(CASE WHEN block < 0 THEN 0 ELSE coalesce(plays, 0) * (least(start + size - block * bw, bw) - greatest(start - block * bw, 0)) END) AS BIGINT) AS taken,
+       CAST(sum(coalesce(plays, 0)) AS BIGINT) AS n_slots, min(slot) AS first_slot
+FROM o LEFT JOIN k USING (place, block) GROUP BY id, doc_id, size, source_size, target
 """

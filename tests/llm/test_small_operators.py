@@ -74,7 +74,7 @@ def test_warc_round_trip(spark):
 def test_mixing_cases(spark):
     rows = [(i, f"s{i % 3}" if i % 7 else None, " ".join(["w"] * (i % 11))) for i in range(200)] + [(None, "s1", "a b"), (5, "s1", None), (5, "s1", None), (9, "tiny", "x")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = mixing.mix(df, block_words=4)
+    got = mixing.mix(df).drop("text_key").cache()
     assert got.count() == len(rows)
     assert got.where("taken > 3 * size").isEmpty()
     own = df.toPandas()
@@ -84,8 +84,29 @@ def test_mixing_cases(spark):
     assert mixing.mix(df.where("false")).isEmpty()
 
 
+def test_taken_is_what_the_slots_play(spark, monkeypatch):
+    rows = [(i, f"s{i % 4}", " ".join(["w"] * (5 + i % 90))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    told = {}
+
+    def mixed():
+        got = mixing.mix(df).toPandas().sort_values("doc_id")
+        assert (got.taken <= 3 * got["size"]).all() and ((got.n_slots > 0) == got.first_slot.notna()).all() and ((got.taken > 0) <= (got.n_slots > 0)).all()
+        return got
+
+    first, again = mixed(), mixed()
+    assert first.equals(again)
+    for _, own in first.groupby([r[1] for r in rows]):
+        told[own.target.iloc[0]] = own.taken.sum()
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= 8 * mixing.BLOCKS[-1]
+    golden = lambda i: F.pmod(i * 0.6180339887498949, F.lit(1.0))
+    monkeypatch.setattr(mixing, "van_der_corput", golden)
+    other = mixed()
+    assert not other.first_slot.equals(first.first_slot) and list(other.taken) != list(first.taken)
+
+
 def test_schedule_follows_targets(spark):
-    goal = spark.createDataFrame([(1, 600.0), (2, 300.0), (3, 100.0)], "place int, target double")
+    goal = spark.createDataFrame([(1, 600), (2, 300), (3, 100)], "place int, quota long")
     rows = mixing.schedule(goal, 1000, 1).orderBy("slot").collect()
     assert len(rows) == 1000
     for upto in (50, 200, 1000):
