@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dom import HINTS, N_NUMBERS, TAGS, Forest
+from .dom import HINTS, N_NUMBERS, TAGS, Forest, by_level
 from .words import slices
 
 T, H = len(TAGS), len(HINTS)
@@ -63,14 +63,14 @@ def sum_product(own: np.ndarray, edge: np.ndarray, parent: np.ndarray, level: np
     """Marginals of nodes (n,) and of edges (n, 2, 2), and the log of all partition sums."""
     inside = np.stack([np.zeros_like(own), own], axis=1)
     sent = np.zeros_like(inside)
-    by_level = [np.flatnonzero(level == d) for d in range(int(level.max(initial=0)) + 1)]
-    for at in reversed(by_level[1:]):
+    levels = by_level(level)
+    for at in reversed(levels[1:]):
         sent[at] = _log_sum(edge[at] + inside[at][:, None, :])
         np.add.at(inside, parent[at], sent[at])
     belief = inside.copy()
     pairs = np.zeros_like(edge)
-    log_z = float(_log_sum(inside[by_level[0]]).sum()) if len(own) else 0.0
-    for at in by_level[1:]:
+    log_z = float(_log_sum(inside[levels[0]]).sum()) if len(own) else 0.0
+    for at in levels[1:]:
         rest = belief[parent[at]] - sent[at]
         joint = rest[:, :, None] + edge[at] + inside[at][:, None, :]
         pairs[at] = np.exp(joint - _log_sum(_log_sum(joint))[:, None, None])

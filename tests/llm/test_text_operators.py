@@ -328,6 +328,46 @@ def test_held_out_pages():
     assert ((html_main.content_nodes(f, html_main.weights()) > 0.5) == y).mean() > 0.98
 
 
+def test_pages_written_by_hand():
+    """Layouts that no training page has; of nine, ``bare`` led to one feature."""
+    from held_out_pages import PAGES
+
+    shares = {}
+    for name, (html, wanted) in PAGES.items():
+        f = html_main.Forest()
+        f.add(html)
+        got = f.main_texts(html_main.content_nodes(f, html_main.weights()) > 0.5)[0]
+        a, b = Counter(got.split()), Counter(wanted.split())
+        shares[name] = 2 * (a & b).total() / (a.total() + b.total())
+        assert shares[name] < 1 or got == wanted
+    assert min(shares.values()) > 0.9 and sum(shares.values()) / len(shares) > 0.98
+
+
+def test_pages_against_their_article_element(spark):
+    """Every page of the test table has one article element, without anything foreign in it."""
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_main.extract(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)
+        plain = re.sub(r"<(?!/?(?:a|b|i|em|strong|span)\b)[^>]*>", " ", inner[1]) if inner else ""
+        assert got[r["page_id"]] == re.sub(r"[\x20\x09-\x0D]+", " ", html.unescape(re.sub(r"<[^>]*>", "", plain))).strip(" ")
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    took = []
+    for depth in (20_000, 80_000):
+        f, start = html_main.Forest(), time.process_time()
+        f.add("<div>" * depth + "text" + "</span2></b>" * 10 + "</div>" * depth + "<p>after")
+        html_main.content_nodes(f, html_main.weights())
+        took.append(time.process_time() - start)
+        assert max(f.level) <= 512 and f.texts[-1][3] == "after" and f.level[f.texts[-1][1]] == 1
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_marginals_sum_over_all_labellings():
     rng = np.random.default_rng(1)
     parent, level = np.array([-1, 0, 0, 1, 1]), np.array([0, 1, 1, 2, 2])
