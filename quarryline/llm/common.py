@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +14,13 @@ from .words import WORD
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver see, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test) a folder of its own is made.
+    Only a local session that names none gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -36,15 +37,6 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def n_words(text: Column) -> Column:
     """Words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def picked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The named columns alone, so further columns of any name do no harm."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
-from .components import components
+from .components import components, with_lowest
 from .words import _UPPER_TO_LOWER
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -40,20 +40,24 @@ HOT_HOMES = 50_000
 PAIRS_AT_ONCE = 1 << 21
 
 
-def fingerprint(text: bytes | None, width: int) -> int:
-    """The SimHash of a UTF-8 text: XXH64 (seed 42) of its lower-cased shingles."""
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 hashes (seed 42) of a UTF-8 text's lower-cased shingles, repeats included."""
     import xxhash
 
     words = (text or b"").translate(_UPPER_TO_LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
+    of = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(line, 42)
+        return np.array([of(line, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    of = xxhash.xxh64_intdigest
-    hashes = np.array([of(line[a:b], 42) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([of(line[a:b], 42) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a text's shingles: the bits set in over half of them."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64)
@@ -67,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
-            made = np.fromiter((fingerprint(t.as_py(), width) for t in texts), np.uint64, len(texts))
+            made = np.fromiter((fingerprint(shingles(t.as_py(), width)) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -214,9 +218,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD)
     fps = settled(fingerprints(docs, width), "fingerprints")
     classes = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     links = settled(near_links(classes.select("fp"), threshold), "near")
-    rooted = classes.join(components(links).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
+    linked = classes.join(components(links), F.col("fp") == F.col("node"))
+    linked = with_lowest(linked.select("fp", "least", "root"), "root", "fp", "least", "component_id")
+    named = classes.join(linked.select(F.col("fp").alias("of"), "component_id"), F.col("fp") == F.col("of"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

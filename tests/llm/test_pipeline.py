@@ -7,7 +7,6 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 import sentencepiece
-import xxhash
 from quarryline.llm import mixing, pieces, quality
 from quarryline.llm.common import settled
 
@@ -38,16 +37,25 @@ def test_quality_stage(spark, stages):
 
 
 def test_near_dedup_stage(stages):
-    fp = {}
+    sets = {}
     for i, r in rows(stages[1]).items():
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"]))
-        hs = [xxhash.xxh64_intdigest(" ".join(w[k : k + 5]), 42) for k in range(max(1, len(w) - 4))]
-        fp[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-    root = {i: i for i in fp}
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    root = {i: i for i in sets}
     for _ in range(8):
-        for a in fp:
-            root[a] = min(root[b] for b in fp if (fp[a] ^ fp[b]).bit_count() <= 4)
-    assert set(rows(stages[2])) == {i for i in fp if root[i] == i}
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    assert set(rows(stages[2])) == {i for i in sets if root[i] == i}
+
+
+def test_near_dedup_of_several_texts_under_one_id(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
+    given = [(1, texts[0]), (2, texts[1]), (2, texts[0] + " end"), (3, texts[2]), (3, texts[2]), (4, texts[1])]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given], schema)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, df, SF).collect())
+    assert got == Counter([(1, texts[0]), (2, texts[1]), (3, texts[2])])
 
 
 def test_substring_stage(stages):

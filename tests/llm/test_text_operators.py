@@ -121,6 +121,12 @@ def test_long_chain_is_one_component(spark):
     assert components.components(links.where("false")).isEmpty()
 
 
+def test_giant_star_is_salted(spark):
+    hub = spark.range(1, 3000).selectExpr("0L AS a", "id AS b")
+    got = components.components(hub).groupBy("root").count().collect()
+    assert [(r["root"], r["count"]) for r in got] == [(0, 3000)]
+
+
 def test_substring_dedup(spark, prose):
     df, texts = prose
     first = {}
