@@ -118,31 +118,35 @@ def _forward(p: dict, before: np.ndarray, window: np.ndarray) -> dict:
     """Hidden states of the places that ``window`` rows score, in text order."""
     place = window[:, :1] + np.arange(WINDOW)
     outside = window[:, 0] < window[:, 1]  # the first window of a text: what it has before the text is masked
-    row = before[np.clip(place, 0, len(before) - 1)]
-    x = p["embed"][row]
+    row = before.take(place, mode="clip")
+    x = p["embed"].take(row, axis=0)
+    keys = np.ascontiguousarray(x.transpose(0, 2, 1))
     own = x[:, CONTEXT:].reshape(-1, WIDTH)
-    q = (own @ p["query"]).reshape(len(x), STEP, WIDTH)
-    a = np.matmul(q, x.transpose(0, 2, 1))
-    a *= a.dtype.type(WIDTH**-0.5)
+    q = (own @ (p["query"] * own.dtype.type(WIDTH**-0.5))).reshape(len(x), STEP, WIDTH)
+    a = np.matmul(q, keys)
     a += _near(p, a.dtype)
     a[outside, :, :CONTEXT] = _NEVER
-    np.minimum(a, _MOST, out=a)
+    if a.max(initial=0) > _MOST:  # exp stays finite
+        np.minimum(a, _MOST, out=a)
     np.exp(a, out=a)
-    a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(-1, STEP, 1)
-    mixed = np.matmul(a, x)
+    a *= (1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype))).reshape(-1, STEP, 1)
+    mixed = np.matmul(a, x).reshape(-1, WIDTH)
     scored = np.flatnonzero(place[:, CONTEXT:] < window[:, 2:])
-    h = (own + mixed.reshape(-1, WIDTH) @ p["value"])[scored]
-    return {"row": row, "x": x, "own": own, "q": q, "a": a, "mixed": mixed, "scored": scored, "h": h, "at": place[:, CONTEXT:].ravel()[scored]}
+    h = (own + mixed @ p["value"]).take(scored, axis=0)
+    return {"row": row, "x": x, "keys": keys, "own": own, "q": q, "a": a, "mixed": mixed, "scored": scored, "h": h, "at": place[:, CONTEXT:].ravel().take(scored)}
 
 
-def _softmax(z: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of each row's goal, and ``z`` turned into probabilities."""
-    np.minimum(z, _MOST, out=z)
+def _softmax(z: np.ndarray, goal: np.ndarray, scale: float | None) -> np.ndarray:
+    """Log-probability of each row's goal; with ``scale``, ``z`` becomes the probabilities times it."""
+    top = z.max(initial=0)
+    if top > _MOST:  # exp stays finite
+        z -= top - _MOST
     hit = z.ravel()[np.arange(len(z)) * z.shape[1] + goal]
     np.exp(z, out=z)
     total = z @ np.ones(z.shape[1], z.dtype)
-    z *= (1 / total)[:, None]
-    return hit - np.log(total), z
+    if scale is not None:
+        z *= (scale / total)[:, None]
+    return hit - np.log(np.maximum(total, 1e-30))
 
 
 def _groups(cluster: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -151,19 +155,21 @@ def _groups(cluster: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]
     return order, [(c, lo, hi) for c, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if hi > lo]
 
 
-def _read_out(p: dict, h: np.ndarray, goal: np.ndarray) -> dict:
-    """Log-probabilities of the goals' clusters and members, and both distributions."""
+def _read_out(p: dict, h: np.ndarray, goal: np.ndarray, scale: float | None = None) -> dict:
+    """Log-probabilities of the goals, and both distributions times ``scale``; all in the
+    ``order`` of the goals' clusters."""
+    order, groups = _groups(goal // MEMBERS)
+    goal, h = goal.take(order), h.take(order, axis=0)
     cluster, member = goal // MEMBERS, goal % MEMBERS
-    log, y = _softmax(h @ p["cluster"] + p["cluster_bias"], cluster)
-    order, groups = _groups(cluster)
-    sorted_h = h[order]
+    y = h @ p["cluster"]
+    y += p["cluster_bias"]
+    log = _softmax(y, cluster, scale)
     z = np.empty((len(h), MEMBERS), h.dtype)
     for c, lo, hi in groups:
-        np.matmul(sorted_h[lo:hi], p["member"][c], out=z[lo:hi])
+        np.matmul(h[lo:hi], p["member"][c], out=z[lo:hi])
         z[lo:hi] += p["member_bias"][c]
-    log_member, y_member = _softmax(z, member[order])
-    log[order] += log_member
-    return {"log": log, "y": y, "order": order, "groups": groups, "sorted_h": sorted_h, "y_member": y_member, "cluster": cluster, "member": member}
+    log += _softmax(z, member, scale)
+    return {"log": log, "order": order, "groups": groups, "h": h, "y": y, "y_member": z, "cluster": cluster, "member": member}
 
 
 def log_probabilities(w: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, at_once: int = 384) -> np.ndarray:
@@ -172,7 +178,8 @@ def log_probabilities(w: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, a
     out = np.zeros(len(symbols))
     for lo in range(0, len(window), at_once):
         f = _forward(p, before, window[lo : lo + at_once])
-        out[f["at"]] = _read_out(p, f["h"], symbols[f["at"]])["log"]
+        r = _read_out(p, f["h"], symbols.take(f["at"]))
+        out[f["at"].take(r["order"])] = r["log"]
     return out
 
 
@@ -180,41 +187,38 @@ def gradient(w: np.ndarray, symbols: np.ndarray, before: np.ndarray, window: np.
     """Mean loss over the places the windows score, and its gradient."""
     p = parts(w)
     f = _forward(p, before, window)
-    r = _read_out(p, f["h"], symbols[f["at"]])
     n = len(f["h"])
+    r = _read_out(p, f["h"], symbols.take(f["at"]), 1 / n)
     g = np.zeros_like(w)
     d = parts(g)
-    dz, dm = r["y"], r["y_member"]
-    dz[np.arange(n), r["cluster"]] -= 1
-    dm[np.arange(n), r["member"][r["order"]]] -= 1
-    dz *= w.dtype.type(1 / n)
-    dm *= w.dtype.type(1 / n)
-    d["cluster"][:], d["cluster_bias"][:] = f["h"].T @ dz, dz.sum(axis=0)
+    dz, dm, h = r["y"], r["y_member"], r["h"]
+    dz.ravel()[np.arange(n) * CLUSTERS + r["cluster"]] -= w.dtype.type(1 / n)
+    dm.ravel()[np.arange(n) * MEMBERS + r["member"]] -= w.dtype.type(1 / n)
+    d["cluster"][:], d["cluster_bias"][:] = h.T @ dz, np.ones(n, w.dtype) @ dz
     dh = dz @ p["cluster"].T
-    below = np.empty_like(dh)
     for c, lo, hi in r["groups"]:
-        d["member"][c] = r["sorted_h"][lo:hi].T @ dm[lo:hi]
-        d["member_bias"][c] = dm[lo:hi].sum(axis=0)
-        np.matmul(dm[lo:hi], p["member"][c].T, out=below[lo:hi])
-    dh[r["order"]] += below
+        part = dm[lo:hi]
+        np.matmul(h[lo:hi].T, part, out=d["member"][c])
+        np.matmul(np.ones(hi - lo, w.dtype), part, out=d["member_bias"][c])
+        dh[lo:hi] += part @ p["member"][c].T
 
     x, q, a, mixed = f["x"], f["q"], f["a"], f["mixed"]
     flat = np.zeros((len(window) * STEP, WIDTH), w.dtype)
-    flat[f["scored"]] = dh
-    d["value"][:] = mixed.reshape(-1, WIDTH).T @ flat
-    dmix = (flat @ p["value"].T).reshape(q.shape)
-    ds = np.matmul(dmix, x.transpose(0, 2, 1))
-    ds -= np.einsum("bij,bij->bi", dmix, mixed)[..., None]  # the same sum as over ds * a
+    flat[f["scored"].take(r["order"])] = dh
+    d["value"][:] = mixed.T @ flat
+    dmix = flat @ p["value"].T
+    ds = np.matmul(dmix.reshape(q.shape), f["keys"])
+    ds -= np.einsum("ij,ij->i", dmix, mixed).reshape(-1, STEP, 1)  # the same sum as over ds * a
     ds *= a
     d["near"][:] = np.bincount(np.maximum(_BACK, 0).ravel(), (ds.sum(axis=0) * (_BACK >= 0)).ravel(), WINDOW)
-    ds *= w.dtype.type(WIDTH**-0.5)
     dq = np.matmul(ds, x).reshape(-1, WIDTH)
-    d["query"][:] = f["own"].T @ dq
-    flat += dq @ p["query"].T
+    scale = w.dtype.type(WIDTH**-0.5)
+    d["query"][:] = (f["own"].T @ dq) * scale
+    flat += dq @ (p["query"].T * scale)
     dx = np.matmul(ds.transpose(0, 2, 1), q)
-    dx += np.matmul(a.transpose(0, 2, 1), dmix)
+    dx += np.matmul(a.transpose(0, 2, 1), dmix.reshape(q.shape))
     dx[:, CONTEXT:] += flat.reshape(q.shape)
-    at = f["row"].ravel()[:, None] * WIDTH + np.arange(WIDTH)
+    at = (f["row"].ravel() * WIDTH)[:, None] + np.arange(WIDTH)
     d["embed"][:] = np.bincount(at.ravel(), dx.ravel(), d["embed"].size).reshape(-1, WIDTH)
     return -float(r["log"].mean()), g
 
@@ -226,11 +230,10 @@ class Trainer:
         self.w, self.rate, self.used, self.steps = w.copy(), rate, 0, 0
         self.m, self.v = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
 
-    def learn(self, symbols: np.ndarray, lengths: np.ndarray, nth: int = 0, of: int = 1, batch: int = 192, seed: int = 0) -> None:
-        """One pass over the ``nth`` of ``of`` random parts of the windows; the parts of one
-        seed hold every window once."""
+    def learn(self, symbols: np.ndarray, lengths: np.ndarray, batch: int = 192, seed: int = 0) -> None:
+        """One pass over all windows of the texts, in random order."""
         window, before = windows(lengths), shifted(symbols, lengths)
-        use = np.random.default_rng(seed).permutation(len(window))[nth::of]
+        use = np.random.default_rng(seed).permutation(len(window))
         for lo in range(0, len(use), batch):
             self._step(gradient(self.w, symbols, before, window[use[lo : lo + batch]])[1])
         self.used += len(use)

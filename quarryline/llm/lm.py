@@ -8,9 +8,10 @@ text's places, its end included.  ``base_score`` is the smoothed word unigram's.
 
 Everything learned comes from all training texts, which are those whose
 crc32(doc_id) mod 10 isn't 0: word and subword counts are exact and corpus-wide, and
-the attention weights are averaged over all tasks, each of which trains on the windows
-of every batch it holds (local SGD): a round takes one of ``ROUNDS`` random parts of
-them, so the rounds together take every window once, however the corpus is dealt out.
+the attention weights are averaged over all tasks, each of which trains on the texts of
+every batch it holds (local SGD): a round takes one of as many random parts of them as
+there are rounds, so together they take every window of every training text once,
+however the corpus is dealt out.
 The weights, and with them ``score``, depend on how the stored rows lie in tasks; the
 same files in the same session settings give the same scores.
 
@@ -43,12 +44,12 @@ from . import attention
 from .common import settled
 from .words import pack, planes, release, roomy, slices, split_words, unpack, unplaned
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 RATES = (0.02, 0.01, 0.005)
-"""Adam's rate in each round; there are as many rounds, and as many parts of the windows."""
+"""Adam's rate in each round; there are as many rounds, and as many parts of the texts."""
 BATCH_BYTES = 8 << 20
 SMOOTH = 0.1
-CHUNKS, LANES = 8, 16  # weights travel in chunks; a chunk is summed in this many lanes
+CHUNKS, LANES = 8, 4  # weights travel in chunks; a chunk is summed in this many lanes
 LN10 = float(np.log(10))
 _BATCH = "batch long, bucket int, words binary, counts binary, pack binary, subs binary, n_train long"
 
@@ -219,6 +220,11 @@ def _counted(batches: DataFrame, n_ids: int) -> np.ndarray:
     return counts
 
 
+def _round_of(n: int, rounds: int) -> np.ndarray:
+    """The round that learns from each of n texts: equal shares, at random."""
+    return np.random.default_rng(n).permutation(n) % rounds
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Weights of many tasks added up by lane, in the order of the tasks."""
     totals: dict[int, tuple[int, np.ndarray]] = {}
@@ -245,10 +251,10 @@ def _rounds(batches: DataFrame, symbols: attention.Symbols, counts: np.ndarray,
                 for packed in part.column("pack").to_pylist():
                     _, flags, lengths, codes, n_subs, subs = _unbatch(packed)
                     for first, last, a, b in _chunks(lengths.astype(np.int64)):
-                        learn = (flags[first:last] & 1) == 0
+                        learn = ((flags[first:last] & 1) == 0) & (_round_of(last - first, len(rates)) == nth)
                         keep = np.repeat(learn, lengths[first:last])
                         ids, per = _places(codes[a:b][keep], lengths[first:last][learn].astype(np.int64), n_subs, subs, end)
-                        trainer.learn(symbols.of[ids].astype(np.int64), per, nth, len(rates))
+                        trainer.learn(symbols.of.take(ids).astype(np.int64), per)
             if trainer.used:
                 task = TaskContext.get().partitionId()
                 made = [c.tobytes() for c in np.array_split(trainer.w, CHUNKS)]
@@ -301,8 +307,8 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, rates: tuple[float, ...
                 n, code = lengths[first:last], codes[a:b]
                 text = np.repeat(np.arange(len(n)), n)
                 places, per = _places(code, n, n_subs, subs, len(clusters) - 1)
-                ids_of = symbols.of[places].astype(np.int64)
-                logs = attention.log_probabilities(weights, ids_of, per) / LN10 + symbols.share[places]
+                ids_of = symbols.of.take(places).astype(np.int64)
+                logs = attention.log_probabilities(weights, ids_of, per) / LN10 + symbols.share.take(places)
                 null = (flags[first:last] & 2) > 0
                 out.append(
                     pa.table(

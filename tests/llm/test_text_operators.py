@@ -254,15 +254,16 @@ def test_rounds_train_on_every_window(monkeypatch):
     w, symbols = small_model()
     rng = np.random.default_rng(0)
     n = rng.integers(0, 400, 1500)
-    own, seen = symbols.of[rng.integers(0, 3000, n.sum())].astype(int), []
-    monkeypatch.setattr(attention, "gradient", lambda w, own, before, window: (seen.append(window), (0.0, np.zeros(attention.SIZE, np.float32)))[1])
-    used = []
-    for k, rate in enumerate(lm.RATES):
-        trainer = attention.Trainer(w, rate)
-        trainer.learn(own, n, k, len(lm.RATES))
-        used.append(trainer.used)
-    assert len(used) == 3 and max(used) - min(used) <= 1
-    assert sorted(map(tuple, np.concatenate(seen))) == sorted(map(tuple, attention.windows(n)))
+    seen = []
+    monkeypatch.setattr(attention, "gradient", lambda w, own, before, window: (seen.extend(own[window[:, 0] + attention.CONTEXT]), (0.0, np.zeros(attention.SIZE, np.float32)))[1])
+    rounds = [lm._round_of(len(n), len(lm.RATES)) == k for k in range(len(lm.RATES))]
+    assert len(rounds) == 3 and (np.sum(rounds, axis=0) == 1).all() and max(map(sum, rounds)) - min(map(sum, rounds)) <= 1
+    text = np.repeat(np.arange(len(n)), n)
+    for mine in rounds:
+        trainer = attention.Trainer(w, 0.01)
+        trainer.learn(np.arange(n.sum())[mine[text]], n[mine])  # places instead of symbols, to be told apart
+        assert trainer.used == len(attention.windows(n[mine]))
+    assert sorted(seen) == sorted(attention.windows(n)[:, 0] + attention.CONTEXT)
 
 
 def test_lm_scores(spark, prose, monkeypatch):
