@@ -21,6 +21,8 @@ their own; an empty table gives no rows; if all sizes are 0, so are the targets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,15 +63,31 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return by.select("source", "place", "source_size", F.least(F.col("most").cast("double"), F.coalesce(held, F.col("most").cast("double"))).alias("target"))
 
 
-def _after(df: DataFrame, keys: list[str], bucket: str, value: Column, order: list[Column], name: str) -> DataFrame:
-    """Sum of ``value`` over the rows before, by ``keys``: ordered by bucket, then ``order``."""
-    sums = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_s"))
-    ahead = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(f"_{k}") for k in [*keys, bucket]], F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_ahead"))
-    own = Window.partitionBy(*keys, bucket).orderBy(*order)
+def _after(df: DataFrame, keys: list[str], levels: list[str], value: Column, order: list[Column], name: str) -> DataFrame:
+    """Sum of ``value`` over the rows before, by ``keys``: ordered by the levels, then ``order``.
+
+    Rows are summed by the finest buckets first, and these by the coarser ones, so no window
+    holds more than a level's buckets or a finest bucket's rows.
+    """
+    every = [*keys, *levels]
+    sums = df.groupBy(*[F.col(k).alias(f"_{k}") for k in every]).agg(F.sum(value).alias("_sum"))
+    ahead = None
+    for depth in range(len(levels), 0, -1):
+        of = [f"_{k}" for k in [*keys, *levels[: depth - 1]]]
+        own = f"_{levels[depth - 1]}"
+        by = sums.groupBy(*of, own).agg(F.sum("_sum").alias("_sum")) if depth < len(levels) else sums
+        before = Window.partitionBy(*of).orderBy(own).rowsBetween(Window.unboundedPreceding, -1)
+        by = by.withColumn(f"_ahead{depth}", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+        if ahead is None:
+            ahead = by
+        else:
+            renamed = by.select(*[F.col(c).alias(f"{c}_") for c in [*of, own]], f"_ahead{depth}")
+            ahead = ahead.join(renamed, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in [*of, own]])).drop(*[f"{c}_" for c in [*of, own]])
+    own = Window.partitionBy(*every).orderBy(*order)
     df = df.withColumn("_own", F.coalesce(F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = df.join(sums, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, bucket]])
-    return joined.withColumn(name, (F.col("_own") + F.col("_ahead")).cast("long")).drop("_own", "_ahead", *[f"_{k}" for k in [*keys, bucket]])
+    joined = df.join(ahead, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in every]))
+    total = reduce(lambda a, b: a + b, [F.col(f"_ahead{d}") for d in range(1, len(levels) + 1)], F.col("_own"))
+    return joined.withColumn(name, total.cast("long")).drop("_own", *[f"_ahead{d}" for d in range(1, len(levels) + 1)], *[f"_{k}" for k in every])
 
 
 def van_der_corput(i: Column) -> Column:
@@ -91,7 +109,7 @@ def schedule(goal: DataFrame, total: int, block_words: int) -> DataFrame:
     parts = max(spark.sparkContext.defaultParallelism, n >> 22)
     slots = spark.range(0, n, 1, parts).select(F.col("id").alias("slot"), F.floor(van_der_corput(F.col("id")) * float(total)).alias("at"))
     taken = slots.withColumn("cell", of("at")).join(cells, "cell").where("at >= lo AND at < hi").select("slot", "place", F.floor(F.col("slot") / SLOT_RUN).alias("run"))
-    return _after(taken, ["place"], "run", F.lit(1), [F.col("slot")], "rank").select("place", "rank", "slot")
+    return _after(taken, ["place"], ["run"], F.lit(1), [F.col("slot")], "rank").select("place", "rank", "slot")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int | None = None) -> DataFrame:
@@ -104,7 +122,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int | N
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     line = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key"), F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))).alias("shuffled"))
-    line = settled(line.withColumn("bucket", F.substring("shuffled", 1, 4)), "sizes")
+    line = settled(line.withColumns({"part": F.substring("shuffled", 1, 2), "bucket": F.substring("shuffled", 1, 4)}), "sizes")
     goal = settled(targets(line, weights, most).withColumn("quota", F.floor("target").cast("long")), "goal")
     total = goal.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     block_words = block_words or block_size(total)
@@ -114,7 +132,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int | N
     blocks = played.groupBy("place", (F.col("rank") % F.col("nb")).cast("long").alias("block")).agg(F.count("*").alias("plays"), F.min("slot").alias("slot"))
 
     order = [F.col("shuffled"), F.col("doc_id").asc_nulls_first(), F.col("size")]
-    placed = _after(line, ["source"], "bucket", F.col("size"), order, "start")
+    placed = _after(line, ["source"], ["part", "bucket"], F.col("size"), order, "start")
     placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("source", "bucket").orderBy(*order)))
     named = goal.select(F.col("source").alias("s"), "place", "source_size", "target")
     placed = placed.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source", "shuffled")
