@@ -32,6 +32,14 @@ def with_lowest(df: DataFrame, key: str, by: str, value: str, name: str) -> Data
     return df.join(told, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_part"))).drop("_salt", "_key", "_part")
 
 
+def told(rows: DataFrame, dim: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with the columns of ``dim``, which has a row a key; a key that many rows have
+    is dealt by a salt from ``by`` too."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    dealt = rows.select(key, "_salt").distinct().join(dim, key)
+    return rows.join(dealt, [key, "_salt"]).drop("_salt")
+
+
 def _starred(links: DataFrame, large: bool) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     if not large:

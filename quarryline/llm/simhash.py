@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settled
-from .components import components, with_lowest
+from .components import components, told, with_lowest
 from .words import _UPPER_TO_LOWER
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = THRESHOLD)
     linked = classes.join(components(links), F.col("fp") == F.col("node"))
     linked = with_lowest(linked.select("fp", "least", "root"), "root", "fp", "least", "component_id")
     named = classes.join(linked.select(F.col("fp").alias("of"), "component_id"), F.col("fp") == F.col("of"), "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return told(fps, named, "fp", "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash_near_duplicates(spark, sf_dir):
