@@ -9,13 +9,38 @@ from pyspark.sql.types import DoubleType, StringType
 
 # What counts as an absent value, matched whole and in any case.
 SENTINELS = [
-    r"-+", r"\.+", r"_+", r"n\s*/?\s*a", r"none", r"null", r"nil", r"nan", r"unknown", r"undefined", r"tbd", r"tba", r"not\s+applicable", r"not\s+available",
-    r"unbranded", r"commodity\s*-?\s*unbranded", r"-+\s*unbranded\s*-+", r"-+\s*no\s+.*brand\s*-+", r"\?+", r"#n/a", r"blank",
+    r"-+", r"n/?a", r"na", r"none", r"null", r"nil", r"unknown", r"tbd", r"t\.b\.d\.?", r"\.+", r"0+", r"x+", r"\?+", r"--\s*.*\s*--", r"no\s+\w+\s+brand",
+    r"un-?branded", r"commodity\s*[-–]\s*unbranded", r"not\s+(applicable|available|found|specified)", r"see\s+(description|notes?)", r"blank", r"empty",
 ]
 SENTINEL = "(?i)^(?:" + "|".join(SENTINELS) + ")$"
 
 # Endings of company names that don't tell companies apart.
-SUFFIXES = "inc|incorporated|llc|ltd|limited|co|company|corp|corporation|mfg|manufacturing|group|holdings|intl|international|usa|us|gmbh|ag|sa|plc|lp|the|industries|products|brands|supply|dist|distributing|distributors|accessory|accessories"
+SUFFIXES = (
+    "incorporated|corporation|corp|company|compagnie|co|inc|llc|ltd|limited|lp|llp|plc|gmbh|sa|nv|bv|ag|holdings|group|industries|industrial|international|intl|"
+    "manufacturing|mfg|products|prod|brands|usa|us|na|enterprises|solutions|supply|systems"
+)
+
+# Words that stay small inside a title, and those always in capitals.
+MINORS = "a an and as at but by for in nor of on or per the to vs via with".split()
+ACRONYMS = (
+    "led ul cul csa nsf asse cee gfci gfi afci usb pvc abs cpvc mdf osb hdpe epdm tpo ada nema ansi astm sae npt mnpt fnpt iso rohs sds mtr "
+    "unspsc upc ean gtin cct cri hvac btu awg ip ss sst hp id od ac dc rv otr cf tpi"
+).split()
+
+# Signs of UTF-8 read as Windows-1252, and that code page's characters from 0x80 on.
+MOJIBAKE = ("Ã", "Â", "â€", "â„")
+CP1252 = {0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ"}
+
+
+def mended(c: Column) -> Column:
+    """One layer of UTF-8 read as Windows-1252 undone, where the text shows it and it undoes
+    without loss; any other text as it is."""
+    odd = F.array(*map(F.lit, MOJIBAKE))
+    single = F.translate(c, "".join(CP1252.values()), "".join(map(chr, CP1252)))
+    able = F.exists(odd, lambda s: F.contains(c, s)) & ~c.rlike("[\u0080-\u009f]") & ~single.rlike("[^\u0000-\u00ff]")
+    raw = F.encode(F.when(able, single), "ISO-8859-1")
+    again = F.try_validate_utf8(raw.cast("string"))
+    return F.when(again.isNotNull() & ~F.contains(again, F.lit("\ufffd")), again).otherwise(c)
 
 
 def trimmed(c: Column) -> Column:
@@ -30,8 +55,9 @@ def is_placeholder(c: Column) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """The value with its white space in order, or null for an absent one."""
-    return F.when(~is_placeholder(trimmed(c)), trimmed(c))
+    """The mended value with its white space in order, or null for an absent one."""
+    whole = trimmed(mended(c))
+    return F.when(~is_placeholder(whole), whole)
 
 
 def match_key(c: Column) -> Column:
@@ -55,10 +81,18 @@ def code_of(c: Column) -> Column:
 NAME_CODE = r"^(.+?) *\(([A-Za-z0-9-]{2,10})\) *$"
 
 
+def squashed(c: Column) -> Column:
+    """Letters and digits alone, in lower case."""
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+
+
 def without_leading(c: Column, part: Column) -> Column:
-    """Text without the part number it begins with."""
-    led = F.lower(c).startswith(F.lower(part))
-    return F.when(led, F.ltrim(F.substring(c, F.length(part) + 1, F.length(c)), F.lit(" -,:"))).otherwise(c)
+    """Text without the part number it begins with, however that is punctuated."""
+    led = F.lower(c).startswith(F.lower(part)) & (part != "")
+    rest = lambda n: F.ltrim(F.substring(c, n + 1, F.length(c)), F.lit(" -,:"))
+    first = F.regexp_extract(c, "^([^ ]*)", 1)
+    same = (squashed(first) == squashed(part)) & (squashed(part) != "")
+    return F.when(led, rest(F.length(part))).when(same, rest(F.length(first))).otherwise(c)
 
 
 def segments(c: Column) -> Column:
@@ -75,10 +109,93 @@ def truncated(c: Column, limit: int) -> Column:
     return F.when(F.length(c) <= limit, c).otherwise(short)
 
 
+def _capped(token: Column) -> Column:
+    """A capital first; acronyms and tokens with inner capitals keep theirs; after a digit too."""
+    chars = F.filter(F.split(token, ""), lambda x: x != "")
+    spread = F.array_join(F.transform(chars, lambda x, i: F.when((i == 0) | (F.get(chars, i - 1).rlike("[0-9]") & x.rlike("[a-z]")), F.upper(x)).otherwise(x)), "")
+    inner = F.substring(token, 2, F.length(token))
+    first = F.concat(F.upper(F.substring(token, 1, 1)), inner)
+    return F.when(F.lower(token).isin(*ACRONYMS), F.upper(token)).when(inner.rlike(r"\p{Lu}"), token).when(token.rlike("[0-9]"), spread).otherwise(first)
+
+
+def title_case(c: Column) -> Column:
+    """Each word with a capital, also behind ``/`` and ``-``; small words inside stay small."""
+
+    def word(w: Column, i: Column) -> Column:
+        parts = F.regexp_extract_all(w, F.lit("([^/-]+|[/-])"), 1)
+        rebuilt = F.array_join(F.transform(parts, lambda p: F.when(p.isin("/", "-"), p).otherwise(_capped(p))), "")
+        return F.when((i > 0) & F.lower(w).isin(*MINORS), F.lower(w)).otherwise(rebuilt)
+
+    return F.when(trimmed(c) == "", "").otherwise(F.array_join(F.transform(F.split(trimmed(c), " "), word), " "))
+
+
+def sentence_case(c: Column) -> Column:
+    """The first letter a capital, the rest untouched."""
+    return F.concat(F.upper(F.substring(trimmed(c), 1, 1)), F.substring(trimmed(c), 2, F.length(c)))
+
+
 def with_clause(c: Column) -> Column:
-    """What follows ``w/``, as ``With ...``; null without one."""
-    said = F.trim(F.regexp_extract(c, r"(?:^|[^A-Za-z0-9])w/ *(.+)$", 1))
-    return F.when(F.length(said) >= 3, F.concat(F.lit("With "), F.initcap(said)))
+    """What follows ``w/``, as ``With ...`` in title case; null without one."""
+    said = F.trim(trimmed(F.regexp_extract(c, r"(?i)(?:^|[^A-Za-z0-9])w/\s*(.+)$", 1)), F.lit(" -,"))
+    return F.when(F.length(said) >= 3, F.concat(F.lit("With "), title_case(said)))
+
+
+def bounded(phrase: str) -> str:
+    """A pattern for a phrase that no letter or digit touches; its blanks match hyphens too.
+
+    It holds the character before and after, which are groups 1 and 3.
+    """
+    import re
+
+    return r"(^|[^A-Za-z0-9])(" + r"[\s-]*".join(map(re.escape, phrase.split(" "))) + r")([^A-Za-z0-9]|$)"
+
+
+def abbreviated(c: Column, rules: dict[str, str]) -> Column:
+    """Phrases replaced by their abbreviations, the longest first; one may feed the next."""
+    import re
+
+    out = trimmed(c)
+    for phrase in sorted(rules, key=len, reverse=True):
+        alone = rf"(?i)(^|[^A-Za-z0-9]){re.escape(phrase)}(?=[^A-Za-z0-9]|$)"
+        out = F.regexp_replace(out, alone, "$1" + rules[phrase].replace("$", r"\$"))
+    return trimmed(out)
+
+
+def redundant(said: Column, head: Column) -> Column:
+    """Does the head say it already?"""
+    return (said != "") & (head != "") & F.contains(F.lower(F.trim(head)), F.lower(F.trim(said)))
+
+
+def column_form(c: Column) -> Column:
+    """A header as words of letters and digits, in lower case."""
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+
+
+def slug(c: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def file_form(c: Column) -> Column:
+    """A name as part of a file name."""
+    return F.trim(F.regexp_replace(F.trim(c), r"[^A-Za-z0-9.-]+", "-"), F.lit("-"))
+
+
+def exact_form(c: Column) -> Column:
+    """How an exact term is looked up: lower case, marks and blanks as one space."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
+
+
+def compared(c: Column) -> Column:
+    """How evaluation compares: no case, no trade marks, blanks as one, no marks at the ends."""
+    bare = F.translate(F.lower(F.trim(F.coalesce(c, F.lit("")))), "®™©", "")
+    return F.trim(F.regexp_replace(bare, r"\s+", " "), F.lit(" .,;"))
+
+
+STOP = "a an the with and of for to in on by".split()  # Fixed values: words that don't count in comparisons
+
+
+def compared_tokens(c: Column) -> Column:
+    return F.filter(F.split(compared(c), r"[^a-z0-9/\-.]+"), lambda t: (t != "") & ~t.isin(*STOP))
 
 
 def alpha_prefix(c: Column, n: int) -> Column:
@@ -119,15 +236,19 @@ def repaired(texts: pd.Series) -> pd.Series:
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two names as sets of words, 0 to 100; 100 if one holds the other."""
 
+    def common(x: str, y: str) -> int:
+        """Length of the longest common subsequence, a column of the table as bits of one number."""
+        at: dict[str, int] = {}
+        for i, c in enumerate(x):
+            at[c] = at.get(c, 0) | 1 << i
+        full = v = (1 << len(x)) - 1
+        for c in y:
+            u = v & at.get(c, 0)
+            v = ((v + u) | (v - u)) & full
+        return len(x) - v.bit_count()
+
     def ratio(x: str, y: str) -> float:
-        if not x and not y:
-            return 100.0
-        row = [0] * (len(y) + 1)
-        for c in x:
-            last = 0
-            for j, d in enumerate(y, 1):
-                row[j], last = (last + 1 if c == d else max(row[j], row[j - 1])), row[j]
-        return 200.0 * row[-1] / (len(x) + len(y))
+        return 200.0 * common(x, y) / (len(x) + len(y)) if x or y else 100.0
 
     def one(x, y):
         s, t = set((x or "").lower().split()), set((y or "").lower().split())

@@ -1,18 +1,16 @@
-"""Classification, inference, extraction, descriptions, validation, scores and routing."""
+"""Classification by single words, and brands inferred from part numbers: the plain forms.
+
+The product record has both with phrases, scopes and what follows from them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import chain, measures, to_fraction
-from ..functions.text import alpha_prefix, round_half_up, segments, with_clause
+from ..functions.text import alpha_prefix, round_half_up
 
-# Weights and thresholds of classification, scores and routing.
+# Weights and thresholds of classification.
 STRONG, WEAK, BONUS, AMBIGUOUS = 10.0, 3.0, 0.5, 0.80
-WEIGHTS = {"manufacturer": 0.22, "brand": 0.15, "classification": 0.22, "attributes": 0.24, "descriptions": 0.10, "evidence": 0.07}
-REVIEW = {"manufacturer": 0.60, "brand": 0.60, "classification": 0.60, "product": 0.62}
-INVALID_CAP = 0.45
 
 # A small taxonomy of our own: (leaf, classpath, keyword, weight); weight 0 excludes.
 LEAVES = [
@@ -24,8 +22,6 @@ LEAVES = [
     ("gadgets", "Tools>Gadgets>Widgets", "widget", STRONG), ("gadgets", "Tools>Gadgets>Widgets", "gizmo", WEAK), ("gadgets", "Tools>Gadgets>Widgets", "hot", 0.0),
 ]
 FALLBACK = ("generic_product", "General>General>Generic Products")
-ABBREVIATIONS = [("stainless steel", "SST"), ("heavy duty", "HD"), ("safety", "SFTY"), ("large", "LRG"), ("small", "SML"), ("steel", "STL")]
-LIMITS = {"mobile_desc": 80, "invoice_desc": 40, "short_desc": 240}
 
 
 def keywords(spark: SparkSession) -> DataFrame:
@@ -85,116 +81,3 @@ def infer_brands(rows: DataFrame, brand: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("row_index").orderBy(F.length("prefix").desc()))
     sure = F.least(F.lit(0.55), 0.30 + 0.06 * F.col("support") + 0.03 * F.length("prefix"))
     return met.withColumn("rank", rank).where("rank = 1").select("row_index", "prefix", "brand", round_half_up(sure, 4).alias("confidence"))
-
-
-def attributes(rows: DataFrame) -> DataFrame:
-    """Attributes read from each description, in template order, blanks kept: one row each."""
-    found = rows.select("row_index", "Part_Desc", measures(F.col("Part_Desc")).alias("m"), chain(F.col("Part_Desc")).alias("d"))
-    first = lambda u: F.get(F.filter("m", lambda x: x["unit"] == u), F.lit(0))["value"]
-    material = F.when(F.col("Part_Desc").rlike(r"(^|[^A-Za-z0-9])(SS|SST|Stainless Steel)([^A-Za-z0-9]|$)"), "Stainless Steel").when(F.col("Part_Desc").rlike(r"(?i)(^|[^A-Za-z0-9])steel([^A-Za-z0-9]|$)"), "Steel")
-    found = found.select("row_index", first("in").alias("inch"), first("V").alias("volt"), material.alias("material"), F.get("d", F.lit(0)).alias("d1"), F.get("d", F.lit(1)).alias("d2"))
-    found = found.withColumn("number", F.col("inch").try_cast("double"))
-    found = found.withColumn("size", F.coalesce(to_fraction(F.col("number")), F.col("inch")))
-    slots = [
-        ("Size", F.col("size"), "in", "uom", 0.80),
-        ("Voltage Rating", F.col("volt"), "V", "uom", 0.80),
-        ("Material", F.col("material"), None, "lov", 0.96),
-        ("Diameter", F.col("d1"), None, "chain", 0.82),
-        ("Thickness", F.col("d2"), None, "chain", 0.82),
-    ]
-    made = F.array(*[
-        F.struct(F.lit(i).alias("pos"), F.lit(label).alias("label"), v.alias("value"), F.when(v.isNotNull(), F.lit(u)).alias("uom"), F.when(v.isNotNull(), F.lit(how)).alias("method"), F.when(v.isNotNull(), F.lit(c)).otherwise(0.0).alias("confidence"))
-        for i, (label, v, u, how, c) in enumerate(slots, 1)
-    ])
-    return found.select("row_index", F.explode(made).alias("a")).select("row_index", "a.*")
-
-
-def attribute_slots(attrs: DataFrame) -> DataFrame:
-    """One row per product, attributes spread over numbered columns."""
-    out = attrs.groupBy("row_index").pivot("pos", [1, 2, 3, 4, 5]).agg(F.first("label").alias("label"), F.first("value").alias("value"), F.first("uom").alias("uom"))
-    return out.select("row_index", *[F.coalesce(F.col(f"{i}_{part}"), F.lit("")).alias(f"ATTRIBUTE_{part.upper()}_{i}") for i in range(1, 6) for part in ("label", "value", "uom")])
-
-
-def packed(parts: Column, start: Column, limit: int, sep: str, skip: bool) -> Column:
-    """Parts joined while they fit: the first that doesn't ends it, or is skipped."""
-    state = F.struct(start.alias("text"), F.lit(False).alias("full"))
-
-    def step(s: Column, part: Column) -> Column:
-        longer = F.concat_ws(sep, F.when(s["text"] != "", s["text"]), part)
-        fits = (F.length(longer) <= limit) & (~s["full"])
-        return F.struct(F.when(fits, longer).otherwise(s["text"]).alias("text"), (F.lit(False) if skip else (s["full"] | ~fits)).alias("full"))
-
-    return F.aggregate(parts, state, step)["text"]
-
-
-def describe(rows: DataFrame, brand: DataFrame, leaf: DataFrame, attrs: DataFrame) -> DataFrame:
-    """Mobile (80, stops at the first overflow), invoice (40, skips it) and short descriptions."""
-    said = F.concat_ws(" ", "value", "uom", F.when(F.col("uom").isNull(), F.col("label")))
-    listed = attrs.where("value IS NOT NULL").groupBy("row_index").agg(F.array_sort(F.collect_list(F.struct("pos", said.alias("said")))).alias("attrs"))
-    met = rows.join(brand.select("row_index", "brand"), "row_index").join(leaf.select("row_index", "classpath"), "row_index").join(listed, "row_index", "left")
-    name = F.element_at(F.split("classpath", ">"), -1)
-    parts = F.coalesce(F.transform("attrs", lambda a: a["said"]), F.array().cast("array<string>"))
-    head = F.concat_ws(" ", "brand", name, "Mfg_Part_Num")
-    tight = F.transform(parts, _abbreviated)
-    return met.select(
-        "row_index",
-        packed(parts, head, LIMITS["mobile_desc"], ", ", skip=False).alias("mobile_desc"),
-        packed(tight, _abbreviated(F.substring(name, 1, LIMITS["invoice_desc"])), LIMITS["invoice_desc"], " ", skip=True).alias("invoice_desc"),
-        F.array_join(F.concat(F.array(head), parts), ", ").alias("short_desc"),
-        with_clause(F.col("Part_Desc")).alias("with_clause"),
-        F.array_join(F.slice(segments(F.col("Part_Desc")), 2, 10), "|").alias("features"),
-    )
-
-
-def _abbreviated(c: Column) -> Column:
-    out = F.lower(c)
-    for phrase, short in ABBREVIATIONS:
-        out = F.regexp_replace(out, phrase, short)
-    return F.upper(out)
-
-
-def validate(rows: DataFrame, brand: DataFrame, leaf: DataFrame, described: DataFrame) -> DataFrame:
-    """Issues, one row each: required fields, limits, forbidden text."""
-    met = rows.select("row_index", "Mfg_Part_Num").join(brand.select("row_index", "brand"), "row_index").join(leaf.select("row_index", "leaf"), "row_index").join(described, "row_index")
-    issue = lambda cond, field, severity, code: F.when(cond, F.struct(F.lit(field).alias("field"), F.lit(severity).alias("severity"), F.lit(code).alias("code")))
-    checks = [
-        issue(F.coalesce(F.trim("brand"), F.lit("")) == "", "BRAND_NAME", "error", "required_field_missing"),
-        issue(F.col("leaf") == FALLBACK[0], "Classpath", "error", "required_field_missing"),
-        issue(F.length("short_desc") > LIMITS["short_desc"], "SHORT_DESC", "error", "char_limit_exceeded"),
-        issue(F.length("mobile_desc") > LIMITS["mobile_desc"], "MOBILE_DESC", "error", "char_limit_exceeded"),
-        issue(F.col("short_desc").rlike("(?i)(unbranded|undefined|null)"), "SHORT_DESC", "error", "forbidden_text"),
-        issue(F.col("with_clause").isNull() & (F.instr("features", "w/") > 0), "With", "warning", "unverified_clause"),
-    ]
-    return met.select("row_index", F.explode(F.array_compact(F.array(*checks))).alias("i")).select("row_index", "i.*")
-
-
-def score(maker: DataFrame, brand: DataFrame, leaf: DataFrame, attrs: DataFrame, issues: DataFrame) -> DataFrame:
-    """Weighted product confidence; errors cap it."""
-    filled = attrs.groupBy("row_index").agg(
-        F.sum(F.when(F.col("value").isNotNull(), (F.col("confidence") * 100 + 0.5).cast("long")).otherwise(0)).alias("points"), F.count_if(F.col("value").isNotNull()).alias("n"), F.count("*").alias("slots")
-    )
-    part = F.when(F.col("n") > 0, F.col("points") / 100.0 / F.col("n") * (0.45 + 0.55 * (F.col("n") / F.col("slots")))).otherwise(0.0)
-    errors = issues.where("severity = 'error'").groupBy("row_index").agg(F.count("*").alias("n_errors"))
-    met = (
-        leaf.select("row_index", F.col("confidence").alias("c"))
-        .join(maker.select("row_index", F.col("confidence").alias("m")), "row_index")
-        .join(brand.select("row_index", F.col("confidence").alias("b")), "row_index")
-        .join(filled.select("row_index", part.alias("a")), "row_index")
-        .join(errors, "row_index", "left")
-    )
-    total = WEIGHTS["manufacturer"] * F.col("m") + WEIGHTS["brand"] * F.col("b") + WEIGHTS["classification"] * F.col("c") + WEIGHTS["attributes"] * F.col("a")
-    n = F.coalesce("n_errors", F.lit(0))
-    capped = F.when(n > 0, F.least(total, F.lit(INVALID_CAP))).otherwise(total)
-    return met.select("row_index", n.alias("n_errors"), round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), capped)), 4).alias("confidence"), "m", "b", "c")
-
-
-def review(scored: DataFrame) -> DataFrame:
-    """Flags in rule order, and the status they lead to."""
-    rules = [
-        F.when(F.col("m") < REVIEW["manufacturer"], "low_manufacturer"), F.when(F.col("b") < REVIEW["brand"], "low_brand"), F.when(F.col("c") < REVIEW["classification"], "low_classification"),
-        F.when(F.col("n_errors") > 0, "validation_failed"), F.when(F.col("confidence") < REVIEW["product"], "low_confidence"),
-    ]
-    flags = F.array_compact(F.array(*rules))
-    status = F.when(F.size(flags) > 0, "NEEDS_REVIEW").otherwise("SUCCESS")
-    band = F.when(F.col("confidence") >= 0.85, "HIGH").when(F.col("confidence") >= 0.65, "MEDIUM").when(F.col("confidence") >= 0.35, "LOW").otherwise("UNKNOWN")
-    return scored.select("row_index", "confidence", "n_errors", F.array_join(flags, ",").alias("flags"), status.alias("status"), band.alias("band"))

@@ -15,8 +15,10 @@ feed0 AS (
   FROM part LEFT JOIN ps ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = sk),
 feed AS (
   SELECT row_index, mpn AS Mfg_Part_Num,
-         mpn || ' ' || p_name || ' ' || CAST(p_size AS VARCHAR) || CASE WHEN k % 3 = 0 THEN ' inches' ELSE 'in' END
+         mpn || ' ' || CASE k % 12 WHEN 5 THEN 'Ironclad ' WHEN 0 THEN 'iron clad ' WHEN 8 THEN 'Torque wrench ' WHEN 4 THEN 'Torque ' ELSE '' END
+         || p_name || ' ' || CAST(p_size AS VARCHAR) || CASE WHEN k % 3 = 0 THEN ' inches' ELSE 'in' END
          || CASE WHEN k % 6 = 0 THEN ' 120V' ELSE '' END || CASE WHEN k % 10 = 0 THEN ' 4x2x1' ELSE '' END
+         || CASE WHEN k % 10 = 3 THEN ' Ultra Series' ELSE '' END || CASE WHEN k % 15 = 7 THEN ' Ironclad head' ELSE '' END
          || CASE WHEN k % 4 = 0 THEN ' - Steel  Heavy Duty' WHEN k % 4 = 1 THEN ' SS w/ safety clip' ELSE '' END AS Part_Desc,
          CASE k % 5 WHEN 0 THEN '-- Unbranded --' WHEN 1 THEN NULL ELSE p_brand END AS E1_Brand,
          CASE k % 4 WHEN 0 THEN '-- No DIB Brand --' WHEN 3 THEN p_brand ELSE '' END AS DIB_Brand,
@@ -31,8 +33,9 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 60
     mpn = F.concat(F.upper(F.substring("p_type", 1, 3)), F.chr(64 + F.substring("p_brand", 7, 9).cast("int")), F.col("p_partkey").cast("string"))
     desc = F.concat(
-        mpn, F.lit(" "), F.col("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.when(k % 3 == 0, " inches").otherwise("in"),
+        mpn, F.lit(" "), F.when(k % 12 == 5, "Ironclad ").when(k % 12 == 0, "iron clad ").when(k % 12 == 8, "Torque wrench ").when(k % 12 == 4, "Torque ").otherwise(""), F.col("p_name"), F.lit(" "), F.col("p_size").cast("string"), F.when(k % 3 == 0, " inches").otherwise("in"),
         F.when(k % 6 == 0, " 120V").otherwise(""), F.when(k % 10 == 0, " 4x2x1").otherwise(""),
+        F.when(k % 10 == 3, " Ultra Series").otherwise(""), F.when(k % 15 == 7, " Ironclad head").otherwise(""),
         F.when(k % 4 == 0, " - Steel  Heavy Duty").when(k % 4 == 1, " SS w/ safety clip").otherwise(""),
     )
     return rows.select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import links, measures, text
 from ..operators.feed import feed
-from .sqltext import FEED_SQL, UNIT_MAP, clean, match_key, placeholder, quoted, round_half_up
+from .sqltext import FEED_SQL, UNIT_MAP, clean, match_key, placeholder, quoted, round_half_up, title_sql, trimmed
 
 
 def _t(spark, d, name):
@@ -46,6 +46,52 @@ def with_clauses(spark, d):
     return feed(spark, d).select("row_index", said.alias("said")).where("said IS NOT NULL")
 
 
+def title_cases(spark, d):
+    """Descriptions in title case, with slashes, hyphens, acronyms and small words put in."""
+    odd = F.concat_ws(" ", F.lower("p_name"), F.lit("of the led/usb"), F.concat(F.lower("p_type"), F.lit("-built")), F.concat(F.col("p_size").cast("string"), F.lit("v")), F.lit("CleanBoost kit"))
+    return _t(spark, d, "part").select("p_partkey", text.title_case(odd).alias("title"), text.sentence_case(odd).alias("sentence"))
+
+
+def canonical_forms(spark, d):
+    """The ways a name is brought to one form: header, slug, file name, exact term, comparison."""
+    odd = F.concat(F.lit("  "), F.col("p_name"), F.lit(" (No. "), F.col("p_size").cast("string"), F.lit(") ®; "))
+    forms = {"header": text.column_form, "slug": text.slug, "file": text.file_form, "term": text.exact_form, "compared": text.compared}
+    return _t(spark, d, "part").select("p_partkey", *[f(odd).alias(n) for n, f in forms.items()], F.array_join(text.compared_tokens(odd), ",").alias("tokens"))
+
+
+def mended_text(spark, d):
+    """Names spoilt as UTF-8 read in Windows-1252, mended; the whole ones stay."""
+    odd = F.concat("p_name", F.when(F.col("p_partkey") % 4 == 0, " cafÃ©").when(F.col("p_partkey") % 4 == 1, " Boostâ„¢").when(F.col("p_partkey") % 4 == 2, " Ã alone").otherwise(" café"))
+    return _t(spark, d, "part").select("p_partkey", text.mended(odd).alias("mended"))
+
+
+def house_measures(spark, d):
+    """Numbers in house style, keys of overrides, decimals inside a text."""
+    odd = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("."), F.lpad((F.col("p_size") * 125).cast("string"), 4, "0"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.col("p_size").cast("string"), F.lit(" 3/8"))).otherwise((F.col("p_size") / 16).cast("string"))
+    number = F.col("p_size") / 16
+    line = F.concat_ws(" ", F.lit("about"), (F.col("p_size") / 8).cast("string"), F.lit("in wide"))
+    return _t(spark, d, "part").select("p_partkey", measures.house_measure(odd).alias("house"), measures.decimal_key(number).alias("key"), measures.decimals_in_text(line).alias("line"))
+
+
+def fraction_table(spark, d):
+    return measures.fraction_table(spark)
+
+
+def unit_spellings(spark, d):
+    """Units in several spellings: approved unit, what it measures, how sure, in a measure."""
+    said = ["in", "Inches", "IN.", '"', "FT.", "kWh", "V", "volts", "°F", "sq  ft", "dB(A)", "zz", "lbs", "Ah", "teeth"]
+    named = F.get(F.array(*map(F.lit, said)), (F.col("p_partkey") % len(said)).cast("int"))
+    u = _t(spark, d, "part").select("p_partkey", named.alias("said"), F.col("p_size").cast("string").alias("n"))
+    full = measures.measure(F.col("n"), F.col("said"))
+    return u.select("p_partkey", "said", measures.unit(F.col("said")).alias("unit"), measures.unit_type(measures.unit(F.col("said"))).alias("kind"), measures.unit_confidence(F.col("said")).alias("sure"), full.alias("measure"), measures.measure(F.col("n"), F.col("said"), compact=True).alias("tight"))
+
+
+def abbreviated_names(spark, d):
+    """Phrases by their abbreviations, whole words alone, the longest first."""
+    odd = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " in Black Stainless Steel").otherwise(" steelcase, stainless steel"))
+    return _t(spark, d, "part").select("p_partkey", text.abbreviated(odd, ABBREVIATIONS).alias("brief"))
+
+
 def fractions_ladder(spark, d):
     return _t(spark, d, "part").select("p_partkey", measures.to_fraction(F.col("p_size") / 8).alias("fraction"))
 
@@ -121,7 +167,45 @@ SELECT page_id, tier, CASE tier {" ".join(f"WHEN '{k}' THEN {v!r}e0" for k, v in
 
 
 _CHAIN = measures.CHAIN
+ABBREVIATIONS = {"Stainless Steel": "SST", "Black Stainless Steel": "BSST", "Steel": "STL", "Large": "LRG", "Small": "SML", "Gear": "GR"}
+
+
+def _brief(c: str) -> str:
+    out = trimmed(c)
+    for phrase in sorted(ABBREVIATIONS, key=len, reverse=True):
+        out = f"regexp_replace({out}, '(?i)\\b{phrase}\\b', '{ABBREVIATIONS[phrase]}', 'g')"
+    return out
+
+
+_ODD_TITLE = "lower(p_name) || ' of the led/usb ' || lower(p_type) || '-built ' || CAST(p_size AS VARCHAR) || 'v CleanBoost kit'"
+_ODD_NAME = "'  ' || p_name || ' (No. ' || CAST(p_size AS VARCHAR) || ') ®; '"
+_SAID = ["in", "Inches", "IN.", '"', "FT.", "kWh", "V", "volts", "°F", "sq  ft", "dB(A)", "zz", "lbs", "Ah", "teeth"]
+_UNITS_SQL = "CASE WHEN said IN (" + ", ".join(map(quoted, measures.UNITS)) + f") THEN said ELSE {UNIT_MAP}[trim(regexp_replace(replace(lower(trim(said)), '°', 'deg '), '[\\s._]+', ' ', 'g'))] END"
+_TYPES_SQL = "MAP {" + ", ".join(f"{quoted(u)}: {quoted(k)}" for u, k in measures.TYPES.items()) + "}"
+_NUMERIC = "CASE WHEN regexp_matches({x}, '^[+-]?[0-9]+(\\.[0-9]+)?$') THEN coalesce({f}, {x}) ELSE regexp_replace({x}, '^([0-9]+)[- ]+([0-9])', '\\1-\\2') END"
+
 QUERIES = {
+    "title_cases": (title_cases, f"SELECT p_partkey, {title_sql(f'({_ODD_TITLE})')} AS title, upper(substr(({_ODD_TITLE}), 1, 1)) || substr(({_ODD_TITLE}), 2) AS sentence FROM part"),
+    "canonical_forms": (
+        canonical_forms,
+        f"""WITH o AS (SELECT p_partkey, {_ODD_NAME} AS x FROM part), c AS (SELECT *, trim(regexp_replace(translate(lower(trim(x)), '®™©', ''), '\\s+', ' ', 'g'), ' .,;') AS compared FROM o)
+        SELECT p_partkey, trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS header, trim(regexp_replace(lower(x), '[^a-z0-9]+', '_', 'g'), '_') AS slug, trim(regexp_replace(trim(x), '[^A-Za-z0-9.-]+', '-', 'g'), '-') AS file,
+               trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) AS term, compared, array_to_string(list_filter(regexp_split_to_array(compared, '[^a-z0-9/.-]+'), lambda t: t <> '' AND t NOT IN ({", ".join(map(quoted, text.STOP))})), ',') AS tokens FROM c""",
+    ),
+    "mended_text": (mended_text, "SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' café' WHEN 1 THEN ' Boost™' WHEN 2 THEN ' Ã alone' ELSE ' café' END AS mended FROM part"),
+    "house_measures": (
+        house_measures,
+        f"""WITH o AS (SELECT p_partkey, p_size, CASE p_partkey % 3 WHEN 0 THEN '0.' || lpad(CAST(p_size * 125 AS VARCHAR), 4, '0') WHEN 1 THEN CAST(p_size AS VARCHAR) || ' 3/8' ELSE CAST(p_size / 16e0 AS VARCHAR) END AS x FROM part)
+        SELECT p_partkey, {_NUMERIC.format(x="x", f=fraction_sql("TRY_CAST(x AS DOUBLE)"))} AS house, regexp_replace(regexp_replace(printf('%.10f', p_size / 16e0), '0+$', ''), '\\.$', '') AS key,
+               'about ' || {fraction_sql("p_size / 8e0")} || ' in wide' AS line FROM o""".replace("' in wide' AS line", "' in wide' AS line"),
+    ),
+    "fraction_table": (fraction_table, "WITH n AS (SELECT unnest(range(1, 64)) AS k) SELECT CAST(k // gcd(k, 64) AS VARCHAR) || '/' || CAST(64 // gcd(k, 64) AS VARCHAR) AS fraction, k // gcd(k, 64) AS numerator, 64 // gcd(k, 64) AS denominator, k / 64e0 AS value FROM n"),
+    "unit_spellings": (
+        unit_spellings,
+        f"""WITH s AS (SELECT p_partkey, CAST(p_size AS VARCHAR) AS n, [{", ".join(map(quoted, _SAID))}][p_partkey % {len(_SAID)} + 1] AS said FROM part), u AS (SELECT *, {_UNITS_SQL} AS unit FROM s)
+        SELECT p_partkey, said, unit, {_TYPES_SQL}[unit] AS kind, CASE WHEN unit IS NULL THEN 0e0 WHEN unit = said THEN 1e0 ELSE 0.95e0 END AS sure, n || ' ' || coalesce(unit, said) AS measure, n || replace(upper(coalesce(unit, said)), ' ', '') AS tight FROM u""",
+    ),
+    "abbreviated_names": (abbreviated_names, "WITH o AS (SELECT p_partkey, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' in Black Stainless Steel' ELSE ' steelcase, stainless steel' END AS x FROM part) SELECT p_partkey, " + _brief("x") + " AS brief FROM o"),
     "placeholder_filter": (placeholder_filter, f"WITH {FEED_SQL} SELECT row_index, E1_Brand FROM feed WHERE {placeholder('E1_Brand')}"),
     "clean_values": (clean_values, f"WITH {FEED_SQL} SELECT row_index, {', '.join(f'{clean(c)} AS {c}' for c in ('Part_Desc', 'E1_Brand', 'DIB_Brand', 'Part_Manuf'))} FROM feed"),
     "match_keys": (match_keys, f"WITH {FEED_SQL} SELECT DISTINCT Part_Manuf, {match_key('Part_Manuf')} AS key FROM feed"),
@@ -140,7 +224,7 @@ QUERIES = {
     ),
     "with_clauses": (
         with_clauses,
-        f"WITH {FEED_SQL}, s AS (SELECT row_index, trim(regexp_extract(Part_Desc, '{_T}', 2)) AS t FROM feed) SELECT row_index, 'With ' || array_to_string(list_transform(string_split(t, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS said FROM s WHERE length(t) >= 3",
+        f"WITH {FEED_SQL}, s AS (SELECT row_index, trim({trimmed(f"regexp_extract(Part_Desc, '{_T}', 2)")}, ' -,') AS t FROM feed) SELECT row_index, 'With ' || {title_sql('t')} AS said FROM s WHERE length(t) >= 3",
     ),
     "fractions_ladder": (fractions_ladder, f"SELECT p_partkey, {fraction_sql('p_size / 8.0e0')} AS fraction FROM part"),
     "fraction_roundtrip": (fraction_roundtrip, f"SELECT p_partkey, {fraction_sql('p_size / 16.0e0')} AS fraction, p_size / 16.0e0 AS value FROM part"),

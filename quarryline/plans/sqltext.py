@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.measures import ALIASES
-from ..functions.text import SENTINEL, SUFFIXES
+from ..functions.text import ACRONYMS, MINORS, SENTINEL, SUFFIXES
 from ..operators.feed import FEED_SQL
 
 
@@ -29,6 +29,18 @@ def match_key(c: str) -> str:
     return f"CASE WHEN {bare} = '' THEN {s} ELSE {bare} END"
 
 
+def title_sql(c: str) -> str:
+    """Title case of a trimmed text, word by word."""
+    cap = (
+        "CASE WHEN p IN ('/', '-') THEN p WHEN list_contains({acr}, lower(p)) THEN upper(p) WHEN regexp_matches(substr(p, 2), '\\p{{Lu}}') THEN p WHEN regexp_matches(p, '[0-9]') THEN "
+        "array_to_string(list_transform(string_split(p, ''), lambda x, i: CASE WHEN i = 1 OR (regexp_matches(string_split(p, '')[i - 1], '[0-9]') AND regexp_matches(x, '[a-z]')) THEN upper(x) ELSE x END), '') "
+        "ELSE upper(substr(p, 1, 1)) || substr(p, 2) END"
+    ).format(acr="[" + ", ".join(map(quoted, ACRONYMS)) + "]")
+    minors = "[" + ", ".join(map(quoted, MINORS)) + "]"
+    word = f"CASE WHEN j > 1 AND list_contains({minors}, lower(w)) THEN lower(w) ELSE array_to_string(list_transform(regexp_extract_all(w, '([^/-]+|[/-])', 1), lambda p: {cap}), '') END"
+    return f"CASE WHEN {c} = '' THEN '' ELSE array_to_string(list_transform(string_split({c}, ' '), lambda w, j: {word}), ' ') END"
+
+
 NAME_CODE = r"'^(.+?) *\(([A-Za-z0-9-]{2,10})\) *$'"
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import catalogue, relational, scalars, search
+from .plans import catalogue, product, relational, scalars, search
 
 FLAGSHIP = "enriched_feed"
-MODULES = (scalars, catalogue, search, relational)
+MODULES = (scalars, catalogue, product, search, relational)
 
 
 def queries() -> dict:
