@@ -230,7 +230,7 @@ class Trainer:
         self.w, self.rate, self.used, self.steps = w.copy(), rate, 0, 0
         self.m, self.v = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
 
-    def learn(self, symbols: np.ndarray, lengths: np.ndarray, batch: int = 192, seed: int = 0) -> None:
+    def learn(self, symbols: np.ndarray, lengths: np.ndarray, batch: int = 256, seed: int = 0) -> None:
         """One pass over all windows of the texts, in random order."""
         window, before = windows(lengths), shifted(symbols, lengths)
         use = np.random.default_rng(seed).permutation(len(window))
