@@ -2,7 +2,7 @@
 
 A response record holds a captured HTTP message.  From each one ``derive`` makes
 two records of the WARC 1.1 format: ``metadata`` (the envelope as JSON: HTTP
-status and headers, title, number of links) and ``conversion`` (the text of the
+status and all headers in their order, title, number of links) and ``conversion`` (the text of the
 page).  Both carry the response's id in WARC-Refers-To, its target URI and date,
 and its payload digest as the source's; each has a block digest of its own.
 
@@ -17,6 +17,7 @@ is made of page id and url, so equal rows give equal records, each kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 CRLF = "\r\n"
 DATE = "2026-01-01T00:00:00Z"
 
-# Character references decoded in plain text, ampersand last.
+# The commonest character references, ampersand last; the others come after a look for any.
 REFERENCES = [
     ("&lt;?", "<"),
     ("&gt;?", ">"),
@@ -35,6 +36,7 @@ REFERENCES = [
     ("&(?:middot|#183);?", "·"),
     ("&amp;?", "&"),
 ]
+_NAMED = [x for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))]
 DROPPED = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
 BREAKS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|nav|article|section|footer|header|table|tr|br|form|body|html)\b[^>]*>"
 TAGS = r"<[A-Za-z/!][^>]*>"
@@ -70,13 +72,30 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     )
 
 
+def _dereferenced(text: Column) -> Column:
+    """Every other reference, by name or number; what is none stays as it is."""
+    parts = F.regexp_extract_all(text, F.lit("(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]{1,9};|[^&]+|&)"), 1)
+
+    def one(x: Column) -> Column:
+        code = F.when(x.rlike("^&#[0-9]"), F.regexp_extract(x, "([0-9]+)", 1).cast("int")).when(x.rlike("^&#[xX]"), F.conv(F.regexp_extract(x, "^&#[xX](.*);$", 1), 16, 10).cast("int"))
+        shown = F.when((code < 0x10000) & ~code.between(0xD800, 0xDFFF) & (code > 0), F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE"))
+        high = code - 0x10000
+        pair = F.concat(F.lpad(F.hex(F.lit(0xD800) + F.floor(high / 1024)), 4, "0"), F.lpad(F.hex(F.lit(0xDC00) + high % 1024), 4, "0"))
+        wide = F.when((code >= 0x10000) & (code <= 0x10FFFF), F.decode(F.unhex(pair), "UTF-16BE"))
+        named = F.when(x.rlike("^&[A-Za-z]"), F.try_element_at(F.create_map(*map(F.lit, _NAMED)), F.regexp_extract(x, "^&(.*);$", 1)))
+        return F.coalesce(shown, wide, named, x)
+
+    return F.when(text.rlike("&#|&[A-Za-z]"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
 def plain_text(html: Column) -> Column:
     """The visible text: a line for each block, white space runs as one space."""
     text = F.regexp_replace(html, DROPPED, " ")
     text = F.regexp_replace(F.regexp_replace(text, SPACES, " "), BREAKS, "\n")
     text = F.regexp_replace(text, TAGS, "")
-    for pattern, put in REFERENCES:
+    for pattern, put in REFERENCES[:-1]:
         text = F.regexp_replace(text, pattern, put)
+    text = F.regexp_replace(_dereferenced(text), *REFERENCES[-1])
     text = F.regexp_replace(text, " *\n[ \n]*", "\n")
     return F.regexp_replace(F.regexp_replace(text, "^[ \n]+", ""), "[ \n]+$", "")
 
@@ -91,6 +110,8 @@ def derive(records: DataFrame) -> DataFrame:
         "payload", F.when(at > 0, F.expr("substring(block, instr(block, '\r\n\r\n') + 4)")).otherwise(F.lit(""))
     )
     payload = F.col("payload")
+    named = F.filter(F.slice(F.split("http", "\r?\n"), 2, 10_000), lambda x: F.contains(x, F.lit(":")))
+    headers = F.transform(named, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
     facts = split.select(
         "page_id",
         "url",
@@ -103,6 +124,7 @@ def derive(records: DataFrame) -> DataFrame:
                 F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]+)", 1).alias("status"),
                 F.regexp_extract("http", r"(?i)\ncontent-type: *([^\r\n]*)", 1).alias("content_type"),
                 F.regexp_extract("http", r"(?i)\ncontent-length: *([0-9]*)", 1).alias("content_length"),
+                headers.alias("headers"),
                 F.octet_length(payload).alias("payload_bytes"),
                 F.trim(F.regexp_extract(payload, r"(?is)<title[^>]*>([^<]*)", 1)).alias("title"),
                 F.regexp_count(payload, F.lit(r"(?i)<a\s[^>]*href")).alias("links"),
@@ -215,7 +237,7 @@ b AS (SELECT *, {urn("concat_ws('|', 'response', coalesce(CAST(page_id AS VARCHA
              len(regexp_extract_all(payload, '(?i)<a\\s[^>]*href')) AS links FROM a),
 c AS (
   SELECT page_id, url, refers_to, target_uri, payload_digest, 'metadata' AS kind, 'application/json' AS content_type,
-         '{{"status":"200","content_type":"text/html; charset=utf-8","content_length":"' || size || '","payload_bytes":' || size
+         '{{"status":"200","content_type":"text/html; charset=utf-8","content_length":"' || size || '","headers":[{{"name":"Content-Type","value":"text/html; charset=utf-8"}},{{"name":"Content-Length","value":"' || size || '"}}],"payload_bytes":' || size
          || ',"title":' || CAST(to_json(title) AS VARCHAR) || ',"links":' || links || '}}' AS content FROM b
   UNION ALL
   SELECT page_id, url, refers_to, target_uri, payload_digest, 'conversion', 'text/plain; charset=utf-8', text FROM b),
