@@ -54,3 +54,16 @@ def duplicate_keys(df: DataFrame, key: str, k: int = 20) -> DataFrame:
     """Of the k commonest keys those found more than once."""
     by = df.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n"))
     return by.orderBy(F.col("n").desc(), F.col("key").asc_nulls_first()).limit(k).where("n > 1")
+
+
+def warnings(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """``warning, column, count``: what in a profile needs a look; nothing else is listed."""
+    c = cells(df, columns)
+    total = df.agg(F.count("*").alias("count")).select(F.lit("input_empty").alias("warning"), F.lit(None).cast("string").alias("column"), "count")
+    repeated = df.groupBy(*columns).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n") - 1)), F.lit(0)).alias("count"))
+    keys = duplicate_keys(df, key).agg(F.count("*").alias("count"))
+    spoilt = c.agg(F.count_if(F.col("value").rlike("Ã.|Â.|â€|â„")).alias("count"))
+    named = lambda frame, name: frame.where("count > 0").select(F.lit(name).alias("warning"), F.lit(None).cast("string").alias("column"), "count")
+    held = (F.trim("value") != "") & is_placeholder(trimmed(F.col("value")))
+    absent = c.groupBy("column").agg(F.count_if(held).alias("count"), F.count("*").alias("n")).where(F.col("count") > 0.5 * F.col("n")).select(F.lit("mostly_placeholders").alias("warning"), "column", "count")
+    return total.where("count = 0").unionByName(named(repeated, "duplicate_rows")).unionByName(named(keys, "duplicate_keys")).unionByName(named(spoilt, "mojibake")).unionByName(absent)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, code_of, match_key, name_of, token_set_ratio
+from ..functions.text import clean, code_of, match_key, name_of
+from .fuzzy import matched
 
 DISTRIBUTOR_FROM = 3
 DERIVED = 0.94
@@ -51,16 +52,24 @@ def owners(rows: DataFrame) -> DataFrame:
     return e.withColumn("rank", rank)
 
 
-def resolve_suppliers(rows: DataFrame, master: DataFrame) -> DataFrame:
-    """Each row's manufacturer by code, then by key, with method and confidence."""
+def resolve_suppliers(rows: DataFrame, master: DataFrame, fuzzily: bool = False) -> DataFrame:
+    """Each row's manufacturer by code, then by key, then by a fuzzy key, with method and
+    confidence.  A master mined from the rows themselves has every key, so the fuzzy step
+    is for masters from elsewhere."""
     codes = master.where("code IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy(F.upper("code")).orderBy("supplier_key"))).where("nth = 1")
     by_code = codes.select(F.upper("code").alias("c"), F.col("name").alias("code_name"))
     by_key = master.select(F.col("supplier_key").alias("k"), F.col("name").alias("key_name"))
     met = rows.join(by_code, F.upper("code") == F.col("c"), "left").join(by_key, F.col("supplier_key") == F.col("k"), "left")
+    if fuzzily:
+        strange = met.where("code_name IS NULL AND key_name IS NULL AND supplier_key IS NOT NULL").select(F.col("supplier_key").alias("asked")).distinct()
+        near = matched(strange, master.select(F.col("supplier_key").alias("name"))).where("verdict = 'fuzzy'").select("asked", F.col("name").alias("near"), F.col("score").alias("likeness"))
+        met = met.join(near, F.col("supplier_key") == F.col("asked"), "left").join(master.select(F.col("supplier_key").alias("n"), F.col("name").alias("near_name")), F.col("near") == F.col("n"), "left")
+    else:
+        met = met.withColumns({"near_name": F.lit(None).cast("string"), "likeness": F.lit(None).cast("double")})
     exact = F.col("supplier") == F.col("key_name")
-    method = F.when(F.col("code_name").isNotNull(), "code").when(exact, "exact").when(F.col("key_name").isNotNull(), "normalized").when(F.col("supplier").isNotNull(), "unresolved")
-    score = F.when(method == "code", 0.99).when(method == "exact", 0.98).when(method == "normalized", 0.95).otherwise(0.0)
-    return met.select("row_index", "supplier", F.coalesce("code_name", "key_name").alias("manufacturer"), method.alias("method"), (score * DERIVED).alias("confidence"))
+    method = F.when(F.col("code_name").isNotNull(), "code").when(exact, "exact").when(F.col("key_name").isNotNull(), "normalized").when(F.col("near_name").isNotNull(), "fuzzy").when(F.col("supplier").isNotNull(), "unresolved")
+    score = F.when(method == "code", 0.99).when(method == "exact", 0.98).when(method == "normalized", 0.95).when(method == "fuzzy", 0.78 * F.col("likeness") / 100.0).otherwise(0.0)
+    return met.select("row_index", "supplier", F.coalesce("code_name", "key_name", "near_name").alias("manufacturer"), method.alias("method"), (score * DERIVED).alias("confidence"))
 
 
 def resolve_brands(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -82,18 +91,3 @@ def manufacturer_of_record(rows: DataFrame) -> DataFrame:
     made = F.col("owner").isNotNull() & ~F.col("owner_distributes")
     how = F.when(made, "brand_owner").when(F.col("own").isNotNull() & ~F.col("distributor"), "supplier_direct").when(F.col("own").isNotNull(), "distributor_only").otherwise("unresolved")
     return met.select("row_index", F.when(made, F.col("owner")).when(how == "supplier_direct", F.col("own")).alias("manufacturer"), how.alias("method"))
-
-
-def fuzzy_pairs(queries: DataFrame, names: DataFrame, floor: float = 88.0, margin: float = 4.0) -> DataFrame:
-    """``asked, name, score, verdict``: best spelling of each distinct unresolved name.
-
-    Names that share a word meet by an equi-join on words, so only plausible pairs are
-    scored; a runner-up within ``margin`` makes the match ambiguous.
-    """
-    words = lambda df, c, w: df.select(c, F.explode(F.array_distinct(F.split(F.lower(c), " +"))).alias(w)).where(F.col(w) != "")
-    pairs = words(queries, "asked", "w").join(words(names, "name", "v"), F.col("w") == F.col("v")).select("asked", "name").distinct()
-    scored = pairs.withColumn("score", token_set_ratio("asked", "name"))
-    order = Window.partitionBy("asked").orderBy(F.col("score").desc(), "name")
-    top = scored.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).where("rank = 1")
-    sure = (F.col("score") >= floor) & (F.col("score") - F.coalesce("next", F.lit(0.0)) >= margin)
-    return top.select("asked", "name", "score", F.when(sure, "fuzzy").when(F.col("score") >= floor, "ambiguous").otherwise("unresolved").alias("verdict"))

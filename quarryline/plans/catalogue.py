@@ -74,16 +74,10 @@ def manufacturer_of_record(spark, d):
     return resolve.manufacturer_of_record(_rows(spark, d))
 
 
-def fuzzy_names(spark, d):
-    """Squeezed and cut customer names against the whole names, by word-set similarity."""
-    names = spark.read.parquet(f"{d}/nation.parquet").select(F.concat_ws(" ", F.lit("nation"), F.regexp_replace("n_name", "_", " "), F.lit("trading")).alias("name"))
-    asked = names.select(F.regexp_replace("name", " trading", " trade").alias("asked"))
-    return resolve.fuzzy_pairs(asked, names)
-
-
 def orphans_anti(spark, d):
+    """Parts never sold in a lot of more than 48."""
     part, line = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("part", "lineitem"))
-    return part.join(line, F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey")
+    return part.join(line.where("l_quantity > 48"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey")
 
 
 def known_semi(spark, d):
@@ -192,8 +186,7 @@ QUERIES = {
         manufacturer_of_record,
         f"WITH {ROWS}, {_MOR} SELECT row_index, CASE WHEN owner IS NOT NULL AND NOT od THEN owner WHEN own IS NOT NULL AND NOT d THEN own END AS manufacturer, CASE WHEN owner IS NOT NULL AND NOT od THEN 'brand_owner' WHEN own IS NOT NULL AND NOT d THEN 'supplier_direct' WHEN own IS NOT NULL THEN 'distributor_only' ELSE 'unresolved' END AS method FROM mor",
     ),
-    "fuzzy_names": (fuzzy_names, None),
-    "orphans_anti": (orphans_anti, "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)"),
+    "orphans_anti": (orphans_anti, "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48)"),
     "known_semi": (known_semi, f"WITH {ROWS} SELECT row_index, supplier_key FROM rws WHERE supplier_key IN (SELECT supplier_key FROM mf WHERE NOT distributor)"),
     "classify_leaf": (classify_leaf, f"WITH {_CLASS} SELECT * FROM lf"),
     "classify_candidates_top5": (classify_candidates, f"WITH {_CLASS} SELECT * FROM cd WHERE rank <= 5"),
