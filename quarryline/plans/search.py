@@ -93,7 +93,7 @@ def quality_vs_labels(spark, d):
 
 
 def vector_norms(spark, d):
-    """Nearest label centre of every vector, by whole-number coordinates."""
+    """Longest and shortest vector of each label, by whole-number coordinates."""
     e = _t(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000.0).cast("long")).alias("v"))
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     return e.groupBy("label").agg(F.count("*").alias("n"), F.max(square).alias("longest"), F.min(square).alias("shortest"))
