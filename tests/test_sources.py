@@ -145,3 +145,18 @@ def test_search_rules(spark):
     out = {r["query_id"]: (r["rescue"], r["suggestion"]) for r in search.rescued(raw, search.vocabulary(spark)).collect()}
     assert out == {"1": ("Red", None), "2": (None, "Blue"), "3": (None, "Steel")}
     assert {r["collection"]: r["n"] for r in search.stats(docs).collect()}["guidelines"] == 0
+
+
+def test_command_line(spark):
+    from quarryline import __main__ as cli
+
+    path = folder()
+    with open(path + "/feed.csv", "w") as f:
+        f.write("Mfg_Part_Num,Part_Desc,E1_Brand,Part_Manuf\nA1,A1 red bolt 4in,Orla,Orla Inc\nA2,A2 plate,,-\nA3,A3 ring,,-\n")
+    cli.main([path + "/feed.csv", path + "/out", "--limit", "2"])
+    rows = spark.read.option("header", True).csv(path + "/out/delivery").na.fill("").collect()
+    assert sorted(r["MANUFACTURER_PART_NUMBER"] for r in rows) == ["A1", "A2"]
+    bolt = next(r for r in rows if r["MANUFACTURER_PART_NUMBER"] == "A1")
+    assert bolt["BRAND_NAME"] == "Orla" and "4" in [bolt[f"ATTRIBUTE_VALUE {i}"] for i in range(1, 6)]
+    assert spark.read.json(path + "/out/report").first()["n_products"] == 2
+    assert spark.read.option("header", True).csv(path + "/out/review").count() > 0
