@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_main, lm, mixing, pieces, quality, simhash, substring, topk, warc
+from . import chat, html_main, infill, lm, mixing, pieces, quality, simhash, substring, topk, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_substring_dedup": substring.op8_substring_dedup,
         "op9_lm_scores": lm.op9_lm_scores,
         "op10_chat_perspectives": chat.op10_chat_perspectives,
+        "op12_fill_in_middle": infill.op12_fill_in_middle,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_top_k": topk.TOPK_SQL,
         "op7_mix_sources": mixing.MIX_SQL,
         "op10_chat_perspectives": chat.CHAT_SQL,
+        "op12_fill_in_middle": infill.INFILL_SQL,
     }
