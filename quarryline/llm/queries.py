@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_main, infill, lm, mixing, pieces, quality, simhash, substring, topk, warc
+from . import chat, html_main, importance, infill, lm, mixing, pieces, quality, simhash, substring, topk, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_lm_scores": lm.op9_lm_scores,
         "op10_chat_perspectives": chat.op10_chat_perspectives,
         "op12_fill_in_middle": infill.op12_fill_in_middle,
+        "op13_importance_resampling": importance.op13_importance_resampling,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mix_sources": mixing.MIX_SQL,
         "op10_chat_perspectives": chat.CHAT_SQL,
         "op12_fill_in_middle": infill.INFILL_SQL,
+        "op13_importance_resampling": importance.IMPORTANCE_SQL,
     }
