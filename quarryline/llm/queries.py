@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_main, importance, infill, lm, mixing, pieces, quality, simhash, substring, topk, warc
+from . import chat, html_main, importance, infill, lm, mixing, pieces, quality, setjoin, simhash, substring, topk, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_substring_dedup": substring.op8_substring_dedup,
         "op9_lm_scores": lm.op9_lm_scores,
         "op10_chat_perspectives": chat.op10_chat_perspectives,
+        "op11_jaccard_join": setjoin.op11_jaccard_join,
         "op12_fill_in_middle": infill.op12_fill_in_middle,
         "op13_importance_resampling": importance.op13_importance_resampling,
     }
