@@ -1,15 +1,15 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 Every source lies as a line of words, its documents in a shuffled order that
-depends on their ids and texts alone, cut into blocks of equal numbers of words.  Slot i
-of the schedule takes the i-th van der Corput point; its place among the cumulative
-targets names a source, and the slot's rank among that source's slots names the
-block, the line starting over when it ends.  What the mix takes is what the slots play:
-the share of every source is near its target over any stretch of slots, within a few
-blocks over all.  A slot of a source that has been played ``most`` times takes nothing.
-
-There are ``SLOTS`` slots at least, as far as blocks of 8 words allow; blocks of 1,024
-words are the longest.
+depends on their ids and texts alone, cut into blocks of equal numbers of words: a
+``SHARE``-th of the source's own target, from one word to ``LONGEST``.  Its target is
+then a number of blocks, to the nearest, and that many slots are its own.  Slot i of the
+schedule takes the i-th van der Corput point among as many points as the next power of
+two: each whole number below that comes once, so the point's place among the cumulative
+slots names a source, exactly as often as it has slots (points beyond the last take
+nothing), and evenly over any stretch.  The slot's rank among its source's names the block,
+the line starting over when it ends.  What the mix takes is what the slots play: for every
+source, however small, its target to half a block.
 
 Ranks and offsets are prefix sums in two steps (sums of bounded buckets first),
 so a source with a third of all rows is never one group.
@@ -28,17 +28,20 @@ from pyspark.sql import functions as F
 
 from .common import n_words, settled
 
-BLOCKS = (1024, 512, 256, 128, 64, 32, 16, 8)
-SLOTS = 1 << 16
+SHARE, LONGEST = 256, 1024
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SLOT_RUN = 1 << 16
 GRID = 4096
 
 
-def block_size(total: int) -> int:
-    """Words of a block: the most that give ``SLOTS`` slots, or the fewest there are."""
-    return next((b for b in BLOCKS if total >= SLOTS * b), BLOCKS[-1])
+def in_blocks(goal: DataFrame, most: int = MOST, block_words: int | None = None) -> DataFrame:
+    """``goal`` with ``block`` (words), ``nb`` (blocks of the line) and ``quota`` (slots) of each source."""
+    block = F.lit(block_words) if block_words else F.greatest(F.lit(1), F.least(F.lit(LONGEST), F.floor(F.col("target") / SHARE)))
+    rounds = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
+    goal = goal.withColumn("block", block.cast("long")).withColumn("nb", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
+    slots = rounds * F.col("nb") + F.floor((F.col("target") - rounds * F.col("source_size")) / F.col("block") + 0.5)
+    return goal.withColumn("quota", F.least(slots, most * F.col("nb")).cast("long"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -95,19 +98,19 @@ def van_der_corput(i: Column) -> Column:
     return F.conv(F.rpad(F.reverse(F.bin(i)), 48, "0"), 2, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def schedule(goal: DataFrame, total: int, block_words: int) -> DataFrame:
+def schedule(goal: DataFrame, total: int) -> DataFrame:
     """``place, rank, slot``: which source each slot takes and how often it came before.
 
-    ``goal`` has a row per source (``place, quota``); ``total`` is the sum of quotas.
+    ``goal`` has a row per source (``place, quota``: its slots); ``total`` is the sum of quotas.
     """
     spark = goal.sparkSession
     upto = Window.orderBy("place")
     bounds = goal.select("place", (F.sum("quota").over(upto) - F.col("quota")).alias("lo"), F.sum("quota").over(upto).alias("hi"))
     of = lambda c: F.floor(F.col(c) / F.lit(float(max(total, 1))) * GRID)
     cells = bounds.where("hi > lo").withColumn("cell", F.explode(F.sequence(of("lo"), of("hi"))))
-    n = -(-total // block_words)
-    parts = max(spark.sparkContext.defaultParallelism, n >> 22)
-    slots = spark.range(0, n, 1, parts).select(F.col("id").alias("slot"), F.floor(van_der_corput(F.col("id")) * float(total)).alias("at"))
+    points = 1 << max(total - 1, 0).bit_length() if total else 0
+    parts = max(spark.sparkContext.defaultParallelism, points >> 22)
+    slots = spark.range(0, points, 1, parts).select(F.col("id").alias("slot"), F.floor(van_der_corput(F.col("id")) * float(points)).alias("at")).where(F.col("at") < total)
     taken = slots.withColumn("cell", of("at")).join(cells, "cell").where("at >= lo AND at < hi").select("slot", "place", F.floor(F.col("slot") / SLOT_RUN).alias("run"))
     return _after(taken, ["place"], ["run"], F.lit(1), [F.col("slot")], "rank").select("place", "rank", "slot")
 
@@ -123,29 +126,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, block_words: int | N
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     line = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key"), F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))).alias("shuffled"))
     line = settled(line.withColumns({"part": F.substring("shuffled", 1, 2), "bucket": F.substring("shuffled", 1, 4)}), "sizes")
-    goal = settled(targets(line, weights, most).withColumn("quota", F.floor("target").cast("long")), "goal")
+    goal = settled(in_blocks(targets(line, weights, most), most, block_words), "goal")
     total = goal.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
-    block_words = block_words or block_size(total)
 
-    dim = goal.where("source_size > 0").select("place", F.ceil(F.col("source_size") / block_words).cast("long").alias("nb"))
-    played = schedule(goal, total, block_words).join(dim, "place").where(F.col("rank") < most * F.col("nb"))
+    played = schedule(goal, total).join(goal.select("place", "nb"), "place").where(F.col("rank") < most * F.col("nb"))
     blocks = played.groupBy("place", (F.col("rank") % F.col("nb")).cast("long").alias("block")).agg(F.count("*").alias("plays"), F.min("slot").alias("slot"))
 
     order = [F.col("shuffled"), F.col("doc_id").asc_nulls_first(), F.col("size")]
-    placed = _after(line, ["source"], ["part", "bucket"], F.col("size"), order, "start")
+    some = line.where("size > 0")
+    placed = _after(some, ["source"], ["part", "bucket"], F.col("size"), order, "start")
     placed = placed.withColumn("nth", F.row_number().over(Window.partitionBy("source", "bucket").orderBy(*order)))
-    named = goal.select(F.col("source").alias("s"), "place", "source_size", "target")
+    named = goal.select(F.col("source").alias("s"), "place", "source_size", "target", F.col("block").alias("long"))
     placed = placed.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s", "source", "shuffled")
     end = F.col("start") + F.col("size")
-    over = F.sequence(F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words))
-    pieces = placed.where("size > 0").select("*", F.explode(over).alias("block"))
+    over = F.sequence(F.expr("start div long"), F.expr("(start + size - 1) div long"))
+    pieces = placed.select("*", F.explode(over).alias("block"))
     met = pieces.join(blocks, ["place", "block"], "left")
-    words = F.least(end - F.col("block") * block_words, F.lit(block_words)) - F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
+    words = F.least(end - F.col("block") * F.col("long"), F.col("long")) - F.greatest(F.col("start") - F.col("block") * F.col("long"), F.lit(0))
     keys = ["place", "bucket", "nth", "doc_id", "size", "source_size", "target", "text_key"]
     out = ["doc_id", "size", "source_size", "target", "taken", "n_slots", "first_slot", "text_key"]
     plays = F.coalesce("plays", F.lit(0))
     full = met.groupBy(*keys).agg(F.sum(plays * words).cast("long").alias("taken"), F.sum(plays).cast("long").alias("n_slots"), F.min("slot").alias("first_slot")).select(*out)
-    bare = placed.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "n_slots": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")}).select(*out)
+    bare = line.where("size = 0").join(named, F.col("source").eqNullSafe(F.col("s"))).withColumns({"taken": F.lit(0).cast("long"), "n_slots": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")}).select(*out)
     return full.unionByName(bare)
 
 
@@ -154,7 +156,6 @@ def op7_mix_sources(spark, sf_dir):
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")).drop("text_key")
 
 
-_BLOCK = "CASE " + " ".join(f"WHEN total >= {SLOTS * b} THEN {b}" for b in BLOCKS[:-1]) + f" ELSE {BLOCKS[-1]} END"
 MIX_SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
                   md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || md5(coalesce(text, ''))) AS shuffled FROM documents),
@@ -168,11 +169,13 @@ u AS (SELECT *, CAST((SELECT sum(source_size) FROM s) - coalesce(sum(most) OVER
              row_number() OVER (ORDER BY most / CAST(weight AS DOUBLE), place) AS nth FROM v),
 f AS (SELECT l, r FROM u WHERE l * weight / r <= most ORDER BY nth LIMIT 1),
 g AS (SELECT source, place, source_size, least(CAST(most AS DOUBLE), coalesce((SELECT l FROM f) * weight / (SELECT r FROM f), CAST(most AS DOUBLE))) AS target FROM v),
-q AS (SELECT *, CAST(floor(target) AS BIGINT) AS quota FROM g),
-t AS (SELECT total, {_BLOCK} AS bw FROM (SELECT CAST(coalesce(sum(quota), 0) AS BIGINT) AS total FROM q)),
-h AS (SELECT q.*, bw, CAST(sum(quota) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi, CAST(ceil(source_size / CAST(bw AS DOUBLE)) AS BIGINT) AS nb FROM q, t),
-i AS (SELECT slot, CAST(floor(list_sum(list_transform(range(0, 48), lambda k: CAST((slot >> k) & 1 AS DOUBLE) / pow(2e0, k + 1))) * CAST(total AS DOUBLE)) AS BIGINT) AS spot
-      FROM t, (SELECT unnest(range(0, CAST(ceil(total / CAST(bw AS DOUBLE)) AS BIGINT))) AS slot FROM t) x),
+z AS (SELECT *, CAST(greatest(1, least({LONGEST}, floor(target / {SHARE}))) AS BIGINT) AS bw, floor(target / greatest(source_size, 1)) AS rounds FROM g),
+y AS (SELECT *, CAST(ceil(source_size / CAST(bw AS DOUBLE)) AS BIGINT) AS nb FROM z),
+q AS (SELECT *, CAST(least(rounds * nb + floor((target - rounds * source_size) / bw + 0.5), {MOST} * nb) AS BIGINT) AS quota FROM y),
+t AS (SELECT total, CASE WHEN total = 0 THEN 0 ELSE CAST(pow(2, ceil(log2(total))) AS BIGINT) END AS points FROM (SELECT CAST(coalesce(sum(quota), 0) AS BIGINT) AS total FROM q)),
+h AS (SELECT q.*, CAST(sum(quota) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hi FROM q),
+i AS (SELECT slot, CAST(list_sum(list_transform(range(0, 48), lambda k: CAST((slot >> k) & 1 AS DOUBLE) / pow(2e0, k + 1))) * points AS BIGINT) AS spot
+      FROM t, (SELECT unnest(range(0, points)) AS slot FROM t) x),
 j AS (SELECT place, nb, slot, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM i JOIN h ON spot < hi AND spot >= hi - quota),
 k AS (SELECT place, rank % nb AS block, count(*) AS plays, min(slot) AS slot FROM j WHERE rank < {MOST} * nb GROUP BY 1, 2),
 p AS (SELECT d.doc_id, d.size, h.source_size, h.target, h.place, bw, row_number() OVER () AS id,

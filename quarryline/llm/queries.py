@@ -29,6 +29,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_exact_top_k": topk.TOPK_SQL,
         "op7_mix_sources": mixing.MIX_SQL,
         "op10_chat_perspectives": chat.CHAT_SQL,
+        "op11_jaccard_join": setjoin.JACCARD_SQL,
         "op12_fill_in_middle": infill.INFILL_SQL,
         "op13_importance_resampling": importance.IMPORTANCE_SQL,
     }

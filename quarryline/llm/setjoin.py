@@ -313,3 +313,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 def op11_jaccard_join(spark, sf_dir):
     """Links of five-word shingles at a similarity of 0.8 or more among all documents."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_key")
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, doc_id, md5(array_to_string(list_sort(g), chr(0))) AS h, g FROM (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d)),
+c AS MATERIALIZED (SELECT min(r) AS c, h, any_value(g) AS g, CAST(len(any_value(g)) AS BIGINT) AS n, min(doc_id) AS least FROM s WHERE len(g) > 0 GROUP BY h),
+t AS MATERIALIZED (SELECT c, n, hash(t) AS t FROM (SELECT c, n, unnest(g) AS t FROM c)),
+p AS MATERIALIZED (SELECT a.c AS a, b.c AS b FROM t a JOIN t b ON a.t = b.t AND a.c <> b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.c, b.c HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+w AS (SELECT c AS node, c AS root FROM c UNION SELECT p.b, w.root FROM w JOIN p ON p.a = w.node),
+k AS (SELECT node, min(least) AS component_id FROM w JOIN c ON c.c = w.root GROUP BY node)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE component_id END AS component_id
+FROM s LEFT JOIN c ON s.h = c.h LEFT JOIN k ON k.node = c.c
+"""
