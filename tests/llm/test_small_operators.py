@@ -105,7 +105,7 @@ def test_taken_is_what_the_slots_play(spark, monkeypatch):
     told = {}
 
     def mixed():
-        got = mixing.mix(df).toPandas().sort_values("doc_id")
+        got = mixing.mix(df).toPandas().sort_values("doc_id", ignore_index=True)
         assert (got.taken <= 3 * got["size"]).all() and ((got.n_slots > 0) == got.first_slot.notna()).all() and ((got.taken > 0) <= (got.n_slots > 0)).all()
         return got
 
