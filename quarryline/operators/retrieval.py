@@ -2,86 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import settled
-
-K1, B = 1.5, 0.75
-
-
-def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), 0)
-
-
-BOUND = 2_000_000  # asked (query, term) pairs that are sent to every task; more are joined by a shuffle
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """``doc_id, term, tf, n`` for ``docs`` (doc_id, text): counted inside each row, by the runs
-    of its sorted terms, so nothing is shuffled."""
-    p = docs.select("doc_id", F.array_sort(terms(F.col("text"))).alias("ts")).where(F.size("ts") > 0)
-    starts = F.filter(F.sequence(F.lit(0), F.size("ts") - 1), lambda i: (i == 0) | (F.get("ts", i) != F.get("ts", i - 1)))
-    p = p.withColumn("at", starts)
-    runs = F.transform("at", lambda i, k: F.struct(F.get("ts", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("ts")) - i).cast("long").alias("tf")))
-    return p.select("doc_id", F.size("ts").alias("n"), F.explode(runs).alias("r")).select("doc_id", "r.term", "r.tf", "n")
-
-
-def _sent(asked: DataFrame) -> DataFrame:
-    """``asked`` as a broadcast if its checked size allows."""
-    return F.broadcast(asked) if asked.limit(BOUND + 1).count() <= BOUND else asked
-
-
-def _best(by: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
-    return by.withColumn("rank", rank).where(F.col("rank") <= k)
-
+from .index import Index, terms
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k best documents of each query (query_id, text) by BM25; scores in millionths.
-
-    Only postings of asked terms are counted and scored.  A document's postings lie in one
-    task, where its scores for all queries are summed before anything travels.
-    """
-    asked = settled(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")), "asked")
-    p = postings(docs).join(_sent(asked.select("term").distinct()), "term", "left_semi")
-    totals = docs.select(F.size(terms(F.col("text"))).alias("n")).agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_terms"))
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    rare = asked.join(df, "term").crossJoin(F.broadcast(totals))  # one row of totals
-    idf = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = settled(rare.select("query_id", "term", idf.alias("idf"), (F.col("n_terms") / F.col("n_docs")).alias("mean")), "weighed")
-    met = p.join(_sent(weighed), "term")
-    norm = F.col("tf") + K1 * (1.0 - B + B * F.col("n") / F.col("mean"))
-    part = F.floor(F.col("idf") * (F.col("tf") * (K1 + 1.0)) / norm * 1e6 + 0.5).cast("long")
-    return _best(met.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")), k)
+    """The k best documents of each query (query_id, text) by BM25; scores in millionths."""
+    return Index.build(docs, kind="plain").bm25(queries, k)
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """The k nearest documents by cosine of sublinear, smoothed TF-IDF; ten-thousandths.
-
-    The weighed index is written once; its lengths and its matches are read from there.
-    """
-    p = postings(docs).select("doc_id", "term", "tf")
-    q = postings(queries.withColumnRenamed("query_id", "doc_id")).select(F.col("doc_id").alias("query_id"), "term", "tf")
-    totals = docs.agg(F.count("*").alias("n_docs"))
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-
-    def weighed(x: DataFrame) -> DataFrame:
-        w = (1.0 + F.log(F.col("tf").cast("double"))) * (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0)
-        return x.join(df, "term").crossJoin(F.broadcast(totals)).withColumn("w", w).drop("tf", "df", "n_docs")
-
-    def sizes(x: DataFrame, key: str) -> DataFrame:
-        """Lengths by squares summed as whole millionths, whatever their order."""
-        square = F.sum(F.floor(F.col("w") * F.col("w") * 1e6 + 0.5).cast("long"))
-        return x.groupBy(F.col(key).alias("k")).agg(F.sqrt(square / 1e6).alias("size"))
-
-    index, asked = settled(weighed(p), "index"), settled(weighed(q), "asked")
-    asked = asked.join(sizes(asked, "query_id"), F.col("query_id") == F.col("k")).select("query_id", "term", (F.col("w") / F.col("size")).alias("w"))
-    hits = index.withColumnRenamed("w", "dw").join(_sent(asked.select("term").distinct()), "term", "left_semi")
-    hits = hits.join(sizes(index, "doc_id"), F.col("doc_id") == F.col("k")).withColumn("dw", F.col("dw") / F.col("size"))
-    part = F.floor(F.col("w") * F.col("dw") * 1e9 + 0.5).cast("long")
-    met = hits.join(_sent(asked), "term")
-    return _best(met.groupBy("query_id", "doc_id").agg(F.floor(F.sum(part) / 1e5 + 0.5).cast("long").alias("score")), k)
+    """The k nearest documents by cosine of sublinear, smoothed TF-IDF; ten-thousandths."""
+    return Index.build(docs, kind="plain").cosine(queries, k)
 
 
 def scoped(hits: DataFrame, relaxed: DataFrame, key: str) -> DataFrame:

@@ -1,96 +1,41 @@
-"""Search over small named collections: exact terms first, then words and character runs.
+"""Named collections to search, and searches over them: exact terms first, then words and
+character runs.
 
 Documents are rows ``collection, doc_id, text, payload, terms``.  The score is 0.65 times
 the cosine of TF-IDF over words and word pairs plus 0.35 times that over runs of three to
-five characters; term counts are dampened, document frequencies smoothed.
+five characters; term counts are dampened, document frequencies smoothed (``index``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.measures import TYPES, UNITS
-from ..functions.text import exact_form
 from ..packs import OWN, Pack
+from .index import Index
 
 COLLECTIONS = ("manufacturer_brand", "lov", "uom", "fittings", "faucets", "guidelines", "examples")
-WORDS, CHARS = 0.65, 0.35
-UNIT = 1e6  # weights and scores are summed as whole numbers, so no order of rows shows
+_SCHEMA = "collection string, doc_id string, text string, payload map<string,string>, terms array<string>"
 
 
-def word_grams(c: Column) -> Column:
-    words = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]{2,}"), 0)
-    pairs = F.filter(F.transform(words, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1))), lambda p: F.contains(p, F.lit(" ")))
-    return F.concat(words, pairs)
-
-
-def char_grams(c: Column) -> Column:
-    """Runs of three to five characters of each word with a blank on both sides."""
-    words = F.transform(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    runs = lambda w, n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(words, lambda w: F.flatten(F.array(*[runs(w, n) for n in (3, 4, 5)]))))
-
-
-def _counted(rows: DataFrame, key: str) -> DataFrame:
-    """``collection, key, space, term, tf``."""
-    spaces = F.array(F.struct(F.lit("w").alias("space"), word_grams(F.col("text")).alias("grams")), F.struct(F.lit("c").alias("space"), char_grams(F.col("text")).alias("grams")))
-    each = rows.select("collection", key, F.explode(spaces).alias("s")).select("collection", key, "s.space", F.explode("s.grams").alias("term"))
-    return each.groupBy("collection", key, "space", "term").agg(F.count("*").alias("tf"))
-
-
-def _weighed(counted: DataFrame, df: DataFrame, totals: DataFrame, key: str) -> DataFrame:
-    """Dampened counts by smoothed rarity, at unit length."""
-    met = counted.join(df, ["collection", "space", "term"]).join(totals, "collection")
-    w = (1.0 + F.log(F.col("tf").cast("double"))) * (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0)
-    met = met.withColumn("w", w)
-    size = met.groupBy("collection", key, "space").agg(F.sqrt(F.sum(F.floor(F.col("w") * F.col("w") * UNIT + 0.5).cast("long")) / UNIT).alias("size"))
-    return met.join(size, ["collection", key, "space"]).select("collection", key, "space", "term", (F.col("w") / F.col("size")).alias("w"))
+def search(queries: DataFrame, docs: DataFrame, k: int = 5, min_score: float = 0.0, where: dict[str, str] | None = None) -> DataFrame:
+    """The k best of ``docs`` for each query: an index made for this call alone (``Index.search``)."""
+    return Index.build(docs).search(queries, k, min_score, where)
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int = 5, min_score: float = 0.0, where: dict[str, str] | None = None) -> DataFrame:
-    """``query_id, collection, doc_id, score, exact, rank``: the k best documents of each query
-    (``query_id, collection, text``).
-
-    ``where`` keeps documents whose payload has these values, before anything is scored; a
-    document one of whose exact terms is the query comes first with score 1.
-    """
-    for name, value in (where or {}).items():
-        docs = docs.where(F.coalesce(F.try_element_at("payload", F.lit(name)) == value, F.lit(False)))
-    counted = _counted(docs, "doc_id")
-    df = counted.groupBy("collection", "space", "term").agg(F.count("*").alias("df"))
-    totals = docs.groupBy("collection").agg(F.count("*").alias("n_docs"))
-    asked = queries.select("collection", "query_id", "text")
-    # only postings of asked terms go on; lengths were taken over all of a document's terms
-    left, right = _weighed(_counted(asked, "query_id"), df, totals, "query_id"), _weighed(counted, df, totals, "doc_id").withColumnRenamed("w", "dw")
-    share = F.when(F.col("space") == "w", WORDS).otherwise(CHARS)
-    met = left.join(right, ["collection", "space", "term"]).groupBy("collection", "query_id", "doc_id").agg(F.sum(F.floor(share * F.col("w") * F.col("dw") * 1e9 + 0.5).cast("long")).alias("points"))
-    terms = docs.select("collection", "doc_id", F.explode("terms").alias("t")).select("collection", "doc_id", exact_form(F.col("t")).alias("form"))
-    hit = asked.select("collection", "query_id", exact_form(F.col("text")).alias("form")).where("form <> ''").join(terms, ["collection", "form"]).select("collection", "query_id", "doc_id").distinct().withColumn("exact", F.lit(True))
-    every = met.join(hit, ["collection", "query_id", "doc_id"], "full").withColumn("exact", F.coalesce("exact", F.lit(False)))
-    score = F.when(F.col("exact"), 1.0).otherwise(F.floor(F.col("points") / 1e5 + 0.5) / 1e4)
-    ranked = every.withColumn("score", score).where(F.col("score") >= min_score)
-    order = Window.partitionBy("collection", "query_id").orderBy(F.col("exact").desc(), F.col("score").desc(), "doc_id")
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "collection", "doc_id", "score", "exact", "rank")
-
-
-def scoped_values(asked: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
+def scoped_values(asked: DataFrame, index: Index, k: int = 8) -> DataFrame:
     """Approved values for raw ones (``query_id, leaf, label, text``): the label's own, and where
-    it has none in this leaf, all of the leaf, marked ``relaxed``."""
-    own = docs.select(F.concat_ws("\x1f", F.try_element_at("payload", F.lit("leaf")), F.try_element_at("payload", F.lit("label"))).alias("collection"), "doc_id", "text", "payload", "terms")
-    wide = docs.select(F.try_element_at("payload", F.lit("leaf")).alias("collection"), "doc_id", "text", "payload", "terms")
-    has = own.select(F.col("collection").alias("scope")).distinct()
-    q = asked.withColumn("scope_of", F.concat_ws("\x1f", "leaf", "label")).join(has, F.col("scope_of") == F.col("scope"), "left")
-    narrow = search(q.where("scope IS NOT NULL").select("query_id", F.col("scope_of").alias("collection"), "text"), own, k).withColumn("relaxed", F.lit(False))
-    broad = search(q.where("scope IS NULL").select("query_id", F.col("leaf").alias("collection"), "text"), wide, k).withColumn("relaxed", F.lit(True))
-    return narrow.unionByName(broad).drop("collection")
+    none of them is like it, any of the leaf, marked ``relaxed``."""
+    return index.adaptive(asked.withColumn("collection", F.lit("lov")), ["leaf", "label"], k).drop("collection")
 
 
-def rescued(values: DataFrame, docs: DataFrame) -> DataFrame:
+def rescued(values: DataFrame, known: Index | DataFrame) -> DataFrame:
     """``values`` (``query_id, leaf, label, text``) with ``rescue``, the approved value one of whose
     exact terms it is, and else ``suggestion``, the nearest one."""
-    found = scoped_values(values, docs, 1)
-    named = docs.select(F.col("doc_id").alias("d"), F.try_element_at("payload", F.lit("value")).alias("value"))
+    index = known if isinstance(known, Index) else Index.build(known)
+    found = scoped_values(values, index, 1)
+    named = index.documents.select(F.col("doc_id").alias("d"), F.try_element_at("payload", F.lit("value")).alias("value"))
     best = found.join(named, F.col("doc_id") == F.col("d")).select(F.col("query_id").alias("q"), "value", "exact", "relaxed")
     met = values.join(best, F.col("query_id") == F.col("q"), "left")
     sure = F.col("exact") & ~F.col("relaxed")
@@ -111,12 +56,28 @@ def masters(makers: DataFrame, brands: DataFrame) -> DataFrame:
 def vocabulary(spark: SparkSession, pack: Pack = OWN) -> DataFrame:
     """Approved values as documents, one for each leaf and attribute that has them."""
     rows = [("lov", f"{leaf.id}/{a.label}/{v}", " ".join([v, *more]), {"leaf": leaf.id, "label": a.label, "value": v}, [v, *more]) for leaf in pack.leaves for a in leaf.attributes for v, more in a.values]
-    return spark.createDataFrame(rows, "collection string, doc_id string, text string, payload map<string,string>, terms array<string>")
+    return spark.createDataFrame(rows, _SCHEMA)
 
 
 def units(spark: SparkSession) -> DataFrame:
     rows = [("uom", u, " ".join([u, TYPES[u], *names.split("|")]), {"unit": u, "kind": TYPES[u]}, [u, *names.split("|")]) for u, names in UNITS.items()]
-    return spark.createDataFrame(rows, "collection string, doc_id string, text string, payload map<string,string>, terms array<string>")
+    return spark.createDataFrame(rows, _SCHEMA)
+
+
+def guidelines(blocks: DataFrame) -> DataFrame:
+    """Blocks of a guideline document (``nth, heading, text``) as documents; found by words."""
+    text = F.trim(F.concat_ws(" ", "heading", "text"))
+    rows = blocks.select(F.lit("guidelines").alias("collection"), F.concat(F.lit("g:"), F.col("nth").cast("string")).alias("doc_id"), text.alias("text"), F.create_map(F.lit("heading"), F.coalesce("heading", F.lit(""))).alias("payload"), F.array().cast("array<string>").alias("terms"))
+    return rows.where("text <> ''")
+
+
+def specifications(collection: str, cells: DataFrame) -> DataFrame:
+    """Rows of a supplied specification workbook (``sheet, row, header, value``) as documents of
+    ``fittings`` or ``faucets``; filled cells are the payload."""
+    filled = cells.where("trim(coalesce(value, '')) <> ''").groupBy("sheet", "row").agg(F.array_sort(F.collect_list(F.struct("nth", "header", "value"))).alias("cells"))
+    text = F.array_join(F.transform("cells", lambda c: c["value"]), " ")
+    pay = F.map_from_entries(F.filter(F.transform("cells", lambda c: F.struct(c["header"], c["value"])), lambda e: e["header"].isNotNull()))
+    return filled.select(F.lit(collection).alias("collection"), F.concat_ws(":", F.lit(collection), "sheet", F.col("row").cast("string")).alias("doc_id"), text.alias("text"), pay.alias("payload"), F.array().cast("array<string>").alias("terms"))
 
 
 def examples(labelled: DataFrame) -> DataFrame:

@@ -187,8 +187,8 @@ qy AS (SELECT p_name AS query_id, CASE WHEN length(p_name) % 2 = 0 THEN substr(p
 {_tf("dt", "dc", "doc_id")}, {_tf("qt", "qy", "query_id")}, df AS (SELECT space, term, count(*) AS df FROM dt GROUP BY 1, 2), {_UNITLEN("dw", "dt", "doc_id")}, {_UNITLEN("qw", "qt", "query_id")},
 sc AS (SELECT query_id, doc_id, CAST(sum(CAST(floor(CASE space WHEN 'w' THEN 0.65e0 ELSE 0.35e0 END * qw.w * dw.w * 1e9 + 0.5e0) AS BIGINT)) AS BIGINT) AS points FROM qw JOIN dw USING (space, term) GROUP BY 1, 2),
 ex AS (SELECT query_id, doc_id FROM qy JOIN dc ON trim(regexp_replace(lower(qy.text), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(dc.text), '[^a-z0-9]+', ' ', 'g'))),
-al AS (SELECT query_id, doc_id, ex.query_id IS NOT NULL AS exact, CASE WHEN ex.query_id IS NOT NULL THEN 1e0 ELSE floor(points / 1e5 + 0.5e0) / 1e4 END AS score FROM sc FULL JOIN ex USING (query_id, doc_id)),
-rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, score DESC, doc_id) AS INTEGER) AS rank FROM al WHERE score >= 0.2e0)
+al AS (SELECT query_id, doc_id, ex.query_id IS NOT NULL AS exact, points, CASE WHEN ex.query_id IS NOT NULL THEN 1e0 ELSE floor(points / 1e5 + 0.5e0) / 1e4 END AS score FROM sc FULL JOIN ex USING (query_id, doc_id)),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, score DESC, doc_id) AS INTEGER) AS rank FROM al WHERE exact OR points > 2e8)
 SELECT query_id, doc_id, score, exact, rank FROM rk WHERE rank <= 3"""
 
 _N_LOV = sum(len(a.values) for leaf in PACK.leaves for a in leaf.attributes)

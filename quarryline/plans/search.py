@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import round_half_up
 from ..operators import retrieval
+from ..operators.index import Index
 
 
 def _t(spark, d, name):
@@ -20,12 +21,17 @@ def _asked(spark, d):
     return _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def _index(spark, d):
+    """One index of the documents for all queries of a session."""
+    return Index.of(_docs(spark, d), "documents", "plain")
+
+
 def bm25_topk(spark, d):
-    return retrieval.bm25(_docs(spark, d), _asked(spark, d)).select("query_id", "rank", "doc_id")
+    return _index(spark, d).bm25(_asked(spark, d)).select("query_id", "rank", "doc_id")
 
 
 def tfidf_topk(spark, d):
-    return retrieval.tfidf(_docs(spark, d), _asked(spark, d)).select("query_id", "rank", "doc_id")
+    return _index(spark, d).cosine(_asked(spark, d)).select("query_id", "rank", "doc_id")
 
 
 def exact_alias(spark, d):
