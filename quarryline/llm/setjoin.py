@@ -47,6 +47,7 @@ WIDTH, PERCENT = 5, 80
 MARGIN = 20  # a twentieth of a set
 GROUP, TOKENS = 512, 1 << 20
 COLUMNS = 4096
+SHORT = 4096
 FOLDS = 8  # rounds in which parts of one group meet again, at most
 
 
@@ -88,17 +89,23 @@ def _rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key long, class long, n int, tokens array<long>")
 
 
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """The first bits of each token, enough to bound an overlap from above: 16, or 32 of a large set."""
+    return (tokens >> np.uint64(48)).astype(np.uint16) if len(tokens) <= SHORT else (tokens >> np.uint64(32)).astype(np.uint32)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``class, set`` of every row: the sorted hashes."""
+    """``class, set, short`` of every row: the sorted hashes, whole and their first bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 sets = [np.unique(shingles(t.as_py(), width)) for t in whole.column("text").slice(at, 1000).cast(pa.large_binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(map(_named, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"])
+                columns = [pa.array(map(_named, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_short(s).tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["class", "set", "short"])
         release()
 
-    return docs.select("text").mapInArrow(run, "class long, set binary")
+    return docs.select("text").mapInArrow(run, "class long, set binary, short binary")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -154,7 +161,7 @@ def _grouped(percent: int, with_union: bool):
                 both, sizes = common(sets), np.array(list(map(len, sets)))
                 a, b = np.nonzero(np.triu(100 * both >= percent * (sizes[:, None] + sizes - both), 1))
                 root = _roots(a, b, len(rows))
-            union = np.unique(np.concatenate(sets)).tobytes() if with_union else None
+            union = np.unique(np.concatenate(sets) >> np.uint64(32)).astype(np.uint32).tobytes() if with_union else None
             made += [(int(n), r["group"], r["part"], int(names[k]), None if i else union) for i, (n, r, k) in enumerate(zip(names, rows, root, strict=True))]
             if len(made) > 2000 or union is not None and len(union) > 1 << 20:
                 yield out()
@@ -173,22 +180,26 @@ def _dealt(rows: DataFrame, group: str) -> DataFrame:
 
 
 def _compared(members: DataFrame, sets: DataFrame, percent: int, with_union: bool) -> DataFrame:
-    met = members.select("class", "group", "part").join(sets, "class").select("group", "part", "class", "set")
+    met = members.select("class", "group", "part").join(sets.select("class", "set"), "class").select("group", "part", "class", "set")
     placed = met.repartition("group", "part").sortWithinPartitions("group", "part", "class")
     return placed.mapInArrow(_grouped(percent, with_union), "class long, group long, part int, root long, tokens binary")
 
 
 def _bound(percent: int):
-    """Queries of a group that its union may hold enough of."""
+    """Queries of a group that its union may hold enough of, by the first bits of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        has = np.zeros(1 << 16, bool)
         for rows in _whole(batches):
-            union = _tokens(rows[0]["set"])
-            kept = []
+            union, kept = np.frombuffer(rows[0]["set"], np.uint32), []
+            has[:] = False
+            has[union >> np.uint32(16)] = True
             for r in rows[1:]:
-                asked = _tokens(r["set"])
-                at = np.minimum(np.searchsorted(union, asked), len(union) - 1)
-                if (union[at] == asked).sum() >= _needed(max(len(asked), r["least"]), percent):
+                if r["n"] <= SHORT:
+                    both = has[np.frombuffer(r["set"], np.uint16)].sum()
+                else:
+                    both = np.isin(np.frombuffer(r["set"], np.uint32), union).sum()
+                if both >= _needed(max(r["n"], r["least"]), percent):
                     kept.append(r["class"])
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array([rows[0]["target"]] * len(kept), pa.int64())], names=["class", "target"])
@@ -226,13 +237,13 @@ def _opened(percent: int):
     return run
 
 
-def _met(queries: DataFrame, inside: DataFrame, run, schema: str) -> DataFrame:
-    """``run`` over each part of a group's queries behind what is ``inside`` the group.
-    Both have ``target, class, set, comp, least``."""
-    size = queries.groupBy("target").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum(F.octet_length("set")) / (8 * TOKENS))).cast("int").alias("parts"))
-    asked = told(queries, size, "target", "class").withColumn("part", F.pmod(F.xxhash64("class", "parts"), F.col("parts")).cast("int"))
+def _met(queries: DataFrame, sets: DataFrame, inside: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over each part of a group's queries (``target, class, comp, n, least``), with what
+    ``sets`` has of them, behind what is ``inside`` the group (the same and ``set``)."""
+    size = queries.groupBy("target").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / TOKENS)).cast("int").alias("parts"))
+    asked = told(queries, size, "target", "class").withColumn("part", F.pmod(F.xxhash64("class", "parts"), F.col("parts")).cast("int")).join(sets, "class")
     offered = inside.join(size, "target").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    columns = ["group", "part", "kind", "target", "class", "comp", "least", "set"]
+    columns = ["group", "part", "kind", "target", "class", "comp", "n", "least", "set"]
     both = [df.withColumn("kind", F.lit(k)).withColumn("group", F.col("target")).select(*columns) for k, df in enumerate((offered, asked))]
     placed = both[0].unionByName(both[1]).repartition("group", "part").sortWithinPartitions("group", "part", "kind", "class")
     return placed.mapInArrow(run, schema)
@@ -247,7 +258,7 @@ def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, percent: int = P
     asked = settled(held.where(F.size("shared") >= margin(percent)), "asked")
 
     named = rows.where("n > 0").groupBy("class").agg(first.alias("first")).join(asked.select("class"), "class", "left_semi")
-    wanted = named.select(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("of_text")).distinct()
+    wanted = settled(named.select(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("of_text")).distinct(), "wanted")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_text")), "left_semi")
     sets = settled(_sets(texts, width).join(asked.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
 
@@ -279,18 +290,18 @@ def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, percent: int = P
     matrix = cells.groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     matrix = matrix.select(F.col("token").alias("of"), F.col("home").alias("target"), "least", "most", "lo", "hi")
     reach = (F.col("home") < F.col("target")) & ((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))) & (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
-    pairs = settled(cells.join(matrix, (F.col("token") == F.col("of")) & reach).select("class", "comp", "target").distinct(), "pairs")
+    pairs = settled(cells.join(matrix, (F.col("token") == F.col("of")) & reach).select("class", "comp", "n", "target").distinct(), "pairs")
     if pairs.isEmpty():
         return found
 
     least = known.groupBy(F.col("home").alias("target")).agg(F.min("n").alias("least"))
-    unions = local.where("tokens IS NOT NULL").select(F.xxhash64("group", "part").alias("target"), F.lit(0).cast("long").alias("class"), F.lit(0).cast("long").alias("comp"), F.col("tokens").alias("set"))
-    unions = unions.join(least, "target")
-    queries = pairs.join(sets, "class")
-    open_ = settled(_met(queries.join(least, "target"), unions.join(pairs.select("target").distinct(), "target", "left_semi"), _bound(percent), "class long, target long"), "qualifying")
-    members = known.select(F.col("home").alias("target"), "class", "comp").join(open_.select("target").distinct(), "target", "left_semi").join(sets, "class").withColumn("least", F.lit(0))
-    queries = open_.join(known.select("class", "comp"), "class").join(sets, "class").withColumn("least", F.lit(0))
-    return found.unionByName(settled(_met(queries, members, _opened(percent), "a long, b long"), "opened"))
+    unions = local.where("tokens IS NOT NULL").select(F.xxhash64("group", "part").alias("target"), F.col("tokens").alias("set"))
+    unions = unions.join(pairs.select("target").distinct(), "target", "left_semi").withColumns({"class": F.lit(0).cast("long"), "comp": F.lit(0).cast("long"), "n": F.lit(0), "least": F.lit(0)})
+    short, whole = sets.select("class", F.col("short").alias("set")), sets.select("class", "set")
+    open_ = settled(_met(pairs.join(least, "target"), short, unions, _bound(percent), "class long, target long"), "qualifying")
+    members = known.select(F.col("home").alias("target"), "class", "comp", "n").join(open_.select("target").distinct(), "target", "left_semi").join(whole, "class").withColumn("least", F.lit(0))
+    queries = open_.join(known.select("class", "comp", "n"), "class").withColumn("least", F.lit(0))
+    return found.unionByName(settled(_met(queries, whole, members, _opened(percent), "a long, b long"), "opened"))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
