@@ -1,15 +1,22 @@
 """Fuzzy matching of names: an exact filter proposes pairs, word-set similarity decides.
 
 The score is 100 where one name's words hold the other's, else the best of three ratios
-of characters in common (``token_set_ratio``).  A pair can only reach the floor if
+of characters in common (``token_set_ratio``), in which common words come first.  With
+``r`` for the floor, ``L`` and ``R`` for the lengths of the two names' distinct words, a
+pair can only reach it if
 
 * the words both have make up most of one of the names, so among that name's rarest
   words, up to the share that may be missing, one is shared; or
-* the two names with their words sorted differ in few characters, so among each one's
-  rarest runs of three characters, up to the number that this many changes touch, one
-  is shared.
-
-Both are joins on rare keys, commonest last, and lose no pair at or above the floor.
+* the names, common words first, have ``c = ceil(r (L + R) / 2)`` characters in sequence in
+  common.  One comes from the other by ``L - c`` deletions and ``R - c`` insertions, which break
+  two and one of its pairs of neighbouring characters, blanks at the ends of words included.
+  These pairs are the same in whatever order the words stand, so both names share
+  ``3 c - L - R + 1`` of them or more, and of each one's rarest pairs, up to those that may
+  be missing and two more, two are shared.
+
+The first is a join on rare words; the second one on two rare pairs of characters at once,
+after which the shared ones are counted.  Neither loses a pair at or above the floor, and
+as a rival decides within a margin, the floor of the filter lies that much lower.
 """
 
 from __future__ import annotations
@@ -19,53 +26,72 @@ from pyspark.sql import functions as F
 
 from ..functions.text import token_set_ratio
 
-GRAM = 3
+EPS = 1e-9
 
 
 def _words(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")))
 
 
-def _grams(c: Column) -> Column:
-    """Runs of three characters of the sorted words, padded; the n-th of equal ones is its own."""
-    line = F.concat(F.lit("^^"), F.array_join(_words(c), " "), F.lit("$$"))
-    runs = F.transform(F.sequence(F.lit(1), F.length(line) - GRAM + 1), lambda i: F.substring(line, i, F.lit(GRAM)))
-    return F.transform(runs, lambda g, i: F.concat(g, F.size(F.filter(F.slice(runs, 1, i + 1), lambda x: x == g)).cast("string")))
+def _length(c: Column) -> Column:
+    return F.length(F.array_join(_words(c), " "))
+
+
+def _pairs(c: Column) -> Column:
+    """Neighbouring characters of the distinct words, a blank around each; the n-th of equal ones is its own."""
+    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(2)))
+    every = F.array_sort(F.flatten(F.transform(_words(c), of)))
+    return F.transform(every, lambda g, i: F.concat(g, (i - F.array_position(every, g)).cast("string")))
+
+
+def _rarest_words(names: DataFrame, counts: DataFrame, share: float) -> DataFrame:
+    """``name, key`` of the rarest words, until their characters before reach the share that may be missing."""
+    each = names.select("name", F.explode(_words(F.col("name"))).alias("key")).join(counts, "key")
+    order = Window.partitionBy("name").orderBy("n", "key")  # a name's own words
+    before = F.coalesce(F.sum(F.length("key") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return each.withColumn("before", before).where(F.col("before") <= F.ceil(_length(F.col("name")) * share)).select("name", "key")
 
 
-def _prefixed(names: DataFrame, keys: Column, counts: DataFrame, weight: Column, most: Column) -> DataFrame:
-    """``name, key`` of the rarest keys, until their weights before reach ``most``."""
-    each = names.select("name", F.explode(keys).alias("key")).withColumn("size", weight).join(counts, "key")
-    order = Window.partitionBy("name").orderBy("n", "key")  # a name's own keys: as many as it has characters at most
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return each.withColumn("before", before).where(F.col("before") <= most).select("name", "key")
+def _two_rare_pairs(names: DataFrame, counts: DataFrame, r: float) -> DataFrame:
+    """``name, key``: each two of the rarest pairs of characters, of which two are shared."""
+    each = names.select("name", F.explode("pairs").alias("pair")).join(counts, "pair").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "pair"))).alias("pairs"))
+    length = _length(F.col("name"))
+    least = F.ceil((length + F.ceil(length * (r / (2 - r)) - EPS)) * (1.5 * r - 1) + 1 - EPS)  # shared, with the shortest name in reach
+    rare = F.transform(F.slice("pairs", 1, F.greatest(length + 3 - least, F.lit(2)).cast("int")), lambda p: p["pair"])
+    both = F.flatten(F.transform(rare, lambda x, i: F.transform(F.slice(rare, i + 2, F.size(rare)), lambda y: F.concat_ws("\x1f", F.least(x, y), F.greatest(x, y)))))
+    return each.select("name", F.explode(F.array_distinct(both)).alias("key"))
 
 
 def plausible(asked: DataFrame, known: DataFrame, floor: float) -> DataFrame:
     """``asked, name``: all pairs that may score ``floor`` or more, and some more."""
+    r = floor / 100.0
+    if not 2 / 3 < r <= 1:
+        raise ValueError("the filter holds for floors above 200/3")
     every = asked.select(F.col("asked").alias("name")).unionByName(known.select("name")).distinct()
-    miss = 1.0 - floor / 100.0
+    left, right = asked.select(F.col("asked").alias("name")).distinct(), known.select("name").distinct()
+
     words = every.select(F.explode(_words(F.col("name"))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    length = F.length(F.array_join(_words(F.col("name")), " "))
-    share = 2 * miss / (1 + miss)  # of a name's characters, that may lie outside the common words
-    few = lambda df: _prefixed(df, _words(F.col("name")), words, F.length("key") + 1, F.ceil(length * share))
+    few = lambda df: _rarest_words(df, words, 2 * (1 - r) / (2 - r))
     all_words = lambda df: df.select("name", F.explode(_words(F.col("name"))).alias("key"))
-    grams = every.select(F.explode(_grams(F.col("name"))).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-    changes = F.floor(length * (miss * 2 / (1 - miss)) + 1e-9)  # between it and a name that reaches the floor
-    touched = lambda df: _prefixed(df, _grams(F.col("name")), grams, F.lit(1), GRAM * changes)
-    left, right = asked.select(F.col("asked").alias("name")).distinct(), known.select("name").distinct()
-    met = None
-    for a, b in ((few(left), all_words(right)), (all_words(left), few(right)), (touched(left), touched(right))):
-        pairs = a.select(F.col("name").alias("asked"), "key").join(b, "key").select("asked", "name")
-        met = pairs if met is None else met.unionByName(pairs)
-    return met.distinct()
+    met = lambda a, b: a.select(F.col("name").alias("asked"), "key").join(b, "key").select("asked", "name").distinct()
+    by_words = met(few(left), all_words(right)).unionByName(met(all_words(left), few(right)))
+
+    cut = every.select("name", _pairs(F.col("name")).alias("pairs"))
+    counts = cut.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+    of = lambda df: _two_rare_pairs(df.join(cut, "name"), counts, r)
+    sized = lambda end: cut.select(F.col("name").alias(end), F.col("pairs").alias(f"{end}_pairs"))
+    near = met(of(left), of(right)).join(sized("asked"), "asked").join(sized("name"), "name")
+    total = F.size("asked_pairs") + F.size("name_pairs") - 2  # L + R: a pair more than characters each
+    shared = F.size(F.array_intersect("asked_pairs", "name_pairs"))
+    by_pairs = near.where(shared >= 3 * F.ceil(r * total / 2 - EPS) - total + 1).select("asked", "name")
+    return by_words.unionByName(by_pairs).distinct()
 
 
 def matched(asked: DataFrame, known: DataFrame, floor: float = 88.0, margin: float = 4.0) -> DataFrame:
     """``asked, name, score, verdict`` of every distinct ``asked``: the best known name, and
     whether it is sure (``fuzzy``), has a rival within ``margin`` (``ambiguous``), or none
     reaches the floor (``unresolved``, no name).  Ties go to the smaller name."""
-    scored = plausible(asked, known, floor).withColumn("score", token_set_ratio("asked", "name")).where(F.col("score") >= floor - margin)
+    scored = plausible(asked, known, floor - margin).withColumn("score", token_set_ratio("asked", "name")).where(F.col("score") >= floor - margin)
     order = Window.partitionBy("asked").orderBy(F.col("score").desc(), "name")
     top = scored.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).where("rank = 1")
     reached = F.col("score") >= floor

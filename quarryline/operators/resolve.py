@@ -52,24 +52,31 @@ def owners(rows: DataFrame) -> DataFrame:
     return e.withColumn("rank", rank)
 
 
-def resolve_suppliers(rows: DataFrame, master: DataFrame, fuzzily: bool = False) -> DataFrame:
-    """Each row's manufacturer by code, then by key, then by a fuzzy key, with method and
-    confidence.  A master mined from the rows themselves has every key, so the fuzzy step
-    is for masters from elsewhere."""
+def resolve_suppliers(rows: DataFrame, master: DataFrame, fuzzily: bool = False, official: bool = False) -> DataFrame:
+    """Each row's manufacturer by code, then by key, by an alias and by a fuzzy key, with method
+    and confidence.  A master mined from the rows themselves has every key, so the fuzzy step
+    is for masters from elsewhere; these may have ``aliases`` (array) and, if ``official``, keep
+    the method's full confidence.  ``ambiguous`` is a fuzzy best with a rival too near to it."""
     codes = master.where("code IS NOT NULL").withColumn("nth", F.row_number().over(Window.partitionBy(F.upper("code")).orderBy("supplier_key"))).where("nth = 1")
     by_code = codes.select(F.upper("code").alias("c"), F.col("name").alias("code_name"))
     by_key = master.select(F.col("supplier_key").alias("k"), F.col("name").alias("key_name"))
     met = rows.join(by_code, F.upper("code") == F.col("c"), "left").join(by_key, F.col("supplier_key") == F.col("k"), "left")
+    if "aliases" in master.columns:
+        told = master.select("name", F.explode("aliases").alias("alias")).select(match_key(F.col("alias")).alias("a"), "name").where("a IS NOT NULL AND a <> ''")
+        met = met.join(told.groupBy("a").agg(F.min("name").alias("alias_name")), F.col("supplier_key") == F.col("a"), "left")
+    else:
+        met = met.withColumn("alias_name", F.lit(None).cast("string"))
     if fuzzily:
-        strange = met.where("code_name IS NULL AND key_name IS NULL AND supplier_key IS NOT NULL").select(F.col("supplier_key").alias("asked")).distinct()
-        near = matched(strange, master.select(F.col("supplier_key").alias("name"))).where("verdict = 'fuzzy'").select("asked", F.col("name").alias("near"), F.col("score").alias("likeness"))
+        strange = met.where("code_name IS NULL AND key_name IS NULL AND alias_name IS NULL AND supplier_key IS NOT NULL").select(F.col("supplier_key").alias("asked")).distinct()
+        near = matched(strange, master.select(F.col("supplier_key").alias("name"))).select("asked", "verdict", F.when(F.col("verdict") == "fuzzy", F.col("name")).alias("near"), F.col("score").alias("likeness"))
         met = met.join(near, F.col("supplier_key") == F.col("asked"), "left").join(master.select(F.col("supplier_key").alias("n"), F.col("name").alias("near_name")), F.col("near") == F.col("n"), "left")
     else:
-        met = met.withColumns({"near_name": F.lit(None).cast("string"), "likeness": F.lit(None).cast("double")})
+        met = met.withColumns({"near_name": F.lit(None).cast("string"), "likeness": F.lit(None).cast("double"), "verdict": F.lit(None).cast("string")})
     exact = F.col("supplier") == F.col("key_name")
-    method = F.when(F.col("code_name").isNotNull(), "code").when(exact, "exact").when(F.col("key_name").isNotNull(), "normalized").when(F.col("near_name").isNotNull(), "fuzzy").when(F.col("supplier").isNotNull(), "unresolved")
-    score = F.when(method == "code", 0.99).when(method == "exact", 0.98).when(method == "normalized", 0.95).when(method == "fuzzy", 0.78 * F.col("likeness") / 100.0).otherwise(0.0)
-    return met.select("row_index", "supplier", F.coalesce("code_name", "key_name", "near_name").alias("manufacturer"), method.alias("method"), (score * DERIVED).alias("confidence"))
+    method = F.when(F.col("code_name").isNotNull(), "code").when(exact, "exact").when(F.col("key_name").isNotNull(), "normalized").when(F.col("alias_name").isNotNull(), "alias").when(F.col("near_name").isNotNull(), "fuzzy").when(F.col("verdict") == "ambiguous", "ambiguous").when(F.col("supplier").isNotNull(), "unresolved")
+    score = F.when(method == "code", 0.99).when(method == "exact", 0.98).when(method == "normalized", 0.95).when(method == "alias", 0.92).when(method == "fuzzy", 0.78 * F.col("likeness") / 100.0).otherwise(0.0)
+    weight = F.lit(1.0 if official else DERIVED)
+    return met.select("row_index", "supplier", F.coalesce("code_name", "key_name", "alias_name", "near_name").alias("manufacturer"), method.alias("method"), (score * weight).alias("confidence"))
 
 
 def resolve_brands(rows: DataFrame, known: DataFrame) -> DataFrame:
