@@ -90,9 +90,14 @@ def resolve_brands(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def manufacturer_of_record(rows: DataFrame) -> DataFrame:
+    """``of_record`` by the masters that the rows themselves make."""
+    return of_record(rows, owners(rows), manufacturers(rows))
+
+
+def of_record(rows: DataFrame, owned: DataFrame, makers: DataFrame) -> DataFrame:
     """A brand's first owner unless it only distributes; else the row's own supplier."""
-    top = owners(rows).where("rank = 1").select("brand_key", F.col("name").alias("owner"), F.col("distributor").alias("owner_distributes"))
-    own = manufacturers(rows).select("supplier_key", F.col("name").alias("own"), "distributor")
+    top = owned.where("rank = 1").select("brand_key", F.col("name").alias("owner"), F.col("distributor").alias("owner_distributes"))
+    own = makers.select("supplier_key", F.col("name").alias("own"), "distributor")
     first = F.get("brands", F.lit(0))["brand"]
     met = rows.select("row_index", "supplier_key", match_key(first).alias("brand_key")).join(top, "brand_key", "left").join(own, "supplier_key", "left")
     made = F.col("owner").isNotNull() & ~F.col("owner_distributes")
