@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import catalogue, delivery, product, relational, scalars, search
+from .plans import catalogue, delivery, learning, product, relational, scalars, search
 
 FLAGSHIP = "enriched_feed"
-MODULES = (scalars, catalogue, product, delivery, search, relational)
+MODULES = (scalars, catalogue, product, delivery, search, learning, relational)
 
 
 def queries() -> dict:
