@@ -6,7 +6,9 @@ group only if its overlap with that union can reach the threshold.
 
 1. The first bound is against all other documents at once.  In the order of their hashes,
    two sets that link share ``margin`` tokens or more among the first few (``prefix``), so a
-   class with fewer tokens there that any other class has is done; most texts end here.
+   class with fewer tokens there that any other class has is done.  Of those left, all tokens
+   are counted: only a class most of whose tokens others have goes on.  Most texts, and
+   those that share no more than a passage, end here.
 2. The rest are grouped by the least token they share with others; a group with more than
    ``GROUP`` classes or ``TOKENS`` tokens is cut in parts.  Each part compares its own
    classes by counting common tokens, and one class stands for each local component when
@@ -47,7 +49,6 @@ WIDTH, PERCENT = 5, 80
 MARGIN = 20  # a twentieth of a set
 GROUP, TOKENS = 512, 1 << 20
 COLUMNS = 4096
-SHORT = 4096
 FOLDS = 8  # rounds in which parts of one group meet again, at most
 
 
@@ -65,7 +66,12 @@ def prefix(n: int, percent: int = PERCENT) -> int:
 def margin(percent: int = PERCENT) -> Column:
     """Common tokens that the prefixes of a set of ``n`` and one it links with have at least:
     the share of the smallest set in reach."""
-    return F.greatest(F.lit(1), F.expr(f"(({percent} * n + 99) div 100) div {MARGIN}").cast("int"))
+    return F.greatest(F.lit(1), F.floor(needed(percent) / MARGIN).cast("int"))
+
+
+def needed(percent: int = PERCENT) -> Column:
+    """Tokens that a set of ``n`` shares with any it links with, at least."""
+    return F.expr(f"({percent} * n + 99) div 100").cast("int")
 
 
 def _rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -89,23 +95,37 @@ def _rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key long, class long, n int, tokens array<long>")
 
 
-def _short(tokens: np.ndarray) -> np.ndarray:
-    """The first bits of each token, enough to bound an overlap from above: 16, or 32 of a large set."""
-    return (tokens >> np.uint64(48)).astype(np.uint16) if len(tokens) <= SHORT else (tokens >> np.uint64(32)).astype(np.uint32)
-
-
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``class, set, short`` of every row: the sorted hashes, whole and their first bits."""
+    """``class, set`` of every row: the sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 sets = [np.unique(shingles(t.as_py(), width)) for t in whole.column("text").slice(at, 1000).cast(pa.large_binary())]
-                columns = [pa.array(map(_named, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_short(s).tobytes() for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["class", "set", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(_named, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"])
         release()
 
-    return docs.select("text").mapInArrow(run, "class long, set binary, short binary")
+    return docs.select("text").mapInArrow(run, "class long, set binary")
+
+
+def _each(sets: DataFrame) -> DataFrame:
+    """``class, token`` of every token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                data = batch.column("set").to_pylist()
+                names = np.repeat(batch.column("class").to_numpy(), [len(d) // 8 for d in data])
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.frombuffer(b"".join(data), np.int64))], names=["class", "token"])
+
+    return sets.select("class", "set").mapInArrow(run, "class long, token long")
+
+
+def _shared(tokens: DataFrame) -> DataFrame:
+    """``class, token, df`` of the tokens that occur more than once; a copy's may, which drops nothing."""
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select(F.col("token").alias("of"), "df")
+    return tokens.join(often, F.col("token") == F.col("of")).select("class", "token", "df")
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -180,26 +200,21 @@ def _dealt(rows: DataFrame, group: str) -> DataFrame:
 
 
 def _compared(members: DataFrame, sets: DataFrame, percent: int, with_union: bool) -> DataFrame:
-    met = members.select("class", "group", "part").join(sets.select("class", "set"), "class").select("group", "part", "class", "set")
+    met = members.select("class", "group", "part").join(sets, "class").select("group", "part", "class", "set")
     placed = met.repartition("group", "part").sortWithinPartitions("group", "part", "class")
     return placed.mapInArrow(_grouped(percent, with_union), "class long, group long, part int, root long, tokens binary")
 
 
 def _bound(percent: int):
-    """Queries of a group that its union may hold enough of, by the first bits of both."""
+    """Queries of a group that its union may hold enough of, by the first halves of the hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        has = np.zeros(1 << 16, bool)
         for rows in _whole(batches):
             union, kept = np.frombuffer(rows[0]["set"], np.uint32), []
-            has[:] = False
-            has[union >> np.uint32(16)] = True
             for r in rows[1:]:
-                if r["n"] <= SHORT:
-                    both = has[np.frombuffer(r["set"], np.uint16)].sum()
-                else:
-                    both = np.isin(np.frombuffer(r["set"], np.uint32), union).sum()
-                if both >= _needed(max(r["n"], r["least"]), percent):
+                asked = (_tokens(r["set"]) >> np.uint64(32)).astype(np.uint32)
+                at = np.minimum(np.searchsorted(union, asked), len(union) - 1)
+                if (union[at] == asked).sum() >= _needed(max(r["n"], r["least"]), percent):
                     kept.append(r["class"])
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array([rows[0]["target"]] * len(kept), pa.int64())], names=["class", "target"])
@@ -252,18 +267,21 @@ def _met(queries: DataFrame, sets: DataFrame, inside: DataFrame, run, schema: st
 def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``a, b``: links between classes that join what all pairs of ``percent`` or more join."""
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key", "doc_id"))
-    tokens = rows.where("tokens IS NOT NULL").select("class", "n", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("df")).where("lo < hi").select(F.col("token").alias("of"), "df")
-    held = tokens.join(shared, F.col("token") == F.col("of")).groupBy("class", "n").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("shared"))
-    asked = settled(held.where(F.size("shared") >= margin(percent)), "asked")
+    tokens = rows.where("tokens IS NOT NULL").select("class", F.explode("tokens").alias("token"))
+    some = _shared(tokens).groupBy("class").agg(F.count("*").alias("shared"))
+    named = rows.where("n > 0").groupBy("class").agg(first.alias("first"), F.first("n").alias("n"))
+    asked = settled(named.join(some, "class").where(F.col("shared") >= margin(percent)).select("class", "n", "first"), "some-shared")
 
-    named = rows.where("n > 0").groupBy("class").agg(first.alias("first")).join(asked.select("class"), "class", "left_semi")
-    wanted = settled(named.select(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("of_text")).distinct(), "wanted")
+    wanted = settled(asked.select(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("of_text")).distinct(), "wanted")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_text")), "left_semi")
     sets = settled(_sets(texts, width).join(asked.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
+    held = _shared(_each(sets)).groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))  # a text's own tokens
+    held = held.join(asked.select("class", "n"), "class").where(F.size("shared") >= needed(percent))
+    rarest = F.slice("shared", 1, F.greatest(F.size("shared") - needed(percent) + 1, F.lit(1)))
+    least = F.array_min(F.transform("shared", lambda s: s["token"]))
+    asked = settled(held.select("class", "n", least.alias("group"), F.transform(rarest, lambda s: s["token"]).alias("rare")), "asked")
 
-    grouped = asked.select("class", "n", F.array_min(F.transform("shared", lambda s: s["token"])).alias("group"))
-    dealt = settled(_dealt(grouped, "group"), "dealt")
+    dealt = settled(_dealt(asked.select("class", "n", "group"), "group"), "dealt")
     local = settled(_compared(dealt, sets, percent, True), "groups")
     found = local.where("class <> root").select(F.col("class").alias("a"), F.col("root").alias("b"))
     still = dealt.where("parts > 1").select("class", "n", "group").join(local.where("class = root").select("class"), "class", "left_semi")
@@ -281,10 +299,9 @@ def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, percent: int = P
 
     comp = components(found).withColumnRenamed("root", "_comp")
     placed = local.select("class", F.xxhash64("group", "part").alias("home"))
-    known = asked.join(placed, "class").join(comp, F.col("class") == F.col("node"), "left").select("class", "n", "shared", "home", F.coalesce("_comp", "class").alias("comp"))
+    known = asked.select("class", "n", "rare").join(placed, "class").join(comp, F.col("class") == F.col("node"), "left").select("class", "n", "rare", "home", F.coalesce("_comp", "class").alias("comp"))
     known = settled(known, "known")
-    rare = F.slice("shared", 1, F.greatest(F.size("shared") - margin(percent) + 1, F.lit(1)))
-    cells = known.select("class", "n", "home", "comp", F.explode(rare).alias("cell")).select("class", "n", "home", "comp", "cell.token")
+    cells = known.select("class", "n", "home", "comp", F.explode("rare").alias("token"))
     mixed = cells.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("token").alias("of"))
     cells = settled(cells.join(mixed, F.col("token") == F.col("of"), "left_semi"), "cells")
     matrix = cells.groupBy("token", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -297,11 +314,10 @@ def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, percent: int = P
     least = known.groupBy(F.col("home").alias("target")).agg(F.min("n").alias("least"))
     unions = local.where("tokens IS NOT NULL").select(F.xxhash64("group", "part").alias("target"), F.col("tokens").alias("set"))
     unions = unions.join(pairs.select("target").distinct(), "target", "left_semi").withColumns({"class": F.lit(0).cast("long"), "comp": F.lit(0).cast("long"), "n": F.lit(0), "least": F.lit(0)})
-    short, whole = sets.select("class", F.col("short").alias("set")), sets.select("class", "set")
-    open_ = settled(_met(pairs.join(least, "target"), short, unions, _bound(percent), "class long, target long"), "qualifying")
-    members = known.select(F.col("home").alias("target"), "class", "comp", "n").join(open_.select("target").distinct(), "target", "left_semi").join(whole, "class").withColumn("least", F.lit(0))
+    open_ = settled(_met(settled(pairs.join(least, "target"), "bounded"), sets, unions, _bound(percent), "class long, target long"), "qualifying")
+    members = known.select(F.col("home").alias("target"), "class", "comp", "n").join(open_.select("target").distinct(), "target", "left_semi").join(sets, "class").withColumn("least", F.lit(0))
     queries = open_.join(known.select("class", "comp", "n"), "class").withColumn("least", F.lit(0))
-    return found.unionByName(settled(_met(queries, whole, members, _opened(percent), "a long, b long"), "opened"))
+    return found.unionByName(settled(_met(queries, sets, members, _opened(percent), "a long, b long"), "opened"))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
