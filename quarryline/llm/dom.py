@@ -4,7 +4,8 @@ A small tolerant reader: it walks tags and text once, keeps block elements as no
 and folds inline markup into them, and gives every node a handful of features.
 Scripts, styles, text fields and comments never become text.  A trailing slash closes
 nothing, as in HTML; void elements are no nodes, they only part the text; elements
-nested deeper than ``DEEPEST`` stand side by side, as in browsers.
+nested deeper than ``DEEPEST`` stand side by side, as in browsers.  Text that stands in
+the page itself, beside its blocks, is a block of its own.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from dataclasses import dataclass, field
 import numpy as np
 
 # Element groups and naming hints that describe a node.
-INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br svg path".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe object textarea title".split())
+RAW = set("script style noscript template iframe object textarea title svg".split())
 TAGS = ["html", "head", "title", "body", "main", "article", "section", "div", "header", "footer", "nav", "aside", "form", "p", "h1", "h2", "h3", "h4", "h5", "h6"]
 TAGS += ["ul", "ol", "li", "dl", "dt", "dd", "table", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "address", "button", "label", "select", "option"]
 TAGS += ["textarea", "input", "dialog", "menu", "details", "summary", "hgroup", "center", "other"]
@@ -34,7 +35,7 @@ DEEPEST = 512
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.S
 )
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -82,6 +83,7 @@ class Forest:
         stack: list[tuple[str, int]] = [("", self._node(page, -1, "other", ""))]
         opened: Counter[str] = Counter()
         link, at, end = 0, 0, len(source)
+        loose, label = -1, -1  # the block of text that stands in the page itself, without an element of its own
 
         def close() -> None:
             opened[stack.pop()[0]] -= 1
@@ -91,8 +93,15 @@ class Forest:
             name = token[2] or token[5]
             if not name:
                 text = token[0]
-                if text[:2] not in ("<!", "<?"):
-                    self._text(page, stack[-1][1], text, link)
+                if text[:2] in ("<!", "<?", "</"):
+                    continue
+                node = stack[-1][1]
+                if stack[-1][0] in ("", "html", "body") and (loose >= 0 or not text.isspace()):
+                    if loose < 0:
+                        loose = self._node(page, node, "other", "")
+                        self.marked[loose] = label
+                    node = loose
+                self._text(page, node, text, link)
                 continue
             name, closing, rest = name.lower(), token[1] or token[4], token[3] or token[6] or ""
             if name in RAW:
@@ -107,7 +116,9 @@ class Forest:
             self.block += 1
             if name in VOID:
                 continue
-            link = 0
+            link, loose = 0, -1
+            if name == "body" and 'data-loose="1"' in rest:
+                label = 1
             if closing:
                 while opened[name] and stack[-1][0] != name:
                     close()

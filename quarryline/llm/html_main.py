@@ -108,11 +108,12 @@ def train(pages: list[str], rounds: int = 150, rate: float = 0.15, ridge: float
     return w
 
 
-def labelled_pages(n: int = 160, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
     """Labelled pages of common layouts: filler words in regions whose label is known.
 
     A region put beside or inside the article is marked ``data-main="0"``; the
     article, or the paragraphs where a page has no such element, ``data-main="1"``.
+    A share of the pages names nothing: there lengths, links and elements alone tell.
     """
     rng = np.random.default_rng(seed)
     syllables = "ka lo mi tu re so na vel dor ith an per qui sal mon tra".split()
@@ -186,8 +187,55 @@ def labelled_pages(n: int = 160, seed: int = 7) -> list[str]:
             f'<p>{say(3, 30)} <a href="/{word()}">{word()}</a> {say(3, 30)}</p>',
         )
 
+    def nameless():
+        """A name as style tools make them."""
+        return f'class="{pick("css", "sc", "x", "jss", "r")}-{rng.integers(1 << 24):06x}"'
+
+    def beside():
+        return pick(
+            f'<div {nameless()} data-main="0">{links(3, 9, "span")}</div>',
+            f'<div {nameless()} data-main="0"><ul>{links(3, 8)}</ul></div>',
+            f'<div {nameless()} data-main="0"><div {nameless()}><a href="/">{word()}</a></div><div {nameless()}>{links(2, 6, "div")}</div></div>',
+            f'<div {nameless()} data-main="0"><h3>{word()}</h3><ul>{links(2, 6)}</ul></div>',
+            f'<div {nameless()} data-main="0"><p>{say(2, 9)}</p>{links(2, 5, "span")}</div>',
+            f'<div {nameless()} data-main="0"><label>{word()}</label><input><button>{word()}</button></div>',
+            outside(),
+        )
+
+    def below():
+        return pick(f'<div {nameless()} data-main="0">&copy; {word()} {links(2, 6, "span")}</div>', f'<div {nameless()} data-main="0"><p>&copy; {say(2, 8)}</p><ul>{links(3, 8)}</ul></div>', after())
+
+    def unnamed_page():
+        title, paragraphs = f"<h1>{say(2, 12)}</h1>", "".join(f"<p>{say(12, 120)}</p>" for _ in range(rng.integers(2, 8)))
+        kind = pick("box", "deep", "split", "thread", "tips", "cells", "text", "plain")
+        if kind == "box":
+            core = f'<div {nameless()} data-main="1">{title}{paragraphs}</div>'
+        elif kind == "deep":
+            core = f'<div {nameless()}><div {nameless()}><div data-main="1" {nameless()}>{title}<div>{paragraphs}</div></div></div></div>'
+        elif kind == "split":
+            core = f'<h1 data-main="1">{say(2, 12)}</h1><div data-main="1">{paragraphs}</div>'
+        elif kind == "thread":
+            core = f'<div {pick(nameless(), "class=thread")} data-main="1">' + "".join(f"<div {pick(nameless(), 'class=msg')}>{pick(*['<p>%s</p>'] * 3, '%s', '<p>%s</p><p>%s</p>').replace('%s', say(8, 80))}</div>" for _ in range(rng.integers(2, 8))) + "</div>"
+        elif kind == "tips":
+            core = f'<h1 data-main="1">{say(2, 12)}</h1><{pick("ol", "ul")} data-main="1">' + "".join(f'<li><a href="/{word()}">{word()} {word()}</a> {say(5, 40)}</li>' for _ in range(rng.integers(4, 14))) + "</ol>"
+        elif kind == "cells":
+            core = f'<table><tr><td {pick("", nameless(), "class=side")} data-main="0">{links(3, 9, "div")}</td><td data-main="1">{title}{paragraphs}</td></tr></table>'
+        elif kind == "plain":
+            core = "".join(f'<p data-main="1">{say(6, 40)}</p>' for _ in range(rng.integers(2, 8)))
+        else:
+            core = "<br><br>".join(say(20, 120) for _ in range(rng.integers(1, 6)))
+        top, end = "".join(beside() for _ in range(rng.integers(0, 4))), "".join(below() for _ in range(rng.integers(0, 3)))
+        mark = ' data-loose="1"' if kind == "text" else ""
+        wrap = ("", "")
+        if kind != "text" and rng.random() < 0.5:
+            wrap = pick((f"<div {nameless()}>", "</div>"), (f"<div id=root><div {nameless()}>", f"</div>{beside()}</div>"), (f"<div {nameless()}>{beside()}", f"{beside()}</div>"))
+        return f"<!DOCTYPE html><html><head><title>{say(2, 10)}</title></head><body{mark}>{top}{wrap[0]}{core}{wrap[1]}{end}</body></html>"
+
     out = []
-    for _ in range(n):
+    for k in range(n):
+        if k % 2:
+            out.append(unnamed_page())
+            continue
         head = f"<h1>{say(2, 12)}</h1>"
         if rng.random() < 0.2:
             head = f"<header>{head}<p>{say(2, 8)}</p></header>"
