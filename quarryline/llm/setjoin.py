@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ from .simhash import _roots, shingles
 from .words import release
 
 WIDTH, PERCENT = 5, 80
-MARGIN = 20  # a twentieth of a set
+MARGIN = 10  # a tenth of a set
 GROUP, TOKENS = 512, 1 << 20
 COLUMNS = 4096
 FOLDS = 8  # rounds in which parts of one group meet again, at most
@@ -75,10 +76,11 @@ def needed(percent: int = PERCENT) -> Column:
 
 
 def _rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``doc_id, text_key, class, n, tokens``: tokens are the prefix, once a class and task."""
+    """``doc_id, text_key, class, n, task, tokens``: tokens are the prefix, once a class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        task = TaskContext.get().partitionId()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -88,11 +90,12 @@ def _rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     new = len(s) > 0 and (name, len(s)) not in seen
                     seen.add((name, len(s)))
                     first.append(s[: prefix(len(s), percent)].view(np.int64) if new else None)
-                columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(names, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "class", "n", "tokens"])
+                columns = [batch.column("doc_id"), batch.column("text_key"), pa.array(names, pa.int64()), pa.array(map(len, sets), pa.int32())]
+                columns += [pa.array([task] * len(sets), pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "class", "n", "task", "tokens"])
         release()
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, class long, n int, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, class long, n int, task int, tokens array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -123,7 +126,7 @@ def _each(sets: DataFrame) -> DataFrame:
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
-    """``class, token, df`` of the tokens that occur more than once; a copy's may, which drops nothing."""
+    """``class, token, df`` of the tokens that several classes have."""
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select(F.col("token").alias("of"), "df")
     return tokens.join(often, F.col("token") == F.col("of")).select("class", "token", "df")
 
@@ -267,7 +270,10 @@ def _met(queries: DataFrame, sets: DataFrame, inside: DataFrame, run, schema: st
 def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``a, b``: links between classes that join what all pairs of ``percent`` or more join."""
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key", "doc_id"))
-    tokens = rows.where("tokens IS NOT NULL").select("class", F.explode("tokens").alias("token"))
+    told_ = rows.where("tokens IS NOT NULL").select("class", "task", "tokens")
+    again = settled(told_.groupBy("class").agg(F.min("task").alias("only"), F.count("*").alias("times")).where("times > 1").select(F.col("class").alias("of"), "only"), "copies")
+    once = told_.join(again, F.col("class") == F.col("of"), "left").where("only IS NULL OR only = task")  # a class speaks in one task
+    tokens = once.select("class", F.explode("tokens").alias("token"))
     some = _shared(tokens).groupBy("class").agg(F.count("*").alias("shared"))
     named = rows.where("n > 0").groupBy("class").agg(first.alias("first"), F.first("n").alias("n"))
     asked = settled(named.join(some, "class").where(F.col("shared") >= margin(percent)).select("class", "n", "first"), "some-shared")
