@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +34,11 @@ MOJIBAKE = ("Ã", "Â", "â€", "â„")
 CP1252 = {0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ"}
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` evaluated and written into the plan once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def mended(c: Column) -> Column:
     """One layer of UTF-8 read as Windows-1252 undone, where the text shows it and it undoes
     without loss; any other text as it is."""
@@ -56,26 +63,29 @@ def is_placeholder(c: Column) -> Column:
 
 def clean(c: Column) -> Column:
     """The mended value with its white space in order, or null for an absent one."""
-    whole = trimmed(mended(c))
-    return F.when(~is_placeholder(whole), whole)
+    return once(once(c, lambda x: trimmed(mended(x))), lambda whole: F.when(~is_placeholder(whole), whole))
 
 
 def match_key(c: Column) -> Column:
     """Key that joins spellings of one company: no brackets, marks or legal endings."""
     s = F.regexp_replace(F.lower(c), r"\([^)]*\)", " ")
     s = F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    bare = F.regexp_replace(s, f"( ({SUFFIXES}))+$", "")
-    return F.when(bare == "", s).otherwise(bare)
+
+    def without_endings(s: Column) -> Column:
+        bare = F.regexp_replace(s, f"( ({SUFFIXES}))+$", "")
+        return F.when(bare == "", s).otherwise(bare)
+
+    return once(s, without_endings)
 
 
 def name_of(c: Column) -> Column:
     """``Name`` of ``Name (CODE)``, else the whole."""
-    return F.when(c.rlike(NAME_CODE), F.regexp_extract(c, NAME_CODE, 1)).otherwise(c)
+    return once(c, lambda x: F.when(x.rlike(NAME_CODE), F.regexp_extract(x, NAME_CODE, 1)).otherwise(x))
 
 
 def code_of(c: Column) -> Column:
     """``CODE`` of ``Name (CODE)``, else null."""
-    return F.when(c.rlike(NAME_CODE), F.regexp_extract(c, NAME_CODE, 2))
+    return once(c, lambda x: F.when(x.rlike(NAME_CODE), F.regexp_extract(x, NAME_CODE, 2)))
 
 
 NAME_CODE = r"^(.+?) *\(([A-Za-z0-9-]{2,10})\) *$"

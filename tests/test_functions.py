@@ -77,3 +77,10 @@ def test_links(spark):
 def test_word_set_similarity(spark, a, b, low, high):
     got = spark.createDataFrame([(a, b)], "a string, b string").select(text.token_set_ratio("a", "b")).first()[0]
     assert low <= got <= high
+
+
+def test_cleaning_stays_small_in_plans(spark):
+    from quarryline import registry
+
+    plan = registry.queries()["brand_owner_rank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
