@@ -150,14 +150,14 @@ def with_clause(c: Column) -> Column:
     return F.when(F.length(said) >= 3, F.concat(F.lit("With "), title_case(said)))
 
 
-def bounded(phrase: str) -> str:
-    """A pattern for a phrase that no letter or digit touches; its blanks match hyphens too.
+def bounded(phrase: str, gap: str = r"[\s-]*") -> str:
+    """A pattern for a phrase that no letter or digit touches; its blanks match hyphens too, or ``gap``.
 
     It holds the character before and after, which are groups 1 and 3.
     """
     import re
 
-    return r"(^|[^A-Za-z0-9])(" + r"[\s-]*".join(map(re.escape, phrase.split(" "))) + r")([^A-Za-z0-9]|$)"
+    return r"(^|[^A-Za-z0-9])(" + gap.join(map(re.escape, phrase.split())) + r")([^A-Za-z0-9]|$)"
 
 
 def abbreviated(c: Column, rules: dict[str, str]) -> Column:

@@ -135,19 +135,24 @@ def grounded(claim: Column, source: Column) -> Column:
 def leaf_hits(rows: DataFrame, words: DataFrame) -> DataFrame:
     """``row_index, leaf, classpath, keyword, weight`` of every keyword in a description.
 
-    A row's words meet the first words of the keywords, then the whole phrase is looked for.
+    A row's words meet the beginnings of the keywords, one word or several joined ("multitool"),
+    then the whole phrase is looked for.
     """
     tokens = rows.select("row_index", "Part_Desc", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("Part_Desc"), F.lit("[a-z0-9]+"), 0))).alias("word"))
-    dim = words.withColumn("first_word", F.regexp_extract("keyword", "^([a-z0-9]+)", 1))
-    met = tokens.join(dim, F.col("word") == F.col("first_word"))
+    parts = F.regexp_extract_all(F.lower("keyword"), F.lit("[a-z0-9]+"), 0)
+    begins = F.array_distinct(F.transform(parts, lambda _, i: F.array_join(F.slice(parts, 1, i + 1), "")))
+    dim = words.withColumn("begins", F.explode(begins))
+    met = tokens.join(dim, F.col("word") == F.col("begins"))
     return met.where(F.rlike("Part_Desc", F.col("pattern"))).select("row_index", "leaf", "classpath", "keyword", "weight")
 
 
 def classified(p: DataFrame, pack: Pack = OWN) -> DataFrame:
     """``leaf, leaf_score, leaf_ambiguous, leaf_confidence, candidates``: up to five leaves, the
     best first; one with an excluding keyword is none."""
-    by = leaf_hits(p, keywords(p.sparkSession, pack)).groupBy("row_index", "leaf").agg(
-        F.sum("weight").alias("total"), F.count("*").alias("n"), F.min("weight").alias("least"), F.array_sort(F.collect_set("keyword")).alias("matched")
+    hits = leaf_hits(p, keywords(p.sparkSession, pack)).groupBy("row_index", "leaf").agg(F.array_sort(F.collect_set(F.struct("keyword", "weight"))).alias("hits"))  # a leaf's keywords at most
+    by = hits.select(
+        "row_index", "leaf", F.aggregate("hits", F.lit(0.0), lambda a, h: a + h["weight"]).alias("total"), F.size("hits").alias("n"),
+        F.array_min(F.transform("hits", lambda h: h["weight"])).alias("least"), F.transform("hits", lambda h: h["keyword"]).alias("matched"),
     )
     scored = by.where("least > 0").withColumn("score", F.col("total") + 0.5 * (F.col("n") - 1))
     listed = scored.groupBy("row_index").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "leaf", "matched"))).alias("found"))  # a row's leaves: at most the pack's

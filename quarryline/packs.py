@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .functions.measures import ALIASES, UNITS, alias_key
 from .functions.text import bounded, match_key, trimmed
 
-STRONG, WEAK, EXCLUDES = 10.0, 3.0, 0.0
+STRONG, NAMED, WEAK, EXCLUDES = 10.0, 4.0, 3.0, 0.0
 # Which template labels an ``a x b x c`` chain fills, in order, by leaf.
 CHAINS = {"cutting_grinding_wheels": ("Diameter", "Thickness", "Arbor Size"), "saw_blades": ("Diameter", "Arbor Size"), "fasteners": ("Length",)}
 FALLBACK = "generic_product"
@@ -103,9 +103,11 @@ OWN = Pack(
 
 
 def keyword_rows(pack: Pack) -> list[tuple[str, str, str, float, str]]:
-    """``leaf, classpath, keyword, weight, pattern``: each keyword with its bounded pattern."""
-    each = [(x, k, w) for x in pack.leaves for ks, w in ((x.strong, STRONG), (x.weak, WEAK), (x.excludes, EXCLUDES)) for k in ks]
-    return [(x.id, x.classpath, k.lower(), w, "(?i)" + bounded(k)) for x, k, w in each]
+    """``leaf, classpath, keyword, weight, pattern``: each keyword, and the product's name, with its
+    bounded pattern; words of a phrase may stand joined, or apart by blanks, hyphens or slashes."""
+    each = [(x, k.lower(), w) for x in pack.leaves for ks, w in ((x.strong, STRONG), (x.weak, WEAK), (x.excludes, EXCLUDES)) for k in ks]
+    each += [(x, x.name, NAMED) for x in pack.leaves if x.name and x.id != FALLBACK]
+    return [(x.id, x.classpath, k, w, "(?i)" + bounded(k, r"[\s/-]*")) for x, k, w in each]
 
 
 def keywords(spark: SparkSession, pack: Pack = OWN) -> DataFrame:

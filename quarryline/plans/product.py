@@ -216,7 +216,20 @@ rz4 AS (SELECT *, CASE WHEN brand IS NOT NULL AND owner IS NOT NULL AND NOT odis
 rz AS (SELECT *, CASE mmethod WHEN 'brand_owner' THEN owner WHEN 'supplier_direct' THEN maker END AS manufacturer,
               {round_half_up("CASE mmethod WHEN 'brand_owner' THEN least(0.95e0, bconf + 0.05e0) WHEN 'supplier_direct' THEN sconf * 0.95e0 ELSE 0e0 END", 4)} AS mconf FROM rz4)"""
 
-_KH = " UNION ALL ".join(f"SELECT row_index, {quoted(x)} AS leaf, {quoted(k)} AS keyword, {w}e0 AS weight FROM rz WHERE regexp_matches(t, {quoted(rx)})" for x, _, k, w, rx in packs.keyword_rows(PACK))
+# The keywords in the SQL's own words: leaf, then keyword and weight (10 strong, 4 the product's name, 3 weak, 0 excluding).
+_WORDS = {
+    "fasteners": [("bolt", 10), ("Bolt", 4), ("rod", 3), ("steel", 3)],
+    "gears": [("gear", 10), ("Gear", 4), ("large", 3), ("heavy duty", 3)],
+    "rings": [("ring", 10), ("Ring", 4), ("small", 3)],
+    "plates": [("plate", 10), ("Plate", 4), ("steel", 3), ("stainless steel", 3)],
+    "anvils": [("anvil", 10), ("Anvil", 4), ("old", 3)],
+    "gadgets": [("widget", 10), ("Multi-Purpose Widget", 4), ("gizmo", 3), ("hot", 0)],
+}
+_KH = " UNION ALL ".join(
+    f"SELECT row_index, '{leaf}' AS leaf, '{k}' AS keyword, {w}e0 AS weight FROM rz WHERE regexp_matches(t, '(?i)(^|[^A-Za-z0-9])" + k.replace(" ", "[ \\t/-]*") + "([^A-Za-z0-9]|$)')"
+    for leaf, words in _WORDS.items()
+    for k, w in words
+)
 CLASSED = f"""{RESOLVED},
 kh AS (SELECT row_index, leaf, sum(weight) + 0.5e0 * (count(*) - 1) AS score, min(weight) AS least, string_agg(keyword, ', ' ORDER BY keyword) AS matched FROM ({_KH}) GROUP BY 1, 2),
 kr AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_index ORDER BY score DESC, leaf) AS INTEGER) AS rank FROM kh WHERE least > 0),

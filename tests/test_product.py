@@ -150,3 +150,19 @@ def test_dimension_tables(spark):
     tree = spark.createDataFrame([(0, "A > B", "Color", "Red"), (1, "A > B", "Size", ""), (2, "A > B", "Color", "Blue"), (3, "A > B", "Color", "Red")], "nth int, c string, l string, v string")
     leaf = packs.taxonomy_rows(tree, "c", "l", "v", "nth").first()
     assert leaf["levels"] == ["A", "B"] and [a["label"] for a in leaf["attributes"]] == ["Color", "Size"] and leaf["attributes"][0]["values"][:2] == ["Red", "Blue"]
+
+
+def test_joined_phrases_and_product_names(spark):
+    leaves = (
+        packs.Leaf("tools", "A>B>C", "Multi Tool Kit", ("multi tool",), ("kit",)),
+        packs.Leaf("covers", "A>B>D", "Cover", ("cloth",), (), ("drop cloth",)),
+        packs.Leaf(packs.FALLBACK, "", "Product"),
+    )
+    texts = ["Multitool red", "a multi/tool", "multi - tool", "multitoolkit", "multi toolkit", "MULTI-TOOL KIT", "multitools", "dropcloth cloth", "drop/cloth", "soft cloth", "cover", "multi"]
+    p = spark.createDataFrame(list(enumerate(texts)), "row_index long, Part_Desc string")
+    got = {texts[r["row_index"]]: {c["leaf"]: c["score"] for c in r["candidates"] or []} for r in product.classified(p, packs.Pack(leaves)).select("row_index", "candidates").collect()}
+    assert got["Multitool red"] == got["a multi/tool"] == got["multi - tool"] == {"tools": 10.0}
+    assert got["multitoolkit"] == got["multi toolkit"] == {"tools": 4.0}
+    assert got["MULTI-TOOL KIT"] == {"tools": 10.0 + 3.0 + 4.0 + 1.0}
+    assert got["dropcloth cloth"] == got["drop/cloth"] == got["multitools"] == got["multi"] == {}
+    assert got["soft cloth"] == {"covers": 10.0} and got["cover"] == {"covers": 4.0}
