@@ -243,13 +243,30 @@ def extracted(p: DataFrame, pack: Pack = OWN, more_text: tuple[str, ...] = ()) -
     leaves the slot to the next text.  Values are in house style with an approved unit, the
     template's own one first.  Series and model are filled afterwards.
     """
+    return _filled(_read(p, pack, more_text))
+
+
+def extracted_once(p: DataFrame, pack: Pack = OWN, more_text: tuple[str, ...] = ()) -> DataFrame:
+    """As ``extracted``, but each leaf and text is read once, however many rows have it.
+
+    What is read is joined back to the rows, whose own part numbers fill their slots then; a
+    null text is a key of its own.
+    """
+    keys = ("leaf", "Part_Desc", *more_text)
+    read = settled(_read(p.select(*keys).distinct(), pack, more_text), "read")
+    of = read.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in read.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return _filled(p.join(of, same).drop(*[f"_{k}" for k in keys]))
+
+
+def _read(p: DataFrame, pack: Pack, more_text: tuple[str, ...]) -> DataFrame:
+    """``slots`` with what the texts say, and ``series_told``."""
     p = p.join(templates(p.sparkSession, pack).withColumnRenamed("attributes", "slots"), "leaf")
     tokens = F.array(*[F.regexp_replace(F.regexp_extract("Part_Desc", CHAIN, i), r"\s+", "") for i in (1, 2, 3)])
     told = F.regexp_extract("Part_Desc", SERIES, 1)
     p = p.withColumns({"chain": tokens, "series_told": F.when(told != "", F.concat(title_case(told), F.lit(" Series")))})
     texts = ("Part_Desc", *more_text)
     found = lambda a: F.get(F.concat(*[_hits(a, F.coalesce(F.col(t), F.lit("")), F.col("chain")) for t in texts]), F.lit(0))
-    sure = lambda m: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv]), m), F.lit(0.0))
     mixed = r"^(?:[0-9]+[- ]+)?[0-9]+/[1-9][0-9]*$"
 
     def unified(a: Column) -> dict[str, Column]:
@@ -265,6 +282,12 @@ def extracted(p: DataFrame, pack: Pack = OWN, more_text: tuple[str, ...] = ()) -
         lambda a: {"number": F.when(~a["lov"] & a["tidy"].rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), a["tidy"].try_cast("double"))},
         unified,
     )
+    return p.drop("chain")
+
+
+def _filled(p: DataFrame) -> DataFrame:
+    """``attributes`` of the slots, a row's own part number and series where they are asked for."""
+    sure = lambda m: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv]), m), F.lit(0.0))
 
     def slot(a: Column) -> Column:
         low = F.lower(a["label"])
@@ -275,7 +298,7 @@ def extracted(p: DataFrame, pack: Pack = OWN, more_text: tuple[str, ...] = ()) -
         approved = F.when((F.size(a["surfaces"]) > 0) & a["value"].isNotNull(), F.exists(a["surfaces"], lambda s: F.lower(s["value"]) == F.lower(a["value"])))
         return F.struct(a["pos"].alias("pos"), a["label"].alias("label"), F.when(a["value"].isNotNull(), a["unit"]).alias("uom"), a["render"].alias("render"), F.coalesce(a["value"], restated).alias("value"), method.alias("method"), trust.alias("confidence"), approved.alias("approved"))
 
-    return p.withColumn("attributes", F.transform("slots", slot)).drop("slots", "chain", "series_told")
+    return p.withColumn("attributes", F.transform("slots", slot)).drop("slots", "series_told")
 
 
 def present(attributes: Column | str = "attributes") -> Column:

@@ -65,6 +65,14 @@ def attr_extract(spark, d):
     return one.select("row_index", "leaf", "a.pos", "a.label", "a.value", "a.uom", "a.method", "a.confidence", "a.approved")
 
 
+def attr_extract_once(spark, d):
+    """The feed and a copy of it, each leaf and description read once for all rows that have it."""
+    p = _upto(spark, d, "inference")
+    p = p.unionByName(p.withColumn("row_index", F.col("row_index") + 10_000_000))
+    one = product.extracted_once(p, PACK).select("row_index", "leaf", F.explode("attributes").alias("a"))
+    return one.select("row_index", "leaf", "a.pos", "a.label", "a.value", "a.uom", "a.method", "a.confidence", "a.approved")
+
+
 def attr_slots(spark, d):
     """Attributes spread over numbered columns by position; labels stay where values are blank."""
     p = _upto(spark, d, "extraction")
@@ -418,6 +426,7 @@ QUERIES = {
     "leaf_candidates": (leaf_candidates, f"WITH {CLASSED} SELECT row_index, rank, leaf, score, 'matched: ' || matched AS why FROM kr WHERE rank <= 5"),
     "scoped_prefix_infer": (scoped_prefix_infer, f"WITH {INFERRED} SELECT row_index, brand, bconf AS brand_confidence FROM iz WHERE bmethod = 'mpn_prefix_inference'"),
     "attr_extract": (attr_extract, f"WITH {EXTRACTED} SELECT row_index, leaf, pos, label, value, uom, method, confidence, approved FROM ez"),
+    "attr_extract_once": (attr_extract_once, f"WITH {EXTRACTED} SELECT row_index + k AS row_index, leaf, pos, label, value, uom, method, confidence, approved FROM ez, (VALUES (CAST(0 AS BIGINT)), (CAST(10000000 AS BIGINT))) v(k)"),
     "attr_slots_pivot": (attr_slots, f"WITH {EXTRACTED} SELECT row_index, " + ", ".join(f"coalesce(max(CASE WHEN pos = {i} THEN coalesce({part}, '') END), '') AS ATTRIBUTE_{part.upper()}_{i}" for i in range(1, 7) for part in ("label", "value", "uom")) + " FROM ez GROUP BY 1"),
     "descriptions": (descriptions, f"WITH {DESCRIBED} SELECT row_index, MOBILE_DESC, INVOICE_DESC, SHORT_DESC, LONG_DESC1, RETAIL_DESC, with_clause, description_confidence FROM dz"),
     "validate_issues": (validate_issues, f"WITH {CHECKED} SELECT * FROM i2"),

@@ -166,3 +166,16 @@ def test_joined_phrases_and_product_names(spark):
     assert got["MULTI-TOOL KIT"] == {"tools": 10.0 + 3.0 + 4.0 + 1.0}
     assert got["dropcloth cloth"] == got["drop/cloth"] == got["multitools"] == got["multi"] == {}
     assert got["soft cloth"] == {"covers": 10.0} and got["cover"] == {"covers": 4.0}
+
+
+def test_copies_are_read_once(spark, monkeypatch):
+    texts = ["steel bolt 2 in", "ring 1-1/2 in SS Ultra Series", None, "", "heavy duty gear 4x2x1"]
+    rows = [(i, f"AB{i}", texts[i % 5], ("fasteners", "rings", "gears")[i % 3]) for i in range(150)]
+    p = spark.createDataFrame(rows, "row_index long, Mfg_Part_Num string, Part_Desc string, leaf string")
+    row_wise = product.extracted(p)
+    plain = {r["row_index"]: r["attributes"] for r in row_wise.collect()}
+    real, seen = product._read, []
+    monkeypatch.setattr(product, "_read", lambda keys, *rest: seen.append(keys.count()) or real(keys, *rest))
+    once = product.extracted_once(p)
+    assert {r["row_index"]: r["attributes"] for r in once.collect()} == plain and len(plain) == 150
+    assert seen == [15] and sorted(once.columns) == sorted(row_wise.columns)
