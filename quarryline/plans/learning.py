@@ -1,4 +1,4 @@
-"""Queries over learned state, answers in JSON and masters from elsewhere."""
+"""Queries over learned state, answers in JSON, masters from elsewhere and rows that fail."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import answers
 from ..functions.text import match_key
-from ..operators import resolve
+from ..operators import product, resolve
 from ..operators.feed import feed
+from ..operators.isolate import isolated
 from ..storage import settled, shared_dir
 from ..streaming.learning import Learned, learn
+from .product import REVIEWED
 from .sqltext import ROWS
 
 BATCHES = 5
@@ -66,6 +68,28 @@ def repaired_answers(spark, d):
     return read.select("conv_id", "turn", "kind", *said("plain"), *said("deep"))
 
 
+def _led(frame):
+    """Characters that a row's own pattern takes at the head of its text, times its factor, as 64 bits."""
+    import re
+
+    import numpy as np
+
+    n = [len(re.match(p, t or "")[0]) * int(x) for p, t, x in zip(frame["pattern"], frame["Part_Desc"], frame["factor"], strict=True)]
+    return frame.assign(led=[int(np.int64(v)) for v in n])
+
+
+def isolated_failures(spark, d):
+    """The record where a step of the user's fails on rows with a bad pattern or an overflow: these
+    are FAILED with their error, all others as without it."""
+    rows = settled(feed(spark, d), "feed")
+    i = F.col("row_index")
+    asked = rows.select("row_index", "Part_Desc", F.when(i % 17 == 0, "([A-Z]+").otherwise("[A-Z]*").alias("pattern"), F.when(i % 19 == 0, "9" * 20).otherwise("1").alias("factor"))
+    tried = settled(isolated(asked, _led, "led long").select("row_index", "led", "error"), "tried")
+    p = product.enriched(rows, stages=("inference", "parsing", "extraction", "descriptions", "validation", "scoring"))
+    done = product.reviewed(p.join(tried, "row_index"), "error")
+    return done.select("row_index", "led", F.col("error.kind").alias("error"), "status")
+
+
 def foreign_master(spark, d):
     """The feed's suppliers against a master from elsewhere, the supplier table in other spellings:
     without codes, every third with a letter lost, every fifth under an alias alone."""
@@ -97,4 +121,8 @@ QUERIES = {
     "learned_prefixes": (learned_prefixes, _PX),
     "repaired_answers": (repaired_answers, _ANSWERS),
     "foreign_master": (foreign_master, None),
+    "isolated_failures": (
+        isolated_failures,
+        f"WITH {REVIEWED} SELECT row_index, CASE WHEN row_index % 17 <> 0 AND row_index % 19 <> 0 THEN CAST(length(regexp_extract(f.Part_Desc, '^[A-Z]*')) AS BIGINT) END AS led, CASE WHEN row_index % 17 = 0 THEN 'PatternError' WHEN row_index % 19 = 0 THEN 'OverflowError' END AS error, CASE WHEN row_index % 17 = 0 OR row_index % 19 = 0 THEN 'FAILED' ELSE status END AS status FROM vz JOIN feed f USING (row_index)",
+    ),
 }
