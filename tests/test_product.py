@@ -179,3 +179,10 @@ def test_copies_are_read_once(spark, monkeypatch):
     once = product.extracted_once(p)
     assert {r["row_index"]: r["attributes"] for r in once.collect()} == plain and len(plain) == 150
     assert seen == [15] and sorted(once.columns) == sorted(row_wise.columns)
+
+
+def test_fan_out_joins_no_row_to_itself(spark):
+    rows = spark.createDataFrame([(1, "k", "Ironclad bolt", []), (2, "k", "bolt", [("0", "Acme")]), (3, None, "Ironclad bolt", [])], "row_index long, supplier_key string, Part_Desc string, brands array<struct<nth:string,brand:string>>")
+    fan = product.widened_fan_out(rows)
+    assert [tuple(r) for r in fan.collect()] == [("k", 2, False)]
+    assert fan._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the lexicon, never rows with rows
