@@ -51,3 +51,19 @@ def test_masters_from_elsewhere(spark):
     assert got[1] == ("Bosch", "exact", 0.98) and got[3] == ("Bosch", "alias", 0.92) and got[4] == ("Makita", "code", 0.99)
     assert got[2] == ("Bosch", "fuzzy", round(0.78 * 0.888888, 4)) and got[5] == (None, "unresolved", 0.0)
     assert got[6] == (None, "ambiguous", 0.0) and got[7][1] is None
+
+
+def test_numbered_names_are_not_met_pair_by_pair(spark, monkeypatch):
+    names = [f"supplier {i}" for i in range(12000, 12600)]
+    asked = [n.replace("pp", "p") for n in names[::2]]
+    proposed, filtered = [], fuzzy.plausible
+
+    def counted(*args):
+        found = filtered(*args)
+        proposed.append(found.count())
+        return found
+
+    monkeypatch.setattr(fuzzy, "plausible", counted)
+    got = fuzzy.matched(spark.createDataFrame([(a,) for a in asked], "asked string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert len(got) == len(asked) and all((r["name"], r["verdict"]) == (r["asked"].replace("p", "pp"), "fuzzy") for r in got)
+    assert sum(proposed) < 0.5 * len(asked) * len(names)
