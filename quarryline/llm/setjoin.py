@@ -42,7 +42,6 @@ from pyspark.sql import functions as F
 
 from .common import settled
 from .components import components, told, with_lowest
-from .resemblance import _named
 from .simhash import _roots, shingles
 from .words import release
 
@@ -53,6 +52,12 @@ COLUMNS = 4096
 FOLDS = 8  # rounds in which parts of one group meet again, at most
 
 
+def _named(hashes: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63) if len(hashes) else 0
+
+
 def _needed(n: int, percent: int) -> int:
     """Tokens that a set of ``n`` must share with any it links with."""
     return -(-percent * n // 100)
@@ -343,6 +348,23 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     return full.select(*out).unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")).select(*out))
 
 
+def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, text_key, component_id, component_text`` of every row, by the links of
+    ``jaccard_components``: besides the smallest doc_id reachable the XXH64 of the text that
+    stands for the component (one that has this doc_id); texts without words are one component.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    rows = settled(_rows(docs, width, percent), "rows")
+    found = links(docs, rows, width, percent)
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key", "doc_id"))
+    classes = settled(rows.groupBy("class").agg(first.alias("first")), "classes")
+    linked = classes.join(components(found), F.col("class") == F.col("node"))
+    linked = with_lowest(linked.select("class", "first", "root"), "root", "class", "first", "lowest").select(F.col("class").alias("of"), "lowest")
+    named = classes.join(linked, F.col("class") == F.col("of"), "left").select("class", F.coalesce("lowest", "first").alias("lowest"))
+    named = named.select("class", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.text_key").alias("component_text"))
+    return told(rows.select("doc_id", "text_key", "class"), named, "class", "doc_id").select("doc_id", "text_key", "component_id", "component_text")
+
+
 def op11_jaccard_join(spark, sf_dir):
     """Links of five-word shingles at a similarity of 0.8 or more among all documents."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_key")

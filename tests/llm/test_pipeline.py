@@ -116,3 +116,13 @@ def test_near_dedup_finds_similar_texts(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], spark.read.parquet(f"{SF}/documents.parquet").schema)
     assert 50 < len(wanted) - 300 < 250  # pairs of both kinds
     assert {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, SF).collect()} == wanted | {600}
+
+
+def test_near_dedup_loses_no_pair_at_the_threshold(spark):
+    """Pairs at exactly 0.8 that no MinHash band has in common."""
+    texts = {}
+    for s in (33778, 37613, 38471):
+        w = [f"w{s}x{k}" for k in range(14)]
+        texts |= {2 * s: " ".join(w[:13]), 2 * s + 1: " ".join(w[1:])}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, SF).collect()} == {i for i in texts if i % 2 == 0}
