@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarryline import packs
 from quarryline.functions.text import token_set_ratio
 from quarryline.operators import fuzzy, mentions, product, resolve
+from quarryline.operators.feed import feed as part_feed
 
 SF = "/root/testdata/sf0.001"
 FEED = "row_index long, Mfg_Part_Num string, Part_Desc string, E1_Brand string, DIB_Brand string, Part_Manuf string"
@@ -186,3 +187,17 @@ def test_fan_out_joins_no_row_to_itself(spark):
     fan = product.widened_fan_out(rows)
     assert [tuple(r) for r in fan.collect()] == [("k", 2, False)]
     assert fan._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # with the lexicon, never rows with rows
+
+
+def test_only_repaired_products_are_checked_twice(spark, monkeypatch):
+    seen, check = [], product.checked
+
+    def counted(p, *args):
+        seen.append(p.count())
+        return check(p, *args)
+
+    monkeypatch.setattr(product, "checked", counted)
+    p = product.enriched(part_feed(spark, "/root/testdata/sf0.001"), stages=("inference", "extraction", "descriptions", "validation"))
+    again = p.where("passes = 2").count()
+    assert seen == [p.count(), again] and again < seen[0]
+    assert p.where("passes = 1 AND first_issues <> issues").isEmpty()
