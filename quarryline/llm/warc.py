@@ -17,11 +17,15 @@ is made of page id and url, so equal rows give equal records, each kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.entities import name2codepoint
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import once
+
 CRLF = "\r\n"
 DATE = "2026-01-01T00:00:00Z"
 
@@ -38,9 +42,11 @@ REFERENCES = [
 ]
 _NAMED = [x for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))]
 DROPPED = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
+_DROPPED = f"(?is)<(?:{DROPPED.removeprefix('(?is)<').replace('|<', '|')})"  # the same; most places fail at its first character
 BREAKS = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|nav|article|section|footer|header|table|tr|br|form|body|html)\b[^>]*>"
 TAGS = r"<[A-Za-z/!][^>]*>"
 SPACES = r"[\x20\x09-\x0D]+"
+RUNS = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"  # those of SPACES that aren't one space already
 
 
 def _urn(*parts: Column) -> Column:
@@ -76,28 +82,37 @@ def _dereferenced(text: Column) -> Column:
     """Every other reference, by name or number; what is none stays as it is."""
     parts = F.regexp_extract_all(text, F.lit("(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z][A-Za-z0-9]{1,9};|[^&]+|&)"), 1)
 
-    def one(x: Column) -> Column:
-        code = F.when(x.rlike("^&#[0-9]"), F.regexp_extract(x, "([0-9]+)", 1).cast("int")).when(x.rlike("^&#[xX]"), F.conv(F.regexp_extract(x, "^&#[xX](.*);$", 1), 16, 10).cast("int"))
+    def numbered(x: Column, code: Column) -> Column:
         shown = F.when((code < 0x10000) & ~code.between(0xD800, 0xDFFF) & (code > 0), F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE"))
         high = code - 0x10000
         pair = F.concat(F.lpad(F.hex(F.lit(0xD800) + F.floor(high / 1024)), 4, "0"), F.lpad(F.hex(F.lit(0xDC00) + high % 1024), 4, "0"))
         wide = F.when((code >= 0x10000) & (code <= 0x10FFFF), F.decode(F.unhex(pair), "UTF-16BE"))
-        named = F.when(x.rlike("^&[A-Za-z]"), F.try_element_at(F.create_map(*map(F.lit, _NAMED)), F.regexp_extract(x, "^&(.*);$", 1)))
-        return F.coalesce(shown, wide, named, x)
+        return F.coalesce(shown, wide, x)
+
+    def one(x: Column) -> Column:
+        code = F.when(x.rlike("^&#[0-9]"), F.regexp_extract(x, "([0-9]+)", 1).cast("int")).otherwise(F.conv(F.regexp_extract(x, "^&#[xX](.*);$", 1), 16, 10).cast("int"))
+        named = F.coalesce(F.try_element_at(F.create_map(*map(F.lit, _NAMED)), F.regexp_extract(x, "^&(.*);$", 1)), x)
+        return F.when(~F.startswith(x, F.lit("&")), x).when(F.startswith(x, F.lit("&#")), once(code, lambda c: numbered(x, c))).otherwise(named)
 
     return F.when(text.rlike("&#|&[A-Za-z]"), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
+def _replaced(text: Column, pattern: str, put: str) -> Column:
+    """``regexp_replace`` of one of ``REFERENCES`` in texts that have a beginning of it."""
+    starts = pattern[1:].rstrip("?").rstrip(";").removeprefix("(?:").removesuffix(")").split("|")
+    return once(text, lambda t: F.when(reduce(or_, [F.contains(t, F.lit(f"&{x}")) for x in starts]), F.regexp_replace(t, pattern, put)).otherwise(t))
+
+
 def plain_text(html: Column) -> Column:
     """The visible text: a line for each block, white space runs as one space."""
-    text = F.regexp_replace(html, DROPPED, " ")
-    text = F.regexp_replace(F.regexp_replace(text, SPACES, " "), BREAKS, "\n")
+    text = F.regexp_replace(html, _DROPPED, " ")
+    text = F.regexp_replace(F.regexp_replace(text, RUNS, " "), BREAKS, "\n")
     text = F.regexp_replace(text, TAGS, "")
     for pattern, put in REFERENCES[:-1]:
-        text = F.regexp_replace(text, pattern, put)
-    text = F.regexp_replace(_dereferenced(text), *REFERENCES[-1])
+        text = _replaced(text, pattern, put)
+    text = _replaced(once(text, _dereferenced), *REFERENCES[-1])
     text = F.regexp_replace(text, " *\n[ \n]*", "\n")
-    return F.regexp_replace(F.regexp_replace(text, "^[ \n]+", ""), "[ \n]+$", "")
+    return F.trim(text, F.lit(" \n"))
 
 
 def derive(records: DataFrame) -> DataFrame:
@@ -127,7 +142,7 @@ def derive(records: DataFrame) -> DataFrame:
                 headers.alias("headers"),
                 F.octet_length(payload).alias("payload_bytes"),
                 F.trim(F.regexp_extract(payload, r"(?is)<title[^>]*>([^<]*)", 1)).alias("title"),
-                F.regexp_count(payload, F.lit(r"(?i)<a\s[^>]*href")).alias("links"),
+                (F.size(F.split(payload, r"(?i)<a\s[^>]*href")) - 1).alias("links"),
             )
         ).alias("about"),
         plain_text(payload).alias("text"),

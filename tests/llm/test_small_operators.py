@@ -75,6 +75,14 @@ def test_warc_round_trip(spark):
     assert canonical(back.collect()) == canonical(made.select("kind", "record_id", "refers_to", "content").collect())
 
 
+def test_plain_text_is_worked_out_once(spark):
+    """Before, every step up to the references was in the plan three times."""
+    page = "<P>a &amp; b &lt;c&gt; &eacute;&#233;&#x1F600;&bogus; &\t \n x<br>\n y &nbsp;z&nbsp </P><script>1<2</script><STYLE>q</Style><!-- <p> -->"
+    made = spark.createDataFrame([(page,)], "html string").select(warc.plain_text(F.col("html")).alias("text"))
+    assert made._jdf.queryExecution().analyzed().toString().count("(?is)<") == 1
+    assert made.first()[0] == "a & b <c> éé\U0001f600&bogus; & x\ny  z"
+
+
 def test_source_headers_and_references(spark):
     import json
 
