@@ -16,15 +16,17 @@ from ..streaming.learning import Learned, learn
 from .product import REVIEWED
 from .sqltext import ROWS
 
-BATCHES = 5
+BATCHES, FILES = 5, 16
 
 
 def _learned(spark, d) -> Learned:
-    """The feed in five files by row index, streamed one a micro-batch into a state of its own."""
+    """The feed in five parts by row index, each of ``FILES`` files at most, streamed a part a
+    micro-batch into a state of its own; a part's files are read by as many tasks."""
     root = f"{shared_dir(spark)}/learned-{uuid.uuid4().hex}"
     rows = settled(feed(spark, d), "feed")
-    rows.repartitionByRange(BATCHES, "row_index").write.option("maxRecordsPerFile", 0).parquet(f"{root}/feed")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
+    rows.repartitionByRange(BATCHES * FILES, "row_index").write.parquet(f"{root}/feed")
+    files = len(spark.read.schema(rows.schema).parquet(f"{root}/feed").inputFiles())  # fewer for fewer rows
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // BATCHES))).parquet(f"{root}/feed")
     learn(stream, f"{root}/state", f"{root}/checkpoint").awaitTermination()
     return Learned(spark, f"{root}/state")
 
