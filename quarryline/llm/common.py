@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..storage import settled, shared_dir
+from ..storage import discarded, settled, shared_dir
 from .words import WORD
 
-__all__ = ["n_words", "settled", "shared_dir"]
+__all__ = ["discarded", "n_words", "settled", "shared_dir"]
 
 
 def n_words(text: Column) -> Column:

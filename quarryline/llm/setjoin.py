@@ -40,8 +40,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import discarded, settled
 from .components import components, told, with_lowest
+from .sieve import Sieve
 from .simhash import _roots, shingles
 from .words import release
 
@@ -272,19 +273,32 @@ def _met(queries: DataFrame, sets: DataFrame, inside: DataFrame, run, schema: st
     return placed.mapInArrow(run, schema)
 
 
-def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``a, b``: links between classes that join what all pairs of ``percent`` or more join."""
+def _read(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables: what ``_rows`` gives, and the same without tokens."""
+    rows = settled(_rows(docs, width, percent), "rows")
+    return rows, settled(rows.drop("task", "tokens"), "names")
+
+
+def links(docs: DataFrame, rows: DataFrame, names: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``a, b``: links between classes that join what all pairs of ``percent`` or more join.
+
+    The files of ``rows``, which only the first bound reads, are deleted after it.
+    """
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key", "doc_id"))
     told_ = rows.where("tokens IS NOT NULL").select("class", "task", "tokens")
-    again = settled(told_.groupBy("class").agg(F.min("task").alias("only"), F.count("*").alias("times")).where("times > 1").select(F.col("class").alias("of"), "only"), "copies")
-    once = told_.join(again, F.col("class") == F.col("of"), "left").where("only IS NULL OR only = task")  # a class speaks in one task
+    again = told_.groupBy("class").agg(F.min("task").alias("only"), F.count("*").alias("times")).where("times > 1")
+    again = settled(again.select(F.col("class").alias("of"), "only", F.xxhash64("class").alias("key")), "copies")
+    told_ = Sieve(again.select("key")).marked(told_, F.xxhash64("class"), "often")
+    doubtful = told_.where("often").join(again, F.col("class") == F.col("of"), "left").where("only IS NULL OR only = task")
+    once = told_.where("NOT often").select("class", "tokens").unionByName(doubtful.select("class", "tokens"))  # a class speaks in one task
     tokens = once.select("class", F.explode("tokens").alias("token"))
     some = _shared(tokens).groupBy("class").agg(F.count("*").alias("shared"))
-    named = rows.where("n > 0").groupBy("class").agg(first.alias("first"), F.first("n").alias("n"))
-    asked = settled(named.join(some, "class").where(F.col("shared") >= margin(percent)).select("class", "n", "first"), "some-shared")
+    named = names.where("n > 0").groupBy("class").agg(first.alias("first"), F.first("n").alias("n"))
+    asked = named.join(some, "class").where(F.col("shared") >= margin(percent))
+    asked = settled(asked.select("class", "n", F.xxhash64("first.doc_id", "first.text_key").alias("key")), "some-shared")
+    discarded(rows)
 
-    wanted = settled(asked.select(F.col("first.doc_id").alias("of"), F.col("first.text_key").alias("of_text")).distinct(), "wanted")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_text")), "left_semi")
+    texts = Sieve(asked.select("key")).passed(docs, F.xxhash64("doc_id", "text_key"))  # texts themselves are not shuffled
     sets = settled(_sets(texts, width).join(asked.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
     held = _shared(_each(sets)).groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))  # a text's own tokens
     held = held.join(asked.select("class", "n"), "class").where(F.size("shared") >= needed(percent))
@@ -320,6 +334,7 @@ def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, percent: int = P
     reach = (F.col("home") < F.col("target")) & ((F.col("lo") != F.col("comp")) | (F.col("hi") != F.col("comp"))) & (100 * F.col("most") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least"))
     pairs = settled(cells.join(matrix, (F.col("token") == F.col("of")) & reach).select("class", "comp", "n", "target").distinct(), "pairs")
     if pairs.isEmpty():
+        discarded(sets)
         return found
 
     least = known.groupBy(F.col("home").alias("target")).agg(F.min("n").alias("least"))
@@ -328,7 +343,9 @@ def links(docs: DataFrame, rows: DataFrame, width: int = WIDTH, percent: int = P
     open_ = settled(_met(settled(pairs.join(least, "target"), "bounded"), sets, unions, _bound(percent), "class long, target long"), "qualifying")
     members = known.select(F.col("home").alias("target"), "class", "comp", "n").join(open_.select("target").distinct(), "target", "left_semi").join(sets, "class").withColumn("least", F.lit(0))
     queries = open_.join(known.select("class", "comp", "n"), "class").withColumn("least", F.lit(0))
-    return found.unionByName(settled(_met(queries, sets, members, _opened(percent), "a long, b long"), "opened"))
+    opened = settled(_met(queries, sets, members, _opened(percent), "a long, b long"), "opened")
+    discarded(sets)
+    return found.unionByName(opened)
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -337,15 +354,15 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    rows = settled(_rows(docs, width, percent), "rows")
-    found = links(docs, rows, width, percent)
-    classes = settled(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "classes")
+    rows, names = _read(docs, width, percent)
+    found = links(docs, rows, names, width, percent)
+    classes = settled(names.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "classes")
     linked = classes.join(components(found), F.col("class") == F.col("node"))
     linked = with_lowest(linked.select("class", "least", "root"), "root", "class", "least", "lowest").select(F.col("class").alias("of"), "lowest")
     named = classes.join(linked, F.col("class") == F.col("of"), "left").select("class", F.coalesce("lowest", "least").alias("component_id"))
-    full = told(rows.where("n > 0").select("doc_id", "text_key", "n", "class"), named, "class", "doc_id")
+    full = told(names.where("n > 0").select("doc_id", "text_key", "n", "class"), named, "class", "doc_id")
     out = ("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    return full.select(*out).unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")).select(*out))
+    return full.select(*out).unionByName(names.where("n = 0").withColumn("component_id", F.col("doc_id")).select(*out))
 
 
 def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -354,15 +371,15 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     stands for the component (one that has this doc_id); texts without words are one component.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    rows = settled(_rows(docs, width, percent), "rows")
-    found = links(docs, rows, width, percent)
+    rows, names = _read(docs, width, percent)
+    found = links(docs, rows, names, width, percent)
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key", "doc_id"))
-    classes = settled(rows.groupBy("class").agg(first.alias("first")), "classes")
+    classes = settled(names.groupBy("class").agg(first.alias("first")), "classes")
     linked = classes.join(components(found), F.col("class") == F.col("node"))
     linked = with_lowest(linked.select("class", "first", "root"), "root", "class", "first", "lowest").select(F.col("class").alias("of"), "lowest")
     named = classes.join(linked, F.col("class") == F.col("of"), "left").select("class", F.coalesce("lowest", "first").alias("lowest"))
     named = named.select("class", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.text_key").alias("component_text"))
-    return told(rows.select("doc_id", "text_key", "class"), named, "class", "doc_id").select("doc_id", "text_key", "component_id", "component_text")
+    return told(names.select("doc_id", "text_key", "class"), named, "class", "doc_id").select("doc_id", "text_key", "component_id", "component_text")
 
 
 def op11_jaccard_join(spark, sf_dir):

@@ -1,11 +1,14 @@
 """Jaccard components against all pairs."""
 
 import itertools
+import os
 import re
 
 import numpy as np
 import pytest
-from quarryline.llm import setjoin
+from pyspark.sql import functions as F
+from quarryline.llm import setjoin, sieve
+from quarryline.llm.common import settled, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -86,3 +89,35 @@ def test_common_counts_tokens():
     got = setjoin.common(sets)
     for i, j in itertools.combinations(range(5), 2):
         assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+
+
+def test_texts_are_not_shuffled_and_spent_tables_go(spark, monkeypatch):
+    plans = {}
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return settled(df, name)
+
+    before = {p for p in os.listdir(shared_dir(spark).removeprefix("file://"))}
+    monkeypatch.setattr(setjoin, "settled", kept)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame(corpus(), "doc_id long, text string")
+        assert setjoin.jaccard_components(df).count() == len(corpus())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plans["sets"].splitlines()
+    at = next(k for k, x in enumerate(lines) if "MapInArrow" in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    below = lines[at + 1 : next((k for k in range(at + 1, len(lines)) if depth(lines[k]) <= depth(lines[at])), len(lines))]
+    assert below and not any("SortMergeJoin" in x for x in below)
+    after = {p.rpartition("-")[0] for p in os.listdir(shared_dir(spark).removeprefix("file://")) if p not in before}
+    assert "names" in after and not after & {"rows", "sets"}
+
+
+def test_sieve_loses_no_key(spark):
+    keys = spark.range(0, 30000, 3).select(F.xxhash64("id").alias("key"))
+    passed = sieve.Sieve(keys).passed(spark.range(90000), F.xxhash64("id"))
+    ids = np.array([r["id"] for r in passed.collect()])
+    own = (ids % 3 == 0) & (ids < 30000)
+    assert own.sum() == 10000 and (~own).sum() < 4000 and passed.columns == ["id"]
