@@ -62,7 +62,8 @@ def components(links: DataFrame) -> DataFrame:
     now = settled(links.select(lo.alias("a"), hi.alias("b")).where("a <> b").distinct(), "links")
     seen = None
     while True:
-        now = settled(_starred(_starred(now, True), False), "links")
+        stars = settled(_starred(now, True), "stars")  # else the plan of one step is in that of the other six times
+        now = settled(_starred(stars, False), "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -357,8 +357,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     rows, names = _read(docs, width, percent)
     found = links(docs, rows, names, width, percent)
     classes = settled(names.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")), "classes")
-    linked = classes.join(components(found), F.col("class") == F.col("node"))
-    linked = with_lowest(linked.select("class", "least", "root"), "root", "class", "least", "lowest").select(F.col("class").alias("of"), "lowest")
+    linked = settled(classes.join(components(found), F.col("class") == F.col("node")).select("class", "least", "root"), "linked")
+    linked = with_lowest(linked, "root", "class", "least", "lowest").select(F.col("class").alias("of"), "lowest")
     named = classes.join(linked, F.col("class") == F.col("of"), "left").select("class", F.coalesce("lowest", "least").alias("component_id"))
     full = told(names.where("n > 0").select("doc_id", "text_key", "n", "class"), named, "class", "doc_id")
     out = ("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"), "component_id")
@@ -375,8 +375,8 @@ def near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     found = links(docs, rows, names, width, percent)
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "text_key", "doc_id"))
     classes = settled(names.groupBy("class").agg(first.alias("first")), "classes")
-    linked = classes.join(components(found), F.col("class") == F.col("node"))
-    linked = with_lowest(linked.select("class", "first", "root"), "root", "class", "first", "lowest").select(F.col("class").alias("of"), "lowest")
+    linked = settled(classes.join(components(found), F.col("class") == F.col("node")).select("class", "first", "root"), "linked")
+    linked = with_lowest(linked, "root", "class", "first", "lowest").select(F.col("class").alias("of"), "lowest")
     named = classes.join(linked, F.col("class") == F.col("of"), "left").select("class", F.coalesce("lowest", "first").alias("lowest"))
     named = named.select("class", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.text_key").alias("component_text"))
     return told(names.select("doc_id", "text_key", "class"), named, "class", "doc_id").select("doc_id", "text_key", "component_id", "component_text")

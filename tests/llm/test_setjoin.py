@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from quarryline.llm import setjoin, sieve
+from quarryline.llm import components, setjoin, sieve
 from quarryline.llm.common import settled, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,3 +121,11 @@ def test_sieve_loses_no_key(spark):
     ids = np.array([r["id"] for r in passed.collect()])
     own = (ids % 3 == 0) & (ids < 30000)
     assert own.sum() == 10000 and (~own).sum() < 4000 and passed.columns == ["id"]
+
+
+def test_a_star_step_is_not_planned_into_the_next(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(components, "settled", lambda df, name: (sizes.append(df._jdf.queryExecution().analyzed().toString().count("Join")), settled(df, name))[1])
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
+    assert {r["root"] for r in components.components(chain).collect()} == {0}
+    assert max(sizes) <= 2
