@@ -35,7 +35,8 @@ SHAPES = {
     "member": (CLUSTERS, WIDTH, MEMBERS),
     "member_bias": (CLUSTERS, MEMBERS),
 }
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+_ENDS = np.cumsum([np.prod(s) for s in SHAPES.values()]).tolist()
+SIZE = _ENDS[-1]
 _BACK = np.arange(CONTEXT, WINDOW)[:, None] - np.arange(WINDOW)[None, :]  # how far each key lies behind a scored place
 _NEVER = -1e9
 _MOST = 60  # attention scores are cut here, so exp stays finite without a shift
@@ -81,12 +82,7 @@ def initial(symbols: Symbols, counts: np.ndarray, seed: int = 1) -> np.ndarray:
 
 def parts(w: np.ndarray) -> dict[str, np.ndarray]:
     """Views of the flat weights by name."""
-    out, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = w[at : at + n].reshape(shape)
-        at += n
-    return out
+    return {name: w[lo:hi].reshape(shape) for (name, shape), lo, hi in zip(SHAPES.items(), [0, *_ENDS], _ENDS, strict=False)}
 
 
 def windows(lengths: np.ndarray) -> np.ndarray:
@@ -115,71 +111,101 @@ def _near(p: dict, kind: type) -> np.ndarray:
 
 
 def _forward(p: dict, before: np.ndarray, window: np.ndarray) -> dict:
-    """Hidden states of the places that ``window`` rows score, in text order."""
+    """Hidden states of the places in ``window`` rows; ``a`` holds attention before it is
+    divided by ``total``."""
     place = window[:, :1] + np.arange(WINDOW)
-    outside = window[:, 0] < window[:, 1]  # the first window of a text: what it has before the text is masked
     row = before.take(place, mode="clip")
     x = p["embed"].take(row, axis=0)
-    keys = np.ascontiguousarray(x.transpose(0, 2, 1))
     own = x[:, CONTEXT:].reshape(-1, WIDTH)
-    q = (own @ (p["query"] * own.dtype.type(WIDTH**-0.5))).reshape(len(x), STEP, WIDTH)
-    a = np.matmul(q, keys)
+    q = (p["embed"] @ (p["query"] * own.dtype.type(WIDTH**-0.5))).take(row[:, CONTEXT:], axis=0)  # one for each symbol
+    a = np.matmul(q, x.transpose(0, 2, 1))
     a += _near(p, a.dtype)
-    a[outside, :, :CONTEXT] = _NEVER
+    a[window[:, 0] < window[:, 1], :, :CONTEXT] = _NEVER  # the first window of a text: what it has before the text is masked
     if a.max(initial=0) > _MOST:  # exp stays finite
         np.minimum(a, _MOST, out=a)
     np.exp(a, out=a)
-    a *= (1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype))).reshape(-1, STEP, 1)
+    total = (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype))[:, None]
     mixed = np.matmul(a, x).reshape(-1, WIDTH)
+    mixed /= total
+    h = mixed @ p["value"]
+    h += own
     scored = np.flatnonzero(place[:, CONTEXT:] < window[:, 2:])
-    h = (own + mixed @ p["value"]).take(scored, axis=0)
-    return {"row": row, "x": x, "keys": keys, "own": own, "q": q, "a": a, "mixed": mixed, "scored": scored, "h": h, "at": place[:, CONTEXT:].ravel().take(scored)}
+    return {"row": row, "x": x, "own": own, "q": q, "a": a, "total": total, "mixed": mixed, "scored": scored, "h": h, "at": place[:, CONTEXT:].ravel().take(scored)}
 
 
-def _softmax(z: np.ndarray, goal: np.ndarray, scale: float | None) -> np.ndarray:
-    """Log-probability of each row's goal; with ``scale``, ``z`` becomes the probabilities times it."""
-    top = z.max(initial=0)
-    if top > _MOST:  # exp stays finite
-        z -= top - _MOST
-    hit = z.ravel()[np.arange(len(z)) * z.shape[1] + goal]
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp in place, and what was taken off each row before, so that it stays finite."""
+    off = np.maximum(z.max(axis=1) - _MOST, 0) if z.max(initial=0) > _MOST else 0
+    if np.ndim(off):
+        z -= off[:, None]
     np.exp(z, out=z)
-    total = z @ np.ones(z.shape[1], z.dtype)
-    if scale is not None:
-        z *= (scale / total)[:, None]
-    return hit - np.log(np.maximum(total, 1e-30))
+    return off
 
 
-def _groups(cluster: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    order = np.argsort(cluster.astype(np.uint8), kind="stable")
-    ends = np.cumsum(np.bincount(cluster, minlength=CLUSTERS)).tolist()
-    return order, [(c, lo, hi) for c, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if hi > lo]
+def _read_out(p: dict, h: np.ndarray, goal: np.ndarray, d: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probabilities of goals that are in order of their clusters; with ``d``, which
+    takes the weights' gradients of the mean loss, also the gradient of ``h``.
 
+    Biases weigh the sums, and what divides a row scales ``h``: exp(z + b) is exp(z) * exp(b),
+    so nothing else runs over all outputs.
+    """
+    n, cluster, member = len(h), goal // MEMBERS, goal % MEMBERS
+    ends = np.cumsum(np.bincount(cluster, minlength=CLUSTERS)).tolist()
+    groups = [(c, slice(lo, hi)) for c, (lo, hi) in enumerate(zip([0, *ends[:-1]], ends, strict=True)) if hi > lo]
+    share, shares = np.exp(p["cluster_bias"]), np.exp(p["member_bias"])
 
-def _read_out(p: dict, h: np.ndarray, goal: np.ndarray, scale: float | None = None) -> dict:
-    """Log-probabilities of the goals, and both distributions times ``scale``; all in the
-    ``order`` of the goals' clusters."""
-    order, groups = _groups(goal // MEMBERS)
-    goal, h = goal.take(order), h.take(order, axis=0)
-    cluster, member = goal // MEMBERS, goal % MEMBERS
     y = h @ p["cluster"]
-    y += p["cluster_bias"]
-    log = _softmax(y, cluster, scale)
-    z = np.empty((len(h), MEMBERS), h.dtype)
-    for c, lo, hi in groups:
-        np.matmul(h[lo:hi], p["member"][c], out=z[lo:hi])
-        z[lo:hi] += p["member_bias"][c]
-    log += _softmax(z, member, scale)
-    return {"log": log, "order": order, "groups": groups, "h": h, "y": y, "y_member": z, "cluster": cluster, "member": member}
-
-
-def log_probabilities(w: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, at_once: int = 384) -> np.ndarray:
+    at = np.arange(0, n * CLUSTERS, CLUSTERS) + cluster
+    log = y.ravel().take(at) + p["cluster_bias"].take(cluster)
+    log -= _exp(y)
+    total = y @ share
+    z, total_z = np.empty((n, MEMBERS), h.dtype), np.empty_like(total)
+    at_z = np.arange(0, n * MEMBERS, MEMBERS) + member
+    for c, own in groups:
+        np.matmul(h[own], p["member"][c], out=z[own])
+    log += z.ravel().take(at_z) + p["member_bias"].take(goal)
+    log -= _exp(z)
+    for c, own in groups:
+        np.matmul(z[own], shares[c], out=total_z[own])
+    log -= np.log(np.maximum(total, 1e-30)) + np.log(np.maximum(total_z, 1e-30))
+    if d is None:
+        return log, None
+
+    y.ravel()[at] -= total / share.take(cluster)
+    z.ravel()[at_z] -= total_z / shares.take(goal)
+    scale, scale_z = 1 / (total * h.dtype.type(n)), 1 / (total_z * h.dtype.type(n))
+    d["cluster"][:] = (y.T @ (h * scale[:, None])).T * share
+    d["cluster_bias"][:] = (scale @ y) * share
+    dh, dh_z = y @ (p["cluster"] * share).T, np.empty_like(h)
+    dh *= scale[:, None]
+    scaled, back = h * scale_z[:, None], (p["member"] * shares[:, None]).transpose(0, 2, 1)
+    member_t = np.zeros((CLUSTERS, MEMBERS, WIDTH), h.dtype)
+    for c, own in groups:
+        part = z[own]
+        np.matmul(part.T, scaled[own], out=member_t[c])
+        np.matmul(scale_z[own], part, out=d["member_bias"][c])
+        np.matmul(part, back[c], out=dh_z[own])
+    d["member"][:] = member_t.transpose(0, 2, 1)
+    d["member"] *= shares[:, None]
+    d["member_bias"] *= shares
+    dh_z *= scale_z[:, None]
+    dh += dh_z
+    return log, dh
+
+
+def _by_cluster(goal: np.ndarray) -> np.ndarray:
+    return np.argsort((goal // MEMBERS).astype(np.uint8), kind="stable")
+
+
+def log_probabilities(w: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, at_once: int = 768) -> np.ndarray:
     """Natural log of each place's symbol given what stands before it in its text."""
     p, before, window = parts(w), shifted(symbols, lengths), windows(lengths)
     out = np.zeros(len(symbols))
     for lo in range(0, len(window), at_once):
         f = _forward(p, before, window[lo : lo + at_once])
-        r = _read_out(p, f["h"], symbols.take(f["at"]))
-        out[f["at"].take(r["order"])] = r["log"]
+        goal = symbols.take(f["at"])
+        order = _by_cluster(goal)
+        out[f["at"].take(order)] = _read_out(p, f["h"].take(f["scored"].take(order), axis=0), goal.take(order))[0]
     return out
 
 
@@ -187,27 +213,20 @@ def gradient(w: np.ndarray, symbols: np.ndarray, before: np.ndarray, window: np.
     """Mean loss over the places the windows score, and its gradient."""
     p = parts(w)
     f = _forward(p, before, window)
-    n = len(f["h"])
-    r = _read_out(p, f["h"], symbols.take(f["at"]), 1 / n)
     g = np.zeros_like(w)
     d = parts(g)
-    dz, dm, h = r["y"], r["y_member"], r["h"]
-    dz.ravel()[np.arange(n) * CLUSTERS + r["cluster"]] -= w.dtype.type(1 / n)
-    dm.ravel()[np.arange(n) * MEMBERS + r["member"]] -= w.dtype.type(1 / n)
-    d["cluster"][:], d["cluster_bias"][:] = h.T @ dz, np.ones(n, w.dtype) @ dz
-    dh = dz @ p["cluster"].T
-    for c, lo, hi in r["groups"]:
-        part = dm[lo:hi]
-        np.matmul(h[lo:hi].T, part, out=d["member"][c])
-        np.matmul(np.ones(hi - lo, w.dtype), part, out=d["member_bias"][c])
-        dh[lo:hi] += part @ p["member"][c].T
+    goal = symbols.take(f["at"])
+    order = _by_cluster(goal)
+    place = f["scored"].take(order)
+    log, dh = _read_out(p, f["h"].take(place, axis=0), goal.take(order), d)
 
     x, q, a, mixed = f["x"], f["q"], f["a"], f["mixed"]
     flat = np.zeros((len(window) * STEP, WIDTH), w.dtype)
-    flat[f["scored"].take(r["order"])] = dh
+    flat[place] = dh
     d["value"][:] = mixed.T @ flat
     dmix = flat @ p["value"].T
-    ds = np.matmul(dmix.reshape(q.shape), f["keys"])
+    dmix /= f["total"]  # a isn't divided by it
+    ds = np.matmul(dmix.reshape(q.shape), x.transpose(0, 2, 1))
     ds -= np.einsum("ij,ij->i", dmix, mixed).reshape(-1, STEP, 1)  # the same sum as over ds * a
     ds *= a
     d["near"][:] = np.bincount(np.maximum(_BACK, 0).ravel(), (ds.sum(axis=0) * (_BACK >= 0)).ravel(), WINDOW)
@@ -218,9 +237,10 @@ def gradient(w: np.ndarray, symbols: np.ndarray, before: np.ndarray, window: np.
     dx = np.matmul(ds.transpose(0, 2, 1), q)
     dx += np.matmul(a.transpose(0, 2, 1), dmix.reshape(q.shape))
     dx[:, CONTEXT:] += flat.reshape(q.shape)
-    at = (f["row"].ravel() * WIDTH)[:, None] + np.arange(WIDTH)
-    d["embed"][:] = np.bincount(at.ravel(), dx.ravel(), d["embed"].size).reshape(-1, WIDTH)
-    return -float(r["log"].mean()), g
+    row, columns = f["row"].ravel(), dx.reshape(-1, WIDTH).T.astype(np.float64, order="C")
+    for to, column in zip(d["embed"].T, columns, strict=True):
+        to[:] = np.bincount(row, column, SYMBOLS + 1)
+    return -float(log.mean()), g
 
 
 class Trainer:
@@ -240,7 +260,10 @@ class Trainer:
 
     def _step(self, g: np.ndarray) -> None:
         self.steps += 1
-        self.m += np.float32(0.1) * (g - self.m)
-        self.v += np.float32(0.02) * (g * g - self.v)
         rate = self.rate * np.sqrt(1 - 0.98**self.steps) / (1 - 0.9**self.steps)
-        self.w -= np.float32(rate) * self.m / (np.sqrt(self.v) + np.float32(1e-8))
+        for own in range(0, SIZE, 1 << 13):  # a part stays in the cache until it is done with
+            part = slice(own, own + (1 << 13))
+            m, v, gp = self.m[part], self.v[part], g[part]
+            m += np.float32(0.1) * (gp - m)
+            v += np.float32(0.02) * (gp * gp - v)
+            self.w[part] -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-8))

@@ -59,7 +59,25 @@ def _tokenizer(ranks: bytes):
     import tiktoken
 
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
-    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=table, special_tokens={}), len(table)
+    return tiktoken.Encoding("words", pat_str=r" ?[^ ]+", mergeable_ranks=table, special_tokens={}), len(table)
+
+
+def _subwords(ranks: bytes, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of words laid end to end, and each word's number of them: a word's first
+    subword alone begins with the space before it, so all are cut in one call."""
+    if not words:
+        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    tokenizer, _ = _tokenizer(ranks)
+    flat = tokenizer.encode_to_numpy(" " + " ".join(words), disallowed_special=())
+    firsts = np.flatnonzero(_begins(ranks)[flat])
+    return flat.astype(np.uint16), np.diff(firsts, append=len(flat))
+
+
+@lru_cache(maxsize=2)
+def _begins(ranks: bytes) -> np.ndarray:
+    """Which ids begin with a space."""
+    tokenizer, end = _tokenizer(ranks)
+    return np.array([tokenizer.decode_single_token_bytes(i)[:1] == b" " for i in range(end)], bool)
 
 
 @lru_cache(maxsize=2)
@@ -87,7 +105,7 @@ def _batches(docs: DataFrame, ranks: bytes, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roomy()
-        tokenizer, end = _tokenizer(ranks)
+        _, end = _tokenizer(ranks)
         zip_ = zstandard.ZstdCompressor(level=1)
         nth = 0
         for whole in batches:
@@ -97,18 +115,15 @@ def _batches(docs: DataFrame, ranks: bytes, bits: int) -> DataFrame:
                 ids = batch.column("doc_id").to_pylist()
                 held = _held_out(ids)
                 offsets, codes, dictionary = split_words(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
-                words = dictionary.to_pylist()
-                hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+                words = dictionary.to_numpy(zero_copy_only=False)
+                hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
                 bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 back = np.empty_like(order)
                 back[order] = np.arange(len(order))
                 codes, bucket = back[codes], bucket[order]
-                dictionary, words = dictionary.take(pa.array(order)), [words[i] for i in order.tolist()]
-                of = tokenizer.encode_ordinary
-                subs = [of(" " + w) for w in words]
-                n_subs = np.fromiter(map(len, subs), np.int64, len(subs))
-                flat = np.fromiter((i for s in subs for i in s), np.uint16, int(n_subs.sum()))
+                words = words[order].tolist()
+                flat, n_subs = _subwords(ranks, words)
                 learn = np.repeat(~held, np.diff(offsets))
                 counts = np.bincount(codes[learn], minlength=len(words)).astype(np.int64)
                 seen_n = np.bincount(flat, np.repeat(counts, n_subs), end + 1).astype(np.int64)
@@ -180,14 +195,12 @@ def _places(codes: np.ndarray, lengths: np.ndarray, n_subs: np.ndarray, subs: np
     """Subword ids of texts laid end to end, each closed by the end id, and their lengths."""
     starts = np.cumsum(n_subs) - n_subs
     each = n_subs[codes]
-    text = np.repeat(np.arange(len(lengths)), lengths)
-    per = np.bincount(text, each, len(lengths)).astype(np.int64) + 1
+    ends = np.concatenate(([0], np.cumsum(each)))
+    per = np.diff(ends[np.concatenate(([0], np.cumsum(lengths)))]) + 1
     out = np.full(int(per.sum()), end, np.int64)
-    stops = np.cumsum(per) - 1
     body = np.ones(len(out), bool)
-    body[stops] = False
-    inner = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
-    out[body] = subs[np.repeat(starts[codes], each) + inner]
+    body[np.cumsum(per) - 1] = False
+    out[body] = subs[np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], each)]
     return out, per
 
 

@@ -240,6 +240,36 @@ def test_attention_gradient_and_cover():
         assert abs(slope - g[i]) < 1e-6
 
 
+def test_steep_places_leave_the_others_alone():
+    """A place with outputs in the hundreds doesn't cost the rest of its batch their sums."""
+    w, symbols = small_model()
+    w = w.astype(float)
+    p = attention.parts(w)
+    p["query"][:] = p["value"][:] = 0
+    ids = [5, 9, 700, 31, 2999]
+    own = symbols.of[ids].astype(int)
+    p["embed"][own[1]] *= 200
+    logs = attention.log_probabilities(w, own, np.array([len(ids)])) / math.log(10) + symbols.share[ids]
+    assert np.allclose(logs, plainly(w, symbols, ids), rtol=1e-6) and logs.min() < -40
+    before, window = attention.shifted(own, np.array([len(ids)])), attention.windows(np.array([len(ids)]))
+    i = int(np.argmax(np.abs(attention.gradient(w, own, before, window)[1])))
+    step = np.zeros(len(w))
+    step[i] = 1e-7
+    slope = (attention.gradient(w + step, own, before, window)[0] - attention.gradient(w - step, own, before, window)[0]) / 2e-7
+    assert math.isclose(slope, attention.gradient(w, own, before, window)[1][i], rel_tol=1e-4)
+
+
+def test_words_are_cut_in_one_call_as_one_by_one():
+    with open(lm.VOCABULARY, "rb") as f:
+        ranks = f.read()
+    tokenizer, _ = lm._tokenizer(ranks)
+    words = ["the", "a", "ciónmenteueó.", "\u00a0", "a\u2028b\u0085", "日本語", "🙂🙂", "\x00", "<|endoftext|>", "x" * 700, "ß\u0301", "|"]
+    flat, n = lm._subwords(ranks, words)
+    one_by_one = [tokenizer.encode_ordinary(" " + w) for w in words]
+    assert n.tolist() == [len(x) for x in one_by_one] and flat.tolist() == [i for x in one_by_one for i in x]
+    assert [len(x) for x in lm._subwords(ranks, [])] == [0, 0]
+
+
 def test_next_subwords_sum_to_one():
     w, symbols = small_model()
     for text in ([], [5], [7, 9, 2999], list(range(40))):
