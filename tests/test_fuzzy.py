@@ -3,7 +3,9 @@
 import itertools
 import random
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from quarryline.functions.text import token_set_ratio
 from quarryline.operators import fuzzy, resolve
 
@@ -67,3 +69,40 @@ def test_numbered_names_are_not_met_pair_by_pair(spark, monkeypatch):
     got = fuzzy.matched(spark.createDataFrame([(a,) for a in asked], "asked string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()
     assert len(got) == len(asked) and all((r["name"], r["verdict"]) == (r["asked"].replace("p", "pp"), "fuzzy") for r in got)
     assert sum(proposed) < 0.5 * len(asked) * len(names)
+
+
+def test_numbered_names_meet_few_others(spark, monkeypatch):
+    met, written = [], fuzzy.settled
+
+    def seen(df, name):
+        out = written(df, name)
+        if name == "keys":
+            met.append(out.where("NOT crowd").groupBy("key").agg((F.count_if("known") * F.count_if(~F.col("known"))).alias("n")).agg(F.sum("n")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(fuzzy, "settled", seen)
+    names = [f"supplier {10000 + i * 90000 // 4000}" for i in range(4000)]
+    known = spark.createDataFrame([(x,) for x in names], "name string")
+    got = {tuple(r) for r in fuzzy.plausible(known.selectExpr("replace(name, 'pp', 'p') AS asked"), known, 92.0).collect()}
+    assert {(x.replace("pp", "p"), x) for x in names} <= got
+    assert len(met) > 1 and 0 < sum(met) < 40 * len(names)
+
+
+def test_similarity_is_that_of_whole_strings():
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for p in x:
+            row = [0, *itertools.accumulate(range(len(y)), lambda best, j, row=row, p=p: max(best, row[j + 1], row[j] + (p == y[j])), initial=0)][1:]
+        return row[-1]
+
+    def plain(x, y):
+        s, t = set(x.split()), set(y.split())
+        if not s or not t or (s & t and (s <= t or t <= s)):
+            return 100.0 if s and t else 0.0
+        base = " ".join(sorted(s & t))
+        left, right = (f"{base} {' '.join(sorted(d))}".strip() for d in (s - t, t - s))
+        return max(200.0 * common(p, q) / (len(p) + len(q)) for p, q in [(left, right)] + ([(base, left), (base, right)] if base else []))
+
+    names = crowd(3)[:40] + ["", "a", "é ü", "aba", "abab ab"]
+    a, b = zip(*itertools.product(names, names), strict=True)
+    assert list(token_set_ratio.func(pd.Series(a), pd.Series(b))) == list(map(plain, a, b))
